@@ -78,8 +78,8 @@ def cut_at_bytes(text: Column, limit: int) -> Column:
 def pick_lines(text: Column, first: int, last: int) -> Column:
     """Lines ``first``..``last`` (1-based, inclusive), each ended by a newline."""
     start = max(first - 1, 0)
-    bare = F.regexp_replace(text, "\r?\n$", "")
-    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(bare, "\r?\n"))
+    bare = F.regexp_replace(text, r"\r?\n\z", "")
+    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\r?\n"))
     chosen = F.slice(lines, start + 1, max(last - start, 0))
     return F.when(F.size(chosen) == 0, F.lit("")).otherwise(
         F.when(
