@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from treeshift.functions import paths as P
 from treeshift.sources.trees import file_index
@@ -66,7 +66,7 @@ def diff_trees(
     binary = F.coalesce("base_binary", F.lit(False)) | F.coalesce("head_binary", F.lit(False))
     zero = F.lit(0).cast("bigint")
 
-    def lines(own: str, other: str) -> F.Column:
+    def lines(own: str, other: str) -> Column:
         return (
             F.when(F.col(other).isNull(), F.col(own))
             .when(F.col(own).isNull(), zero)
