@@ -44,7 +44,8 @@ def _line_tokens(line: Column) -> Column:
         # quotes it does so for a quote or a backslash only
         marked = F.regexp_replace(token, r"""'([^']*+)'""", "\x02$1\x02")
         inner = F.regexp_replace(marked, r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"', "$1")
-        return F.regexp_replace(F.regexp_replace(inner, r"\\([\"\\ $;&|()<>'#])", "$1"), "\x02", "")
+        mixed = F.regexp_replace(F.regexp_replace(inner, r"\\([\"\\ $;&|()<>'#])", "$1"), "\x02", "")
+        return F.when(token.rlike("[\"']"), mixed).otherwise(F.regexp_replace(token, r"\\(.)", "$1"))
 
     return F.when(rest.rlike(r"[\"'\\]"), F.array().cast("array<string>")).otherwise(
         F.transform(raw, unquoted)

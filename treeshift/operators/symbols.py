@@ -196,7 +196,7 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
     def alone(r: Rules) -> Column:
         """A function header that is also the function's last line."""
         if r.family == "indent":
-            return F.lit(False)
+            return F.length(code) < 0  # never; the next line that starts decides
         if r.family == "end":
             return code.rlike(r"\bend\s*$|^\s*def\s+[^\s(]+(?:\s*\(.*\))?\s*=\s")
         in_line = (count("{") == count("}")) & (F.contains(code, F.lit("{")) | bare.endswith(";"))
