@@ -424,7 +424,8 @@ def _with_ends(lines: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        lines.select("*", F.explode(rows).alias("r"))
+        lines.withColumn("events", rows)
+        .select("*", F.explode("events").alias("r"))
         .select(
             *ROW,
             "anno",
