@@ -150,8 +150,8 @@ def response_truncated(spark, sf):
         (SELECT max(ts) - INTERVAL 10 MINUTE FROM requests) GROUP BY ALL"""),
 )
 def telemetry_stream(spark, sf):
-    source = f"{sf}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    schema = fx.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     events.createOrReplaceTempView("treeshift_event_stream")
     requests = spark.sql(fx.VIEWS["requests"](fx.spark_dialect()).replace("@events@", "treeshift_event_stream"))
     requests = requests.withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs an instant

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends; Spark's ``trim`` alone takes blanks only."""
+    return F.btrim(text, F.lit(" \t\r\n"))
+
+
 def newline_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from treeshift.functions import paths as P
+from treeshift.functions.text import strip
 from treeshift.sources.trees import with_blob_id
 
 # fixed values
@@ -26,7 +27,7 @@ OUT = ["blob_id", "name", "version"]
 
 def _lines(files: DataFrame) -> DataFrame:
     return files.select("blob_id", F.posexplode(F.split("content", "\r?\n")).alias("line", "text")).select(
-        "blob_id", "line", F.trim("text").alias("text")
+        "blob_id", "line", strip(F.col("text")).alias("text")
     )
 
 
@@ -58,7 +59,7 @@ def parse_package_json(files: DataFrame) -> DataFrame:
 def parse_cargo_toml(files: DataFrame) -> DataFrame:
     text = F.col("text")
     section = F.last_value(F.when(F.startswith(text, F.lit("[")), text), True).over(_file_window(0))
-    rest = F.trim(F.regexp_extract(text, r"^[^=]*=(.*)$", 1))
+    rest = strip(F.regexp_extract(text, r"^[^=]*=(.*)$", 1))
     version = F.when(
         F.startswith(rest, F.lit('"')), F.regexp_extract(rest, r'^"([^"]*)', 1)
     ).otherwise(F.regexp_extract(rest, r'(?:^|[{,])\s*version\s*=\s*"?([^",}]*)', 1))
@@ -72,8 +73,8 @@ def parse_cargo_toml(files: DataFrame) -> DataFrame:
         )
         .select(
             "blob_id",
-            F.trim(F.regexp_extract(text, "^([^=]*)=", 1)).alias("name"),
-            F.trim(version).alias("version"),
+            strip(F.regexp_extract(text, "^([^=]*)=", 1)).alias("name"),
+            strip(version).alias("version"),
             F.col("line").alias("at"),
         )
     )
@@ -88,7 +89,7 @@ def parse_go_mod(files: DataFrame) -> DataFrame:
     item = F.when(single, F.regexp_replace(text, "^require ", "")).when(
         F.col("inside") & mark.isNull(), text
     )
-    parts = F.split(F.trim("item"), r"\s+")
+    parts = F.split(strip(F.col("item")), r"\s+")
     found = (
         _lines(files)
         .withColumn("inside", inside)
@@ -109,13 +110,13 @@ def split_requirement(spec: Column) -> Column:
         chain = chain.when(
             at > 0,
             F.struct(
-                F.lower(F.trim(F.substring(spec, F.lit(1), at - 1))).alias("name"),
+                F.lower(strip(F.substring(spec, F.lit(1), at - 1))).alias("name"),
                 F.concat(
-                    F.lit(op), F.trim(F.substring(spec, at + len(op), F.length(spec)))
+                    F.lit(op), strip(F.substring(spec, at + len(op), F.length(spec)))
                 ).alias("version"),
             ),
         )
-    return chain.otherwise(F.struct(F.lower(F.trim(spec)).alias("name"), F.lit("").alias("version")))
+    return chain.otherwise(F.struct(F.lower(strip(spec)).alias("name"), F.lit("").alias("version")))
 
 
 def parse_pyproject(files: DataFrame) -> DataFrame:

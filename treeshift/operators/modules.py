@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeshift.functions import paths as P
+from treeshift.functions.text import strip
 
 TS = ["ts", "tsx", "js", "jsx"]
 
@@ -60,7 +61,7 @@ def _prefixes(name: Column, glue: str) -> Column:
 
 
 def _targets_rust(text: Column, path: Column, crate: Column) -> Column:
-    raw = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^(?:pub )?use ", ""), ";+$", ""))
+    raw = strip(F.regexp_replace(F.regexp_replace(strip(text), "^(?:pub )?use ", ""), ";+$", ""))
     own = module_rust(path)
     parent = F.regexp_extract(own, "^(.*)::[^:]*$", 1)
     external = F.concat(crate, F.lit("::"))
@@ -75,7 +76,7 @@ def _targets_rust(text: Column, path: Column, crate: Column) -> Column:
     head = F.regexp_extract(absolute, r"^([^{}]*)\{([^{}]*)\}$", 1)
     items = F.split(F.regexp_extract(absolute, r"^([^{}]*)\{([^{}]*)\}$", 2), r"\s*,\s*")
     opened = F.when(
-        head != "", F.transform(F.filter(items, lambda i: F.trim(i) != ""), lambda i: F.concat(head, F.trim(i)))
+        head != "", F.transform(F.filter(items, lambda i: strip(i) != ""), lambda i: F.concat(head, strip(i)))
     ).otherwise(F.array(absolute))
     named = F.transform(opened, lambda p: F.regexp_replace(p, r"\s+as\s+\w+$", ""))
     return F.array_distinct(F.flatten(F.transform(named, lambda p: _prefixes(p, "::"))))
@@ -83,12 +84,12 @@ def _targets_rust(text: Column, path: Column, crate: Column) -> Column:
 
 def _targets_python(text: Column, path: Column) -> tuple[Column, Column]:
     """Names a module may equal, and names of which it may be a descendant."""
-    imp = F.trim(text)
+    imp = strip(text)
     is_from, is_import = imp.startswith("from "), imp.startswith("import ")
-    source = F.trim(F.regexp_extract(imp, r"^from\s+((?s:.*?))(?: import |$)", 1))
+    source = strip(F.regexp_extract(imp, r"^from\s+((?s:.*?))(?: import |$)", 1))
     listed = F.regexp_replace(F.regexp_extract(imp, r"^from (?s:.*?) import ((?s:.*))$", 1), "[()]", "")
     names = F.filter(
-        F.transform(F.split(listed, ","), lambda n: F.split(F.trim(n), r"\s+")[0]),
+        F.transform(F.split(listed, ","), lambda n: F.split(strip(n), r"\s+")[0]),
         lambda n: (n != "") & (n != "*"),
     )
     dots = F.length(F.regexp_extract(source, r"^(\.*)", 1))
@@ -106,7 +107,7 @@ def _targets_python(text: Column, path: Column) -> tuple[Column, Column]:
     )
     modules = F.filter(
         F.transform(
-            F.split(F.regexp_replace(imp, "^import ", ""), ","), lambda m: F.split(F.trim(m), r"\s+")[0]
+            F.split(F.regexp_replace(imp, "^import ", ""), ","), lambda m: F.split(strip(m), r"\s+")[0]
         ),
         lambda m: m != "",
     )

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treeshift.functions.code_rules import NOT_CALLED, PARENS, RULES, Rules
-from treeshift.functions.text import leaf_name
+from treeshift.functions.text import leaf_name, strip
 
 LEVELS = 8  # enclosing blocks that are looked at; functions nested deeper are not found
 
@@ -92,7 +92,7 @@ def _candidates(rules: Rules, code: Column) -> Column:
         regex, name, receiver, path = rule
         own = F.regexp_extract(code, regex, name)
         if receiver:
-            to = F.trim(F.regexp_extract(code, regex, receiver))
+            to = strip(F.regexp_extract(code, regex, receiver))
             own = F.when(to != "", F.concat(to, F.lit("."), own)).otherwise(own)
         return F.when(
             code.rlike(regex),
@@ -162,11 +162,11 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
         "language",
         (F.col("pos") + 1).alias("line"),
         F.col("l.raw").alias("raw"),
-        F.ltrim(F.col("l.code")).startswith(END).alias("cont"),
+        F.col("l.code").rlike(rf"^\s*{END}").alias("cont"),
         F.regexp_replace(F.replace("l.code", F.lit(STR), F.lit('""')), f"[{END}\r]", "").alias("code"),
     )
     code, raw = F.col("code"), F.col("raw")
-    bare = F.rtrim(code)
+    bare = strip(code)
 
     def count(char: str) -> Column:
         return F.length(code) - F.length(F.replace(code, F.lit(char), F.lit("")))
@@ -210,7 +210,7 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
         "cont",
         _by_language(langs, alone).alias("alone"),
         code.rlike(r"^\s*[)\]}]").alias("closing"),
-        (F.trim(code) != "").alias("nonblank"),
+        (bare != "").alias("nonblank"),
         _by_language(langs, lambda r: F.lit(r.family)).alias("family"),
         _by_language(langs, lambda r: _container(r, code)).alias("container"),
         _by_language(langs, lambda r: _candidates(r, code)).alias("heads"),
@@ -495,7 +495,7 @@ def _import_texts(r: Rules, found: Column) -> Column:
             return F.when(cut == "", i["text"]).otherwise(cut)
         return F.regexp_replace(i["text"], r"\s+(?://|/\*|#\s)[^\n]*", "")
 
-    return F.filter(F.transform(found, lambda i: F.trim(tidy(i))), lambda t: t != "")
+    return F.filter(F.transform(found, lambda i: strip(tidy(i))), lambda t: t != "")
 
 
 def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> DataFrame:
@@ -598,12 +598,12 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
             if r.arrow:
                 arrow = F.regexp_extract(text, r"^((?s:.*?)=>)", 1)
                 raw_sig = F.when(f["whole"], arrow).otherwise(raw_sig)
-            body = F.trim(F.substr(text, F.length(raw_sig) + 1))
+            body = strip(F.substr(text, F.length(raw_sig) + 1))
             if r.family == "brace":
                 body = F.regexp_replace(body, r"\}[^}]*\z", "}")
             if r.family == "end":
                 body = F.regexp_replace(body, r"^\s*end\z", "")
-            empty = F.trim(body) == ""
+            empty = strip(body) == ""
             signature = F.regexp_replace(
                 F.when(empty | f["whole"], text).otherwise(raw_sig), r"^\s+|\s+\z", ""
             )
