@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from treeshift.functions import paths as P
 from treeshift.functions.text import strip
+from treeshift.session import cut
 from treeshift.sources.trees import with_blob_id
 
 # fixed values
@@ -196,7 +197,8 @@ def dependency_diff(changes: DataFrame, tree: DataFrame) -> DataFrame:
             )
         ).alias("s"),
     ).select("range_id", "path", "s.*").filter("blob_id IS NOT NULL")
-    found = declared(dependency_files(tree, sides.select("blob_id").distinct()))
+    # written once, as each of the four formats reads it
+    found = declared(cut(dependency_files(tree, sides.select("blob_id").distinct())))
 
     def version(side: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col("version"))).alias(f"{side}_version")
