@@ -155,11 +155,16 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
             F.split(mask_long(F.col("masked")), "\n").alias("code"),
         )
     )
+    total = F.size("raw") - F.when(F.element_at("raw", -1) == "", 1).otherwise(0)
     lines = lines.select(
-        "blob_id", "language", F.posexplode(F.arrays_zip("raw", "code")).alias("pos", "l")
+        "blob_id",
+        "language",
+        total.alias("lines"),
+        F.posexplode(F.arrays_zip("raw", "code")).alias("pos", "l"),
     ).select(
         "blob_id",
         "language",
+        "lines",
         (F.col("pos") + 1).alias("line"),
         F.col("l.raw").alias("raw"),
         F.col("l.code").rlike(rf"^\s*{END}").alias("cont"),
@@ -205,12 +210,13 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
         return in_line
 
     indent = F.regexp_replace(F.regexp_extract(code, r"^([ \t]*)", 1), "\t", "    ")
-    return lines.select(
+    # lines that hold nothing but comments or the inside of a literal leave here
+    return lines.filter(F.col("cont") | code.rlike(r"\S")).select(
         *ROW,
+        "lines",
         "cont",
         _by_language(langs, alone).alias("alone"),
         code.rlike(r"^\s*[)\]}]").alias("closing"),
-        (bare != "").alias("nonblank"),
         _by_language(langs, lambda r: F.lit(r.family)).alias("family"),
         _by_language(langs, lambda r: _container(r, code)).alias("container"),
         _by_language(langs, lambda r: _candidates(r, code)).alias("heads"),
@@ -231,14 +237,14 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
     )
 
 
-def _with_levels(lines: DataFrame) -> DataFrame:
+def _with_levels(lines: DataFrame, langs: list[str]) -> DataFrame:
     """Block level of every line, and what the lines before it leave open."""
     blob = Window.partitionBy("blob_id")
     upto = blob.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     before = blob.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     brace = F.col("family") == "brace"
     header = F.col("container").isNotNull() | (F.size("heads") > 0)
-    counted = F.col("nonblank") & ~F.col("cont")
+    counted = ~F.col("cont")
     event = header | (F.col("opens") > 0) | (F.col("delta") != 0) | F.col("semi")
     pending = header & (F.col("opens") == 0) & (F.col("delta") == 0) & ~F.col("semi")
     first_of_block = (F.col("indent") > 0) & counted & (F.col("prev.colon") | (F.col("family") == "end"))
@@ -252,23 +258,26 @@ def _with_levels(lines: DataFrame) -> DataFrame:
         F.last_value(
             F.when(event, F.struct(pending.alias("pending"), F.col("container").alias("container"))), True
         ).over(before).alias("prev_event"),
-        F.last_value(F.when(F.col("nonblank"), F.col("line")), True).over(before).alias("prev_line"),
-        F.last_value(F.when(F.col("nonblank") & ~F.col("anno"), F.col("line")), True)
+        F.last_value("line").over(before).alias("prev_line"),
+        F.last_value(F.when(~F.col("anno"), F.col("line")), True)
         .over(before)
         .alias("prev_plain"),
         F.coalesce(
-            F.sum(F.when(F.col("nonblank") & ~F.col("anno"), 1).otherwise(0)).over(before), F.lit(0)
+            F.sum(F.when(F.col("anno"), 0).otherwise(1)).over(before), F.lit(0)
         ).alias("run"),
         F.last_value("block_mark", True).over(before).alias("in_block"),
         F.last_value(
             F.when(F.col("import_head") & ~F.col("import_alone"), True).when(F.col("import_stop"), False), True
         ).over(before).alias("in_import"),
     )
-    lines = lines.select(
-        "*",
-        F.min(F.when(first_of_block, F.col("indent"))).over(blob).alias("unit"),
-        F.max(F.when(F.col("nonblank"), F.col("line"))).over(blob).alias("last_line"),
-    )
+    if any(RULES[lang].family != "brace" for lang in langs):
+        lines = lines.select(
+            "*",
+            F.min(F.when(first_of_block, F.col("indent"))).over(blob).alias("unit"),
+            F.max("line").over(blob).alias("last_line"),
+        )
+    else:
+        lines = lines.withColumn("unit", F.lit(4)).withColumn("last_line", F.col("lines"))
     level = F.when(brace, F.col("depth") - F.col("delta")).otherwise(
         F.ceil(F.col("indent") / F.coalesce("unit", F.lit(4)))
     )
@@ -414,8 +423,15 @@ def _with_ends(lines: DataFrame) -> DataFrame:
     )
     ends_at = F.when(F.col("family") == "indent", F.col("prev_line")).otherwise(F.col("line"))
     itself = F.struct(F.col("fn.level").alias("lv"), F.lit(None).cast("int").alias("close"))
+    import_row = (
+        (F.col("import_head") & (F.col("level") == 0))
+        | F.coalesce(F.col("in_block"), F.lit(False))
+        | (F.coalesce(F.col("in_import"), F.lit(False)) & F.col("import_stop"))
+    )
+    # other lines have done their part as openers; they go on as closers only
+    kept = F.col("fn").isNotNull() | (F.size("calls") > 0) | import_row
     rows = F.concat(
-        F.array(itself),
+        F.filter(F.array(itself), lambda _: kept),
         F.transform(closed, lambda k: F.struct(k.alias("lv"), ends_at.cast("int").alias("close"))),
     )
     below = (
@@ -424,7 +440,8 @@ def _with_ends(lines: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        lines.withColumn("events", rows)
+        lines.withColumn("import_row", import_row)
+        .withColumn("events", rows)
         .select("*", F.explode("events").alias("r"))
         .select(
             *ROW,
@@ -433,12 +450,10 @@ def _with_ends(lines: DataFrame) -> DataFrame:
             "last_line",
             F.when(F.col("r.close").isNull(), F.col("fn")).alias("fn"),
             F.when(F.col("r.close").isNull(), F.col("calls")).alias("calls"),
+            "import_row",
             "import_head",
-            "import_stop",
             "import_alone",
             F.coalesce("in_block", F.lit(False)).alias("in_block"),
-            F.coalesce("in_import", F.lit(False)).alias("in_import"),
-            "level",
             F.col("r.lv").alias("lv"),
             F.col("r.close").alias("close"),
         )
@@ -510,7 +525,7 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
     parts = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distributed = blobs.filter(F.col("content").isNotNull()).repartition(parts, "blob_id")
     lines = _with_enclosing(
-        _with_ends(_with_functions(_with_levels(_line_features(distributed, langs)), langs))
+        _with_ends(_with_functions(_with_levels(_line_features(distributed, langs), langs), langs))
     )
     # a bodiless or method-like header reads as a call of its own name
     own = leaf_name(F.col("fn.name"))
@@ -522,14 +537,8 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
             F.slice("calls", (at + 1).cast("int"), F.size("calls")),
         ),
     ).otherwise(F.col("calls"))
-    import_row = (
-        (F.col("import_head") & (F.col("level") == 0))
-        | F.col("in_block")
-        | (F.col("in_import") & F.col("import_stop"))
-    )
     found = (
         lines.withColumn("calls", calls)
-        .filter(F.col("fn").isNotNull() | (F.size("calls") > 0) | import_row)
         .groupBy("blob_id")
         .agg(
             F.sort_array(
@@ -540,7 +549,7 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
             ).alias("call_lines"),
             F.sort_array(
                 F.collect_list(
-                    F.when(import_row, F.struct("line", "import_head", "import_alone", "in_block"))
+                    F.when(F.col("import_row"), F.struct("line", "import_head", "import_alone", "in_block"))
                 )
             ).alias("import_lines"),
         )
