@@ -1,10 +1,10 @@
 """Secret scans: patterns of known forms, and character Markov models for the rest.
 
 Two Markov models over the characters of keys are trained from labelled samples:
-random strings (the values that the patterns find) and ordinary identifiers (all
-other runs of such characters). A run that no pattern covers is reported when the
-likelihood ratio of the two models speaks for a secret strongly enough to outweigh
-its rarity.
+random strings (the values that the patterns find) and ordinary identifiers (other
+runs of such characters that are too short to be in question themselves). A long
+run that no pattern covers is reported when the likelihood ratio of the two models
+speaks for a secret strongly enough to outweigh its rarity.
 
 Spans are kind:start:end in code points, the end exclusive. Kinds: ``assign``,
 ``access``, ``hex`` by pattern, ``random`` by the models.
@@ -105,7 +105,9 @@ def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in chunks(texts):
             found = Scanned(texts[start:end])
             secret = np.array([*found.values, *found.access, *found.hex], np.int64).reshape(-1, 2)
-            for label, (a, b) in enumerate([(found.starts, found.ends), (secret[:, 0], secret[:, 1])]):
+            short = found.ends - found.starts < CANDIDATE  # the others have no label yet
+            ordinary = (found.starts[short], found.ends[short])
+            for label, (a, b) in enumerate([ordinary, (secret[:, 0], secret[:, 1])]):
                 if len(a):
                     steps, _ = _steps(found.data, a, b)
                     steps = steps[steps % STATES < STATES - 1]
