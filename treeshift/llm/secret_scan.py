@@ -41,7 +41,7 @@ KEY_CHARACTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 CANDIDATE = 20
 SAMPLE_RUN = 4
 #: Natural log of the odds against a run being a secret, which the ratio must exceed.
-PRIOR = 14.0
+PRIOR = 8.0
 #: Documents the models are trained from; a sample by hash of the id.
 TRAINING_DOCUMENTS = 20_000
 
@@ -142,7 +142,10 @@ def scan_texts(texts: list[bytes], ratio: np.ndarray) -> list[tuple[int, int, in
     starts, ends = found.starts[long], found.ends[long]
     if len(starts):
         steps, bounds = _steps(found.data, starts, ends)
-        chosen = np.add.reduceat(ratio[steps], bounds) > PRIOR
+        # each transition counts once in a run, so a repeated pattern does not add up
+        run = np.repeat(np.arange(len(starts)), np.diff([*bounds, len(steps)]))
+        distinct = np.unique(run * STATES**2 + steps)
+        chosen = np.bincount(distinct // STATES**2, ratio[distinct % STATES**2], len(starts)) > PRIOR
         starts, ends = starts[chosen], ends[chosen]
     by_kind = [found.assign, found.access, found.hex, list(zip(starts.tolist(), ends.tolist()))]
     spans = [(a, kind, b) for kind, own in enumerate(by_kind) for a, b in own]
