@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +37,13 @@ CAPACITY = 2048
 END = 1
 WASTE = 0.02
 FAN_IN = 64
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, about 200 bytes each.
+REMEMBERED = 800_000
+#: The tokenizer's own first split, for text that is all ASCII.
+ASCII_SPLIT = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII
+)
+SPECIAL = "<|"
 
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -50,9 +56,9 @@ class Encoder:
 
     Byte-level BPE never merges across a space that follows other text, so ids
     are looked up for each word with its leading space and only new words are
-    given to the tokenizer. A piece between spaces that is empty or ends in white
-    space stays with what follows it, as white space there is split by what
-    follows.
+    given to the tokenizer, a new ASCII word without the punctuation around it. A
+    piece between spaces that is empty or ends in white space stays with what
+    follows it, as white space there is split by what follows.
     """
 
     def __init__(self, path: str):
@@ -81,9 +87,14 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        new = list({u for words in units for u in words if u not in known})
+        split = {}
+        for word in {u for words in units for u in words if u not in known}:
+            split[word] = ASCII_SPLIT.findall(word) if word.isascii() and SPECIAL not in word else [word]
+        new = list({part for parts in split.values() for part in parts if part not in known})
         for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        for word, parts in split.items():
+            known[word] = b"".join([known[part] for part in parts])
         return [b"".join([known[u] for u in words]) for words in units]
 
 
