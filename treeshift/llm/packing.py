@@ -37,13 +37,16 @@ CAPACITY = 2048
 END = 1
 WASTE = 0.02
 FAN_IN = 64
-#: Words whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers, about 200 bytes each; when so many are new,
+#: those that were not used meanwhile are forgotten.
+REMEMBERED = 600_000
 #: The tokenizer's own first split, for text that is all ASCII.
 ASCII_SPLIT = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII
 )
 SPECIAL = "<|"
+#: A word that can be a line: nothing but its first character may be a blank.
+LINE = re.compile(r" ?\S+")
 
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -67,6 +70,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        (self.line_feed,) = self.ids("\n").tolist()
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -82,17 +87,42 @@ class Encoder:
                 held = ""
         return [*units, held] if held else units
 
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words, most of them in one call as lines of one text.
+
+        A line feed before a word is always a token of its own, so the ids of the
+        lines are what stands between its ids.
+        """
+        lines = [w for w in words if LINE.fullmatch(w) and SPECIAL not in w]
+        for start in range(0, len(lines), 4096):
+            part = lines[start : start + 4096]
+            ids = self.ids("\n".join(part))
+            edges = np.flatnonzero(ids == self.line_feed)
+            data, bounds = ids.tobytes(), [-1, *edges.tolist(), len(ids)]
+            for word, a, b in zip(part, bounds, bounds[1:]):
+                self.known[word] = data[4 * a + 4 : 4 * b]
+        for word in words:
+            if word not in self.known:
+                self.known[word] = self.ids(word).tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, dtype="<u4")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         units = [self.units(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         split = {}
         for word in {u for words in units for u in words if u not in known}:
+            if word in before:
+                known[word] = before[word]
+                continue
             split[word] = ASCII_SPLIT.findall(word) if word.isascii() and SPECIAL not in word else [word]
-        new = list({part for parts in split.values() for part in parts if part not in known})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        new = {part for parts in split.values() for part in parts if part not in known}
+        known.update({part: before[part] for part in new if part in before})
+        self.learn([part for part in new if part not in before])
         for word, parts in split.items():
             known[word] = b"".join([known[part] for part in parts])
         return [b"".join([known[u] for u in words]) for words in units]
