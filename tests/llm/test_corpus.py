@@ -274,6 +274,14 @@ def test_language_accuracy_and_rejection(docs, odd, rows):
     assert language_id.languages(docs.limit(0)).count() == 0
 
 
+def test_language_accuracy_on_four_languages(spark):
+    docs = catalog.documents(spark, "/root/testdata/sf0.01")
+    found = language_id.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len({r.lang for r in found}) == 4
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(found)
+    assert sum(r.accepted for r in found) >= 0.97 * len(found)
+
+
 def test_subwords_stay_inside_words():
     one = [np.sort(b) for b, _ in language_id.subwords([b"the sun"])]
     parts = [np.sort(np.concatenate(x)) for x in zip(*[[b for b, _ in language_id.subwords([w])] for w in (b"the", b"sun")])]

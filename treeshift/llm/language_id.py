@@ -151,8 +151,9 @@ def train(
     rows = _sample(labelled, languages, per_language).mapInArrow(_bags, schema).collect()
     rows.sort(key=lambda r: (r["rank"], r["lang"].encode()))
     examples = [(names.index(r["lang"]), np.array(r["buckets"], np.int64), np.array(r["shares"], np.float32)) for r in rows]
-    fit = [e for i, e in enumerate(examples) if i % 4 != 3]
-    held = [e for i, e in enumerate(examples) if i % 4 == 3] or fit
+    # by rank within the language, so that both parts have all languages
+    fit = [e for r, e in zip(rows, examples) if r["rank"] % 4]
+    held = [e for r, e in zip(rows, examples) if r["rank"] % 4 == 0] or fit
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1, 1, (BUCKETS, dimensions)).astype(np.float32) / dimensions
     matrix = rng.normal(0, 0.1, (dimensions, len(names))).astype(np.float32)
