@@ -224,6 +224,23 @@ def _score_documents(hot, end_known: bool, end_base: float, end_score: float):
     return run
 
 
+def _hot_from(table: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` words reach, to about one part in eight.
+
+    From a histogram of counts with a few hundred classes, so no task sees more
+    than its own words.
+    """
+    step = F.floor(F.log2("found") * 8).cast("int")
+    classes = table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("found").alias("least")).collect()
+    reached, least = 0, 1 << 62
+    for row in sorted(classes, key=lambda r: -r["step"]):
+        reached += row["n"]
+        if reached > most:
+            break
+        least = row["least"]
+    return least
+
+
 def lm_scores(docs: DataFrame, vocabulary_file: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
@@ -249,7 +266,7 @@ def lm_scores(docs: DataFrame, vocabulary_file: str | None = None, hot_words: in
     # lattices cost far more than their bytes suggest, so they are dealt out evenly
     spread = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = staged(spread.mapInArrow(_score_words(path, scores, tokens, distinct), schema), "word-scores")
-    hot = table.orderBy(F.col("found").desc(), "word").limit(hot_words).drop("found").toArrow()
+    hot = table.filter(F.col("found") >= _hot_from(table, hot_words)).drop("found").toArrow()
     looked_up = dict(
         zip(
             hot["word"].cast(pa.binary()).to_pylist(),
