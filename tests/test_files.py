@@ -9,7 +9,8 @@ from treeshift.operators.line_churn import _common_lines, with_line_churn
 from treeshift.operators.numbering import number_rows
 from treeshift.operators.renames import best_matches, file_renames, similar_pairs
 from treeshift.sources.commits import first_parent_walk
-from treeshift.sources.trees import read_file_at_ref, scan_tree
+from treeshift.functions.text import file_content
+from treeshift.sources.trees import read_file_at_ref, scan_tree, write_tree
 
 
 def lcs(a, b):
@@ -176,3 +177,19 @@ def test_scan_directory(spark, tmp_path):
     )
     errors = {r.path: r.error for r in read_file_at_ref(tree, wanted).collect()}
     assert errors == {"src/a.rs": None, "bad.bin": "not_utf8", "nope": "file_not_found"}
+
+
+def test_write_tree_keeps_other_repositories(spark, make_tree, tmp_path):
+    first = make_tree({"a": "1"}, {"a": "2"})
+    second = first.withColumn("repo", F.lit("other"))
+    for tree in (first, second, second.filter("ref = 'base'")):
+        write_tree(tree, str(tmp_path / "trees"))
+    rows = spark.read.parquet(str(tmp_path / "trees")).select("repo", "ref").collect()
+    assert sorted(map(tuple, rows)) == [("other", "base"), ("r", "base"), ("r", "head")]
+
+
+def test_content_is_whole_unless_a_cut_is_asked_for(spark):
+    text = spark.createDataFrame([("é" * 200_000,)], "t string")
+    whole, cut = text.select(file_content(F.col("t")), file_content(F.col("t"), 101)).first()
+    assert (len(whole.content), whole.truncated) == (200_000, False)
+    assert (len(cut.content), cut.truncated, cut.size_bytes) == (50, True, 400_000)

@@ -179,7 +179,8 @@ def test_summary_does_not_depend_on_pages(make_tree, one_range):
     tree = make_tree(base, head)
     whole = change_manifest(tree, one_range, page_size=500, detect_renames=False).summary.first()
     paged = change_manifest(tree, one_range, page_size=10, detect_renames=False).summary.first()
-    assert whole.total_functions_changed == 30 and paged.total_functions_changed is None
+    assert whole.total_functions_changed == paged.total_functions_changed == 30
+    assert not whole.needs_more_pages and paged.needs_more_pages
     assert whole.total_files_changed == paged.total_files_changed == 30
     assert whole.languages_affected == ["rust"]
 

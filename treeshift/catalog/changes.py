@@ -252,12 +252,12 @@ def code_files(spark, sf) -> DataFrame:
 
 @query(
     "total_functions_changed",
-    sql(["code_truth"], """SELECT CASE WHEN count(DISTINCT path) <= 500 THEN count(*) END AS total_functions_changed,
-      CASE WHEN count(DISTINCT path) <= 1 THEN count(*) END AS when_paging FROM code_truth"""),
+    sql(["code_truth"], """SELECT count(*) AS total_functions_changed, count(DISTINCT path) > 500 AS needs_more_pages,
+      count(DISTINCT path) > 1 AS when_paging FROM code_truth"""),
 )
 def total_functions_changed(spark, sf):
     files = code_files(spark, sf)
-    small = M.total_functions_changed(files, 1).withColumnRenamed("total_functions_changed", "when_paging")
+    small = M.total_functions_changed(files, 1).select("range_id", F.col("needs_more_pages").alias("when_paging"))
     return M.total_functions_changed(files, 500).join(small, "range_id").drop("range_id")
 
 
@@ -365,7 +365,7 @@ def snapshots(spark, sf, limit=None) -> DataFrame:
     tree = fx.view(spark, sf, "doc_tree")
     paths = tree.select("path").distinct()
     numbered = G.number_rows(paths.withColumn("range_id", F.lit("x")), ["range_id"], ["path"], "ord")
-    return S.file_snapshots(tree, one_range(spark, "r0"), numbered, limit=limit, max_file_size_bytes=100_000)
+    return S.file_snapshots(tree, one_range(spark, "r0"), numbered, limit=limit)
 
 
 @query(

@@ -481,7 +481,7 @@ def truncate_content(spark, sf):
 )
 def line_range(spark, sf):
     docs = fx.table(spark, sf, "documents")
-    return docs.select("doc_id", T.file_content(F.col("text"), 10_000_000, (3, 5))["content"].alias("content"))
+    return docs.select("doc_id", T.file_content(F.col("text"), line_range=(3, 5))["content"].alias("content"))
 
 
 BINARY = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || chr(0) ELSE text END AS content FROM @documents@"
@@ -494,7 +494,7 @@ BINARY = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || chr(0) ELSE text
     FROM ({fx.to_duckdb(BINARY)}) b""",
 )
 def binary_content(spark, sf):
-    shown = T.file_content(F.col("content"), 10_000_000)
+    shown = T.file_content(F.col("content"))
     return fx.from_sql(spark, sf, BINARY).select("doc_id", shown.alias("c")).select(
         "doc_id", "c.line_count", F.length("c.content").cast("bigint").alias("shown"), "c.size_bytes"
     )

@@ -94,12 +94,17 @@ def pick_lines(text: Column, first: int, last: int) -> Column:
 
 
 def file_content(
-    text: Column, max_bytes: int, line_range: tuple[int, int] | None = None
+    text: Column, max_bytes: int | None = None, line_range: tuple[int, int] | None = None
 ) -> Column:
-    """``struct(content, line_count, size_bytes, truncated)``; NULL for NULL text."""
+    """``struct(content, line_count, size_bytes, truncated)``; NULL for NULL text.
+
+    The whole content, unless ``max_bytes`` asks for a cut.
+    """
     size = size_bytes(text)
-    over = size > max_bytes
-    shown = F.when(over, cut_at_bytes(text, max_bytes)).otherwise(text)
+    over, shown = F.lit(False), text
+    if max_bytes is not None:
+        over = size > max_bytes
+        shown = F.when(over, cut_at_bytes(text, max_bytes)).otherwise(text)
     if line_range is not None:
         shown = pick_lines(shown, *line_range)
     binary = is_binary(text)

@@ -54,12 +54,10 @@ def languages_affected(language: Column) -> Column:
 
 
 def total_functions_changed(files: DataFrame, page_size: int) -> DataFrame:
-    """NULL when nothing was analysed, or when the files need more than one page."""
+    """NULL when nothing was analysed; ``needs_more_pages`` tells if the files exceed one page."""
     return files.groupBy("range_id").agg(
-        F.when(
-            F.count("*") <= clamp_page_size(page_size),
-            F.sum(F.size(F.col("functions_changed")).cast("bigint")),
-        ).alias("total_functions_changed")
+        F.sum(F.size(F.col("functions_changed")).cast("bigint")).alias("total_functions_changed"),
+        (F.count("*") > clamp_page_size(page_size)).alias("needs_more_pages"),
     )
 
 

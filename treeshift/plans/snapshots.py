@@ -8,7 +8,7 @@ from treeshift.functions import paths as P
 from treeshift.functions.text import file_content, size_bytes, tokens_of_bytes
 from treeshift.sources.trees import with_blob_id
 
-MAX_FILES = 20  # of one request; the rest has to be asked for again
+MAX_FILES = 20  # of one request, where a caller asks for the first ones only
 
 
 def limit_snapshot_files(requested: DataFrame, limit: int = MAX_FILES) -> DataFrame:
@@ -25,11 +25,15 @@ def file_snapshots(
     requested: DataFrame,
     include_before: bool = True,
     include_after: bool = True,
-    max_file_size_bytes: int = 100_000,
+    max_file_size_bytes: int | None = None,
     line_range: tuple[int, int] | None = None,
-    limit: int | None = MAX_FILES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """``requested(range_id, path, ord)``; a missing or undecodable side is NULL."""
+    """``requested(range_id, path, ord)``; a missing or undecodable side is NULL.
+
+    All requested files with their whole content; ``limit`` and
+    ``max_file_size_bytes`` cut on request only.
+    """
     wanted = requested if limit is None else limit_snapshot_files(requested, limit)
     wanted = wanted.join(ranges, "range_id")
     content = with_blob_id(tree).select("repo", "ref", "path", "content")

@@ -23,7 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh one if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a fresh one if unset in local mode."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -31,6 +31,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not configured and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="treeshift-ckpt-"))
     return context.getCheckpointDir()
 

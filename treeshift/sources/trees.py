@@ -35,11 +35,16 @@ def with_blob_id(tree: DataFrame) -> DataFrame:
 
 
 def write_tree(tree: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Land a tree as Parquet by repository, clustered so that a ref prunes well."""
+    """Land a tree as Parquet by repository, clustered so that a ref prunes well.
+
+    Replaces the repositories it brings and leaves all others in ``path`` alone.
+    """
     out = with_blob_id(tree)
     if buckets:
         out = out.repartition(buckets, "repo", "ref")
-    out.sortWithinPartitions("ref", "path").write.mode("overwrite").partitionBy("repo").parquet(path)
+    out.sortWithinPartitions("ref", "path").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("repo").parquet(path)
 
 
 def list_files(tree: DataFrame, repo: str, ref: str) -> DataFrame:
