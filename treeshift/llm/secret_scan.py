@@ -69,8 +69,8 @@ class Scanned:
         self.data = np.frombuffer(self.buffer, dtype=np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.first = 1 + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.assign = [m.span() for m in ASSIGN.finditer(self.buffer) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
-        self.values = [m.span(2) for m in ASSIGN.finditer(self.buffer) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
+        assigned = [m for m in ASSIGN.finditer(self.buffer) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
+        self.assign, self.values = [m.span() for m in assigned], [m.span(2) for m in assigned]
         self.access = [m.span() for m in ACCESS.finditer(self.buffer)]
         starts, ends = _runs(_HEX[self.data])
         long = ends - starts >= 32
