@@ -141,3 +141,39 @@ def test_conversations(spark):
     }
     assert (rows[1, "call-2"].depth, rows[1, "call-2"].errors) == (1, "$.prompt: length")
     assert rows[1, "call-0"].json == '{"arguments":{"prompt":"a","turn":0},"id":"call-0","name":"reply","result":"b","status":"linked"}'
+
+
+def depths_by_hand(uses: dict[str, list[str]]) -> dict[str, int]:
+    """Longest chain below each call, rounds of calls all of whose references are known."""
+    known: dict[str, int] = {}
+    while True:
+        ready = {
+            c: 1 + max((known[r] for r in refs if r in uses), default=-1)
+            for c, refs in uses.items()
+            if c not in known and all(r in known for r in refs if r in uses)
+        }
+        if not ready:
+            return known
+        known |= ready
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_depths_of_chains_forks_and_circles(spark, seed):
+    rng = np.random.default_rng(seed)
+    graphs = {
+        1: {str(i): [str(i - 1)] if i else [] for i in range(70)},  # one long chain
+        2: {str(i): ["0"] if i else [] for i in range(40)},  # all refer to one call
+        3: {str(i): [str(j) for j in {*rng.integers(0, 40, int(rng.integers(0, 3))).tolist()}] for i in range(40)},
+        4: {str(i): [str(j) for j in {*rng.integers(0, max(i, 1), int(rng.integers(1, 4))).tolist()} if j < i] for i in range(40)},
+        5: {"a": ["a"], "b": ["a"], "c": ["b", "d"], "d": [], "e": ["d", "gone"], "f": ["e"], "g": ["f", "d"], "h": ["g"]},
+        6: {"a": ["c"], "b": ["a"], "c": ["b"], "d": ["c"]},
+    }
+    calls = [
+        (conv, turn, call, "add", json.dumps({"a": [{"$result": r} for r in refs]}), 0)
+        for conv, uses in graphs.items()
+        for turn, (call, refs) in enumerate(uses.items())
+    ]
+    found = tool_calls.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), TOOLS).collect()
+    got = {conv: {r.call_id: r.depth for r in found if r.conv_id == conv and r.depth is not None} for conv in graphs}
+    assert got == {conv: depths_by_hand(uses) for conv, uses in graphs.items()}
+    assert all((r.status == "cyclic") == (r.depth is None) for r in found)

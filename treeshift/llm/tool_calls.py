@@ -2,8 +2,9 @@
 
 Calls and results meet in a hash join on conversation and call identifier. Calls
 whose arguments refer to another call's result ({"$result": id}, at any depth)
-come after it: each round settles the calls all of whose references are settled,
-so a call's depth is the longest chain below it. Arguments are checked against
+come after it: a call's depth is the longest chain below it. Chains of single
+references are followed by pointers that double their reach in every round; calls
+with several references settle once all of these have. Arguments are checked against
 the schema of the tool, and each linked call is serialised as canonical JSON:
 keys sorted, no blanks, UTF-8.
 
@@ -123,35 +124,89 @@ def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "json"])
 
 
+KEY = ["conv_id", "call_id"]
+
+
+def _chain_ends(single: DataFrame, longest: int) -> DataFrame:
+    """(conv_id, call_id, end, steps): where the chain of a call with one reference (use) ends, and how far off.
+
+    Each round doubles the reach of every pointer, so a chain of n calls takes
+    log2(n) rounds. No chain is longer than ``longest``, the calls of the largest
+    conversation; what has not ended by then leads into a circle and is left out.
+    """
+    hops = staged(single.select(*KEY, F.col("use").alias("end"), F.lit(1).cast("long").alias("steps")), "call-chains")
+    reach = 1
+    while reach < longest:
+        further = hops.select(
+            "conv_id", F.col("call_id").alias("end"), F.col("end").alias("beyond"), F.col("steps").alias("more")
+        )
+        moved = staged(
+            hops.join(further, ["conv_id", "end"], "left").select(
+                *KEY,
+                F.coalesce("beyond", "end").alias("end"),
+                (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+                F.col("beyond").isNotNull().alias("moved"),
+            ),
+            "call-chains",
+        )
+        hops = moved.drop("moved")
+        reach *= 2
+        if moved.filter("moved").isEmpty():
+            break
+    return hops.join(single.select("conv_id", F.col("call_id").alias("end")), ["conv_id", "end"], "left_anti")
+
+
 def _depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth) of all calls that are in no cycle nor behind one.
 
-    One round for each level of references.
+    Chains of calls with one reference each are followed first, by doubling. Then
+    only calls with several references are left, which take a round a level.
     """
-    key = ["conv_id", "call_id"]
     edges = staged(
-        calls.select(*key, F.explode("uses").alias("use"))
+        calls.select(*KEY, F.explode("uses").alias("use"))
         .join(calls.select("conv_id", F.col("call_id").alias("use")), ["conv_id", "use"])
         .distinct(),
         "call-uses",
     )
+    fan = staged(edges.groupBy(KEY).agg(F.count(F.lit(1)).alias("refs"), F.min("use").alias("use")), "call-fans")
+    longest = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("calls")).agg(F.max("calls")).first()[0] or 0
+    ends = staged(_chain_ends(fan.filter("refs = 1").drop("refs"), longest), "call-ends")
     settled = staged(
-        calls.select(key).join(edges.select(key), key, "left_anti").withColumn("depth", F.lit(0)), "call-depths"
+        calls.select(KEY).join(fan.select(KEY), KEY, "left_anti").withColumn("depth", F.lit(0).cast("long")), "call-depths"
+    )
+    # a reference to a chain is one to its end; one to a circle has no end and stays open
+    single = fan.filter("refs = 1").select("conv_id", F.col("call_id").alias("use"), F.lit(True).alias("chained"))
+    chain = ends.select("conv_id", F.col("call_id").alias("use"), "end", "steps")
+    waiting = staged(
+        edges.join(fan.filter("refs > 1").select(KEY), KEY, "left_semi")
+        .join(single, ["conv_id", "use"], "left")
+        .join(chain, ["conv_id", "use"], "left")
+        .select(
+            *KEY,
+            F.when(F.col("chained"), F.col("end")).otherwise(F.col("use")).alias("use"),
+            (F.coalesce("steps", F.lit(0)) + 1).alias("steps"),
+        ),
+        "call-uses",
     )
-    while not edges.isEmpty():
+    while not waiting.isEmpty():
         done = settled.select("conv_id", F.col("call_id").alias("use"), F.col("depth").alias("below"))
-        marked = edges.join(done, ["conv_id", "use"], "left")
         ready = (
-            marked.groupBy(key)
-            .agg(F.max("below").alias("below"), F.count(F.when(F.col("below").isNull(), 1)).alias("waiting"))
-            .filter("waiting = 0")
+            waiting.join(done, ["conv_id", "use"], "left")
+            .groupBy(KEY)
+            .agg(
+                F.max(F.col("below") + F.col("steps")).alias("depth"),
+                F.count(F.when(F.col("below").isNull(), 1)).alias("open"),
+            )
+            .filter("open = 0")
         )
-        new = staged(ready.select(*key, (F.col("below") + 1).cast("int").alias("depth")), "call-depths")
+        new = staged(ready.select(*KEY, "depth"), "call-depths")
         if new.isEmpty():
             break
         settled = staged(settled.unionByName(new), "call-depths")
-        edges = staged(edges.join(new.select(key), key, "left_anti"), "call-uses")
-    return settled
+        waiting = staged(waiting.join(new.select(KEY), KEY, "left_anti"), "call-uses")
+    below = settled.select("conv_id", F.col("call_id").alias("end"), "depth")
+    chained = ends.join(below, ["conv_id", "end"]).select(*KEY, (F.col("depth") + F.col("steps")).alias("depth"))
+    return settled.unionByName(chained).select(*KEY, F.col("depth").cast("int"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -160,12 +215,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     Returns conv_id, call_id, turn, status, depth, position (order in the conversation
     that respects references), repeats, valid, errors and json.
     """
-    key = ["conv_id", "call_id"]
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = F.min(F.struct("turn", "name", "arguments"))
     unique = (
-        calls.filter(named).groupBy(key).agg(first.alias("call"), F.count(F.lit(1)).alias("repeats"))
-        .select(*key, "call.turn", "call.name", "call.arguments", "repeats")
+        calls.filter(named).groupBy(KEY).agg(first.alias("call"), F.count(F.lit(1)).alias("repeats"))
+        .select(*KEY, "call.turn", "call.name", "call.arguments", "repeats")
     )
     fields = {"conv_id": calls.schema["conv_id"], "turn": calls.schema["turn"]}
     kinds = {n: f.dataType.simpleString() for n, f in fields.items()}
@@ -176,12 +230,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     checked = staged(unique.mapInArrow(_check(schemas), schema), "calls")
     exists = checked.select("conv_id", F.col("call_id").alias("use"), F.lit(True).alias("there"))
     missing = (
-        checked.select(*key, F.explode("uses").alias("use"))
+        checked.select(*KEY, F.explode("uses").alias("use"))
         .join(exists, ["conv_id", "use"], "left_anti")
-        .groupBy(key)
+        .groupBy(KEY)
         .agg(F.array_sort(F.collect_set(F.concat(F.lit("$result: no call "), "use"))).alias("missing"))
     )
-    answers = results.filter(named).groupBy(key).agg(F.min(F.struct("turn", "result")).alias("answer"))
+    answers = results.filter(named).groupBy(KEY).agg(F.min(F.struct("turn", "result")).alias("answer"))
     status = (
         F.when(F.col("repeats").isNull(), "orphan")
         .when(F.col("depth").isNull(), "cyclic")
@@ -189,11 +243,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         .otherwise("linked")
     )
     linked = (
-        checked.join(_depths(checked), key, "left")
-        .join(missing, key, "left")
-        .join(answers, key, "full")
+        checked.join(_depths(checked), KEY, "left")
+        .join(missing, KEY, "left")
+        .join(answers, KEY, "full")
         .select(
-            *key,
+            *KEY,
             F.coalesce("turn", "answer.turn").alias("turn"),
             status.alias("status"),
             "depth",
@@ -208,7 +262,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     kinds_out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in linked.schema)
     written = linked.mapInArrow(_serialise, kinds_out + ", json string")
     return number_rows(written.drop("name", "plain", "result"), ["conv_id"], ["last", "turn", "call_id"]).select(
-        *key, "turn", "status", "depth", "position", "repeats", (F.size("errors") == 0).alias("valid"),
+        *KEY, "turn", "status", "depth", "position", "repeats", (F.size("errors") == 0).alias("valid"),
         F.array_join("errors", "; ").alias("errors"), "json",
     )
 
