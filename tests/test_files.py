@@ -10,7 +10,7 @@ from treeshift.operators.numbering import number_rows
 from treeshift.operators.renames import best_matches, file_renames, similar_pairs
 from treeshift.sources.commits import first_parent_walk
 from treeshift.functions.text import file_content
-from treeshift.sources.trees import read_file_at_ref, scan_tree, write_tree
+from treeshift.sources.trees import blobs, read_file_at_ref, scan_tree, write_tree
 
 
 def lcs(a, b):
@@ -166,12 +166,47 @@ def test_walk_over_branches(spark):
     assert "same" not in got
 
 
+def test_walk_in_a_circle_ends(spark):
+    rows = [("r", f"c{i}", f"c{(i + 1) % 5}") for i in range(5)] + [("s", "a", None), ("s", "b", "a")]
+    commits = spark.createDataFrame(rows, "repo string, sha string, parent_sha string")
+    ranges = spark.createDataFrame(
+        [("lost", "r", "nowhere", "c0"), ("met", "r", "c4", "c0"), ("short", "s", "a", "b")],
+        "range_id string, repo string, base_sha string, head_sha string",
+    )
+    got = {}
+    for r in first_parent_walk(commits, ranges).orderBy("range_id", "seq").collect():
+        got.setdefault(r.range_id, []).append(r.sha or r.error)
+    assert got == {"lost": ["base_not_an_ancestor"], "met": ["c3", "c2", "c1", "c0"], "short": ["b"]}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_landed_trees_are_compared_without_their_content(spark, make_tree, one_range, tmp_path):
+    body = "".join(f"line {i}\n" for i in range(9))
+    tree = make_tree(
+        {"same": body, "edit": body, "old": body + "x\n", "bin": "\x00"}, {"same": body, "edit": body + "y", "new": "z", "bin": "\x00\x00"}
+    )
+    write_tree(tree, str(tmp_path / "trees"))
+    landed = spark.read.parquet(str(tmp_path / "trees"))
+    plan = _plan(diff_trees(landed, one_range))
+    assert "lines" in plan and "content" not in plan
+    want = {tuple(r) for r in diff_trees(tree, one_range).collect()}
+    assert {tuple(r) for r in diff_trees(landed, one_range).collect()} == want and len(want) == 4
+    # unwanted content leaves before duplicates are removed
+    found = _plan(blobs(landed, landed.filter("path = 'edit'").select("blob_id")))
+    assert "LeftSemi" in found and found.index("Aggregate") < found.index("LeftSemi")
+
+
 def test_scan_directory(spark, tmp_path):
-    (tmp_path / "src").mkdir()
+    tmp_path = tmp_path / "a+b (1).c"
+    (tmp_path / "src").mkdir(parents=True)
     (tmp_path / "src" / "a.rs").write_text("fn a() {}\n")
     (tmp_path / "bad.bin").write_bytes(b"\xff\xfe\x00")
-    tree = scan_tree(spark, str(tmp_path), "r", "head")
-    assert {(r.path, r.content) for r in tree.collect()} == {("src/a.rs", "fn a() {}\n"), ("bad.bin", None)}
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        tree = scan_tree(spark, root, "r", "head")
+        assert {(r.path, r.content) for r in tree.collect()} == {("src/a.rs", "fn a() {}\n"), ("bad.bin", None)}
     wanted = spark.createDataFrame(
         [("r", "head", p) for p in ("src/a.rs", "bad.bin", "nope")], "repo string, ref string, path string"
     )

@@ -119,6 +119,16 @@ def test_function_names(spark):
     assert got == {lang: names for lang, (_, names) in CASES.items()}
 
 
+def test_python_headers_over_several_lines(spark):
+    text = "class A(\n    B,\n    C,\n):\n    def m(\n        self,\n    ):\n        f()\n\n    def n(self):\n        g()\n\ndef top(\n    x,\n):\n    h()\n"
+    blobs = spark.createDataFrame([("1", "python", text)], "blob_id string, language string, content string")
+    row = extract_symbols(blobs, ["python"]).first()
+    assert [(f.name, f.start_line, f.end_line) for f in row.functions] == [
+        ("A", 1, 11), ("A.m", 5, 8), ("A.n", 10, 11), ("top", 13, 16)
+    ]
+    assert [(c.callee, c.caller) for c in row.calls] == [("f", "A"), ("g", "A"), ("h", "top")]
+
+
 def test_unbalanced_and_odd_text(spark):
     texts = ["", "\n", "}}}}\n", "fn f() {\n", '"' * 1001, "/* never closed", "fn a() {}\r\nfn b() {\r\n}\r\n"]
     blobs = spark.createDataFrame(

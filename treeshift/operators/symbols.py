@@ -293,7 +293,8 @@ def _with_levels(lines: DataFrame, langs: list[str]) -> DataFrame:
         F.col("container.name"),
         F.when(brace & ~F.col("header") & F.col("prev_event.pending"), F.col("prev_event.container.name")),
     )
-    opener = F.when(brace, F.col("delta") > 0).otherwise(counted)
+    # a line like `):` ends a header above it and opens nothing itself
+    opener = F.when(brace, F.col("delta") > 0).otherwise(counted & ~F.col("closing"))
     return lines.select(
         "*",
         level.cast("int").alias("level"),

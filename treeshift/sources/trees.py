@@ -1,24 +1,30 @@
-"""Source trees: ``tree(repo, ref, path, content[, blob_id])``."""
+"""Source trees: ``tree(repo, ref, path, content[, blob_id, size, binary, lines])``."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeshift.functions import text as T
 from treeshift.functions.languages import EXTENSIONS
 
+STATISTICS = ["size", "binary", "lines"]
+
 
 def scan_tree(spark: SparkSession, root: str, repo: str, ref: str) -> DataFrame:
     """The files below a directory as a tree; content is NULL unless valid UTF-8.
 
     ``blob_id`` is the SHA-256 of the raw bytes, so undecodable files still
-    compare by identity.
+    compare by identity. Paths are relative to the root, with or without the
+    scheme and host that the file system puts in front.
     """
     base = root.rstrip("/")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     )
-    relative = F.regexp_replace("path", f"^[a-z0-9]*:?/*{base.lstrip('/')}/", "")
+    bare = re.sub(r"^[A-Za-z0-9+.-]+:(?://[^/]*)?", "", base).strip("/")
+    relative = F.regexp_replace("path", rf"^(?:[A-Za-z0-9+.-]+:(?://[^/]*)?)?/*\Q{bare}\E/+", "")
     return files.select(
         F.lit(repo).alias("repo"),
         F.lit(ref).alias("ref"),
@@ -34,12 +40,22 @@ def with_blob_id(tree: DataFrame) -> DataFrame:
     return tree.withColumn("blob_id", F.sha2("content", 256))
 
 
+def with_statistics(tree: DataFrame) -> DataFrame:
+    """A tree with the blob id, size, binary flag and line count of each file; those it has are kept."""
+    t = with_blob_id(tree)
+    content = F.col("content")
+    found = {"size": T.size_bytes(content), "binary": T.is_binary(content), "lines": T.text_lines(content)}
+    return t.withColumns({name: found[name] for name in STATISTICS if name not in tree.columns})
+
+
 def write_tree(tree: DataFrame, path: str, buckets: int | None = None) -> None:
     """Land a tree as Parquet by repository, clustered so that a ref prunes well.
 
-    Replaces the repositories it brings and leaves all others in ``path`` alone.
+    Identities and statistics are landed with it, so comparing trees reads no
+    content. Replaces the repositories it brings and leaves all others in
+    ``path`` alone.
     """
-    out = with_blob_id(tree)
+    out = with_statistics(tree)
     if buckets:
         out = out.repartition(buckets, "repo", "ref")
     out.sortWithinPartitions("ref", "path").write.mode("overwrite").option(
@@ -54,25 +70,22 @@ def list_files(tree: DataFrame, repo: str, ref: str) -> DataFrame:
 def file_index(tree: DataFrame) -> DataFrame:
     """A tree without its content: identity and statistics per file.
 
-    Everything here is computed where the content is read, so that only these
-    narrow columns enter a shuffle.
+    A landed tree (see ``write_tree``) has them as columns, and its content is
+    not read. Otherwise all is computed where the content is read, so that only
+    these narrow columns enter a shuffle.
     """
-    t = with_blob_id(tree)
-    content = F.col("content")
-    return t.select(
-        "repo",
-        "ref",
-        "path",
-        "blob_id",
-        T.size_bytes(content).alias("size"),
-        T.is_binary(content).alias("binary"),
-        T.text_lines(content).alias("lines"),
-    )
+    return with_statistics(tree).select("repo", "ref", "path", "blob_id", *STATISTICS)
 
 
-def blobs(tree: DataFrame) -> DataFrame:
-    """``(blob_id, content)``, once per distinct content."""
-    return with_blob_id(tree).select("blob_id", "content").dropDuplicates(["blob_id"])
+def blobs(tree: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``(blob_id, content)``, once per distinct content; only the ``wanted(blob_id)`` ones if given.
+
+    Unwanted content leaves before the shuffle that removes duplicates.
+    """
+    found = with_blob_id(tree).select("blob_id", "content")
+    if wanted is not None:
+        found = found.join(wanted.select("blob_id"), "blob_id", "left_semi")
+    return found.dropDuplicates(["blob_id"])
 
 
 def read_file_at_ref(tree: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -87,7 +100,7 @@ def read_file_at_ref(tree: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def read_blob(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """Content of ``wanted(blob_id)``."""
-    return wanted.join(blobs(tree), "blob_id", "left")
+    return wanted.join(blobs(tree, wanted), "blob_id", "left")
 
 
 def languages(spark: SparkSession) -> DataFrame:
