@@ -206,6 +206,29 @@ def test_near_groups_with_small_leaves(docs, rows, depth, monkeypatch):
     assert sum(found[d] != c for d, c in want.items()) <= 3
 
 
+@pytest.mark.parametrize("depth", [1, 12])
+def test_near_groups_misses_no_link_in_a_dense_group(spark, depth, monkeypatch):
+    """A template group just below the threshold with linked pairs in it, many times a leaf."""
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    rng = random.Random(11)
+    core = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(0, 400, 2):
+        own = [f"d{i}n{k}" for k in range(40)]
+        rows.append((i, " ".join(core + own)))
+        # the odd one shares ten of its partner's own words, or is a text of its own
+        other = own[:10] + [f"e{i}n{k}" for k in range(30)] if i % 4 == 0 else [f"f{i}n{k}" for k in range(40)]
+        rows.append((i + 1, " ".join(core + other)))
+    copied = [f"v{i}" for i in range(400)]
+    rows += [(1000 + i, " ".join([*copied, *rng.sample(copied, i % 30)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {d: c for d, _, c in near_components(rows)}
+    assert sum(want[i] != i for i in range(400)) == 100
+    found = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert found == want
+
+
 def test_packing_round_trip(docs, odd, rows):
     pieces = packing.pack(odd).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

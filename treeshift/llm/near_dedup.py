@@ -13,10 +13,13 @@ the work stays in proportion. Of links at the threshold, 85 in 100 meet in one
 tree where nodes are small, and about half where a node takes six more levels:
 ten trees find 0.99999 and 0.999 of them.
 
-A tree node that is still too large at the last level holds documents that agree
-in ``DEPTH`` + 1 chosen tokens: one dense group. It is dealt out in blocks, and
-each block gets the member that agrees best with the whole group, so the group
-is linked through it; links past it are found within blocks and in other trees.
+A larger node whose members agree with each other in more than ``DENSE`` of their
+tokens is no longer branched, since that would cost more than it saves; nor is one
+that is down to ``WIDE`` leaves after ``DEPTH`` levels. Others go on, with tokens
+that are new to their path. What is set apart so is one dense group for all trees
+whose most typical members, the hubs, are shared. All members are compared with
+the hub on the full sets. Those linked to it are one component; the others are
+compared with all members in cells of two blocks, each pair of blocks once.
 
 Defined cases: a document with fewer words than a shingle has its whole sequence
 as the only element. Without words, or with a null text, the set is empty,
@@ -44,6 +47,12 @@ TREES = 10
 LEAF = 1024
 DEPTH = 12
 BRANCHING = 1.25
+#: Mean share of tokens that agree with the commonest ones, above which branching does not pay.
+DENSE = 0.88
+#: Leaves that a node may have to be compared in cells once it took ``DEPTH`` levels.
+WIDE = 16
+#: Members of a large node that are looked at to tell whether it is dense.
+SEEN = 64
 #: Below this share of common minwise tokens a pair cannot have similarity 0.85 (four deviations).
 LIKELY = 0.66
 
@@ -147,53 +156,148 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of tree nodes (path, node): those of leaves, and those of larger nodes."""
+    """Members of tree nodes (path, node): those of leaves, and with its size those of larger nodes."""
     rows = staged(rows, "tree")
     sizes = staged(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "tree-sizes")
     held = join_unique(rows, sizes, "path", "size")
-    return held.filter(F.col("size") <= LEAF).drop("size"), held.filter(F.col("size") > LEAF).drop("size")
+    return held.filter(F.col("size") <= LEAF).drop("size"), held.filter(F.col("size") > LEAF)
 
 
-def leaves(nodes: DataFrame) -> DataFrame:
-    """(path, node, tokens) for all members of leaves with two members or more."""
+def _typical(held: DataFrame) -> DataFrame:
+    """path, size, density and commonest tokens of each large node, from about ``SEEN`` of its members.
+
+    This only steers how a node is gone through, not what is compared.
+    """
+    seen = held.filter(F.pmod(F.xxhash64("path", "node", F.lit("seen")), F.col("size")) < SEEN)
+    each = seen.select("path", "size", F.posexplode("tokens").alias("at", "token"))
+    votes = each.groupBy("path", "size", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("path", "size", "at").agg(
+        F.max_by("token", F.struct("votes", "token")).alias("token"), (F.max("votes") / F.sum("votes")).alias("share")
+    )
+    return best.groupBy("path", "size").agg(
+        F.avg("share").alias("density"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("common"),
+    )
+
+
+def leaves(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(path, node) for all members of leaves with two members or more, and (path, node, agrees) for dense nodes."""
+    tokens = nodes.select("node", "tokens")
     roots = nodes.select("node", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
-    small, large = _dealt(roots.select(F.xxhash64("tree", "token").alias("path"), "node"))
-    found = [small]
-    for level in range(DEPTH):
-        large = staged(large, "tree-large")
-        if large.isEmpty():
+    # a bit for each of the tokens that a path has used
+    small, large = _dealt(roots.select(F.xxhash64("tree", "token").alias("path"), "node", F.lit(0).cast("long").alias("used")))
+    found, dense, level = [small.select("path", "node")], [], 0
+    while True:
+        held = staged(large.join(tokens, "node"), "tree-large")
+        if held.isEmpty():
             break
-        tokens = nodes.select("node", F.slice("tokens", TREES + 1, SKETCH - TREES).alias("rest"))
-        choice = F.pmod(F.xxhash64("path", F.lit(level), "branch"), F.lit(SKETCH - TREES)) + 1
+        facts = staged(_typical(held), "tree-typical")
+        apart = F.col("density") > DENSE
+        if level >= DEPTH:
+            apart |= F.col("size") <= WIDE * LEAF
+        if level >= SKETCH - TREES:
+            apart = F.lit(True)
+        marked = join_unique(held.drop("size"), facts.withColumn("apart", apart), "path", "size")
+        agrees = F.aggregate(F.zip_with("tokens", "common", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+        dense.append(staged(marked.filter("apart").select("path", "node", agrees.alias("agrees")), "tree-dense"))
         second = F.pmod(F.xxhash64("path", F.lit("second"), F.lit(level)), F.lit(1000)) < 1000 * (BRANCHING - 1)
         ways = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        branches = large.withColumn("branch", F.explode(ways)).join(tokens, "node")
-        path = F.xxhash64("path", "branch", F.element_at("rest", choice.cast("int")))
-        small, large = _dealt(branches.select(path.alias("path"), "node"))
-        found.append(small)
-    else:
-        large = staged(large, "tree-dense")
-        if not large.isEmpty():
-            found.append(_blocks(large, nodes))
-    members = functools.reduce(DataFrame.unionByName, found)
-    return members.join(nodes.select("node", "tokens"), "node")
-
-
-def _blocks(dense: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Dense groups in blocks of about half a leaf, each with the group's most typical member."""
-    members = staged(dense.join(nodes.select("node", "tokens"), "node"), "tree-dense-tokens")
-    each = members.select("path", "node", F.posexplode("tokens").alias("at", "token"))
-    votes = each.groupBy("path", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
-    common = votes.groupBy("path", "at").agg(F.max_by("token", F.struct("votes", "token")).alias("token"))
-    agreement = each.join(common, ["path", "at", "token"]).groupBy("path", "node").agg(F.count(F.lit(1)).alias("agrees"))
-    typical = agreement.groupBy("path").agg(
-        F.max_by("node", F.struct("agrees", "node")).alias("hub"), F.count(F.lit(1)).alias("size")
+        free = F.expr(f"filter(sequence({TREES}, {SKETCH - 1}), i -> (shiftright(used, i - {TREES}) & 1) = 0)")
+        choice = F.element_at("free", (F.pmod(F.xxhash64("path", F.lit(level), "branch"), F.size("free")) + 1).cast("int"))
+        branches = (
+            marked.filter("NOT apart")
+            .withColumn("branch", F.explode(ways))
+            .withColumn("free", free)
+            .withColumn("choice", choice)
+            .select(
+                F.xxhash64("path", "branch", F.element_at("tokens", F.col("choice") + 1)).alias("path"),
+                "node",
+                F.expr(f"used | shiftleft(1L, choice - {TREES})").alias("used"),
+            )
+        )
+        small, large = _dealt(branches)
+        found.append(small.select("path", "node"))
+        level += 1
+    union = functools.partial(functools.reduce, DataFrame.unionByName)
+    return union(found), staged(union(dense), "dense") if dense else None
+
+
+def _dense_groups(dense: DataFrame) -> DataFrame:
+    """(part, node, hub) of dense nodes; nodes of several trees whose hubs are typical of one another are one group."""
+    hubs = staged(dense.groupBy("path").agg(F.max_by("node", F.struct("agrees", "node")).alias("hub"), F.max("agrees").alias("most")), "hubs")
+    meet = hubs.select(F.col("path").alias("a"), F.col("hub").alias("node")).join(
+        dense.filter(F.col("agrees") >= DENSE * SKETCH).select(F.col("path").alias("b"), "node"), "node"
     )
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.ceil(F.col("size") / (LEAF // 2)))
-    dealt = dense.join(typical, "path").withColumn("block", block)
-    path = F.xxhash64("path", F.lit("block"), "block").alias("path")
-    hubs = dealt.select(path, F.col("hub").alias("node")).distinct()
-    return dealt.filter(F.col("node") != F.col("hub")).select(path, "node").unionByName(hubs)
+    one = components(meet.filter("a != b").select("a", "b")).select(F.col("node").alias("path"), "root")
+    named = hubs.join(one, "path", "left").withColumn("part", F.coalesce("root", "path"))
+    chosen = named.groupBy("part").agg(F.max_by("hub", F.struct("most", "hub")).alias("hub"))
+    paths = named.select("path", "part").join(chosen, "part")
+    sizes = dense.groupBy("path").agg(F.count(F.lit(1)).alias("size")).join(paths, "path")
+    return staged(join_unique(dense.select("path", "node"), staged(sizes, "dense-sizes"), "path", "size").select("part", "node", "hub").distinct(), "dense-groups")
+
+
+def _hub_links(percent: int):
+    """Per batch of members and their hub, the members linked to it, decided on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for star in runs(batches, "star"):
+            members, hubs = star.column("node").to_pylist(), star.column("hub").to_pylist()
+            values, offsets = lists(star.column("hashes"), "int64")
+            sets = [values[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
+            hub = sets[members.index(hubs[0])]
+            linked = []
+            for node, own in zip(members, sets):
+                both = len(np.intersect1d(own, hub, assume_unique=True))
+                if node != hubs[0] and 100 * both >= percent * (len(own) + len(hub) - both):
+                    linked.append(node)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(linked, pa.binary()), pa.array(hubs[: len(linked)], pa.binary()), pa.array(star.column("part").to_pylist()[: len(linked)], pa.int64())],
+                ["a", "b", "part"],
+            )
+
+    return run
+
+
+def _stars(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(star, part, node, hub): dense groups in batches of about half a leaf, each with its hub."""
+    batch = F.pmod(F.xxhash64("node", F.lit("star")), F.ceil(F.col("size") / (LEAF // 2)))
+    dealt = join_unique(groups, sizes, "part", "size").withColumn("star", F.xxhash64("part", batch))
+    rows = dealt.filter("node != hub").select("star", "part", "node", "hub")
+    return rows.unionByName(dealt.select("star", "part", F.col("hub").alias("node"), "hub").distinct())
+
+
+def _cells(groups: DataFrame, linked: DataFrame) -> DataFrame:
+    """(path, node): the members that are not linked to their hub with all members, block by block."""
+    own = linked.select("part", F.col("a").alias("node"), F.lit(False).alias("loose"))
+    marked = staged(
+        groups.join(own, ["part", "node"], "left").select(
+            "part", "node", (F.coalesce("loose", F.lit(True)) & (F.col("node") != F.col("hub"))).alias("loose")
+        ),
+        "dense-marked",
+    )
+    half = LEAF // 2
+    counts = marked.groupBy("part").agg(
+        F.count(F.lit(1)).alias("size"), F.ceil(F.count_if("loose") / half).alias("apart"), F.ceil(F.count_if(~F.col("loose")) / half).alias("joined")
+    )
+    rows = join_unique(marked, staged(counts, "dense-counts"), "part", "size").filter("apart > 0")
+    block = F.when(F.col("loose"), F.pmod(F.xxhash64("node", F.lit("block")), F.col("apart"))).otherwise(
+        F.col("apart") + F.pmod(F.xxhash64("node", F.lit("block")), F.col("joined"))
+    )
+    # a linked member needs no other linked one: they are one component
+    others = F.when(F.col("loose"), F.col("apart") + F.col("joined")).otherwise(F.col("apart"))
+    met = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    return met.select(F.xxhash64("part", F.lit("cell"), F.least("block", "other"), F.greatest("block", "other")).alias("path"), "node")
+
+
+def _dense_links(docs: DataFrame, named: DataFrame, dense: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of dense groups to their hubs, and the cells (path, node) that are still to be compared."""
+    groups = _dense_groups(dense)
+    sizes = staged(groups.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "dense-sizes")
+    wanted = staged(named.select("node", "doc_id").join(groups.select("node"), "node", "left_semi"), "dense-wanted")
+    stars = _stars(groups, sizes).join(_full_sets(docs, wanted), "node").select("star", "part", "node", "hub", "hashes")
+    sorted_stars = stars.repartition("star").sortWithinPartitions("star")
+    linked = staged(sorted_stars.mapInArrow(_hub_links(percent), "a binary, b binary, part long"), "hub-links")
+    return linked.select("a", "b"), _cells(groups, linked)
 
 
 def _components(linked: np.ndarray) -> np.ndarray:
@@ -326,11 +430,17 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
         "nodes",
     )
     named = nodes.filter("doc_id IS NOT NULL")
-    by_path = leaves(named).repartition("path").sortWithinPartitions("path")
+    members, dense = leaves(named)
+    to_hubs = None
+    if dense is not None and not dense.isEmpty():
+        to_hubs, cells = _dense_links(docs, named, dense, percent)
+        members = members.unionByName(cells)
+    by_path = members.join(named.select("node", "tokens"), "node").repartition("path").sortWithinPartitions("path")
     candidates = staged(by_path.mapInArrow(_candidates, "part binary, node binary").distinct(), "candidates")
     wanted = staged(named.select("node", "doc_id").join(candidates.select("node"), "node", "left_semi"), "wanted")
     with_sets = candidates.join(_full_sets(docs, wanted), "node").repartition("part").sortWithinPartitions("part")
-    roots = components(staged(with_sets.mapInArrow(_links(percent), "a binary, b binary"), "found"))
+    links = staged(with_sets.mapInArrow(_links(percent), "a binary, b binary"), "found")
+    roots = components(links if to_hubs is None else links.unionByName(to_hubs))
     linked = staged(nodes.select("node", "doc_id").join(roots, "node"), "linked")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     grouped = join_unique(linked, staged(least, "components"), "root", "members").select("node", "component_id")
