@@ -305,6 +305,26 @@ def test_language_accuracy_on_four_languages(spark):
     assert sum(r.accepted for r in found) >= 0.97 * len(found)
 
 
+def test_wrong_labels_do_not_cost_clean_documents(spark):
+    docs = catalog.documents(spark, "/root/testdata/sf0.01")
+    others = docs.filter("lang IS NOT NULL").select("lang").distinct().collect()
+    after = dict(zip(sorted(r.lang for r in others), sorted(r.lang for r in others)[1:] + [min(r.lang for r in others)]))
+    wrong = F.pmod(F.xxhash64("doc_id", F.lit("wrong")), F.lit(100)) < 3
+    mixed = docs.withColumn("lang", F.when(wrong, F.create_map(*[F.lit(x) for p in after.items() for x in p])[F.col("lang")]).otherwise(F.col("lang")))
+    found = language_id.languages(mixed).join(docs.filter("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
+    clean = [r for r in found if r.lang_pred == r.lang]
+    assert len(clean) >= 0.97 * len(found)
+    assert sum(r.accepted for r in clean) >= 0.97 * len(clean)
+
+
+def test_threshold_spares_rows_that_are_right():
+    p = np.array([[0.9, 0.1]] * 97 + [[0.95, 0.05]] * 3)
+    answers = np.array([0] * 97 + [1] * 3)
+    assert language_id._threshold(p, answers, 0.5, 0.01) == 0.5
+    assert language_id._threshold(p / 2.5 + 0.02, answers, 0.5, 0.01) == pytest.approx(0.38)
+    assert language_id._threshold(p, np.ones(100, int), 0.5, 0.01) == 0.5
+
+
 def test_subwords_stay_inside_words():
     one = [np.sort(b) for b, _ in language_id.subwords([b"the sun"])]
     parts = [np.sort(np.concatenate(x)) for x in zip(*[[b for b, _ in language_id.subwords([w])] for w in (b"the", b"sun")])]
