@@ -452,6 +452,26 @@ def test_repeated_spans(docs, odd, rows):
     assert all(lengths[r[0]] == len(r[1] or "") for r in rows if r[0] and r[0] >= 300)
 
 
+def test_no_shared_passage_of_51_words_is_missed(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäß", k=rng.randint(3, 7)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, places = [], {}
+    for i in range(300):
+        passage = words(51)
+        for k in (0, 1):
+            front = f"{words(rng.randint(5, 60))} "
+            rows.append((2 * i + k, f"{front}{passage} {words(rng.randint(5, 60))}"))
+            places[2 * i + k] = (len(front), len(front) + len(passage))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.start, r.end) for r in substring_dedup.repeated_spans(docs).collect()}
+    assert found.keys() == places.keys()
+    # neighbours may happen to be equal as well
+    assert all(found[i][0] <= a and found[i][1] >= b and found[i][1] - found[i][0] <= b - a + 12 for i, (a, b) in places.items())
+    left = {r.doc_id: len(r.text) for r in substring_dedup.drop_repeated_spans(docs).collect()}
+    assert all(left[i] == len(t) - (i % 2) * (found[i][1] - found[i][0]) for i, t in rows)
+
+
 def test_pipeline_stages_do_their_work(spark, odd):
     docs, seen = odd, []
     for name, stage in corpus_pipeline.STAGES[:-1]:

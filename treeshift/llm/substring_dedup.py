@@ -4,8 +4,11 @@ A gear hash rolls over the bytes of a text; a chunk ends where its top bits are
 zero, so the cuts follow the content and an insertion only moves the cuts near
 it. Chunks are deduplicated by digest. The first copy, in order of doc_id and
 position, stays; of every other copy the text is to go. Neighbouring repeated
-chunks of a document form one span, and spans shorter than ``SPAN`` characters
-are left alone: passages of fifty words are longer by far, common phrases are not.
+chunks of a document form one span. It is extended to either side as far as the
+text equals that around the copy that stays (the first copy: around the last one),
+as whole chunks do not reach the edges of a passage. Spans that are shorter than
+``SPAN`` characters then are left alone: passages of fifty words are longer by
+far, common phrases are not.
 
 Defined cases: a null text counts as empty and has no chunk. The last chunk of a
 text may be short. Rows without id are ordered first and are never linked to
@@ -16,6 +19,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -26,9 +30,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from treeshift.llm.common import chunks, join_unique, staged, text_bytes
 
 #: Chunk lengths in bytes: no cut before LEAST, a forced one at MOST; about LEAST + 2^BITS on average.
-LEAST, MOST, BITS = 24, 256, 5
+LEAST, MOST, BITS = 16, 256, 4
 #: Characters a repeated span must have.
 SPAN = 128
+#: Characters compared in the first round of extending spans; where all are equal, the next round takes eight times as many.
+REACH = 128
 
 _GEAR = np.random.default_rng(99).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -101,29 +107,76 @@ CHUNK = "row long, doc_id long, start long, length int, digest binary"
 
 
 def repeated_chunks(numbered: DataFrame) -> DataFrame:
-    """Chunks that occur again: row, doc_id, start, length, keep_id and first (is it the copy that stays).
+    """Chunks that occur again: row, doc_id, start, length, keep_id, first (is it the copy that stays) and other (place of the copy to compare with).
 
     ``numbered`` has row (unique), doc_id and text.
     """
     cut = staged(numbered.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_chunk, CHUNK), "chunks")
     place = F.struct("doc_id", "row", "start")
-    found = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("kept"))
+    found = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("kept"), F.max(place).alias("last"))
     again = staged(found.filter("copies > 1"), "repeated")
+    first = (F.col("row") == F.col("kept.row")) & (F.col("start") == F.col("kept.start"))
     return join_unique(cut, again, "digest", "copies").select(
         "row",
         "doc_id",
         "start",
         "length",
         F.col("kept.doc_id").alias("keep_id"),
-        ((F.col("row") == F.col("kept.row")) & (F.col("start") == F.col("kept.start"))).alias("first"),
+        first.alias("first"),
+        F.when(first, F.col("last")).otherwise(F.col("kept")).alias("other"),
     )
 
 
-def _spans(repeated: DataFrame, least: int) -> DataFrame:
-    """Neighbouring repeated chunks of a row as one span."""
+def _gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Characters that the two texts of each row have in common at their beginning."""
+    for batch in batches:
+        gained = []
+        for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+            least = min(len(one), len(two))
+            gained.append(next((i for i in range(least) if one[i] != two[i]), least))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in ("row", "start", "left")), pa.array(gained, pa.int64())], ["row", "start", "left", "gained"]
+        )
+
+
+def _extended(spans: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``spans`` made longer on either side as far as the texts around both copies are equal."""
+
+    def side(left: bool, own: str, other: str):
+        return spans.select("row", "start", F.lit(left).alias("left"), F.col(own).alias("at"), F.col(f"{other}.row").alias("other"), F.col(f"{other}.at").alias("there"))
+
+    asked = staged(side(True, "start", "head").unionByName(side(False, "end", "tail")), "asked")
+    gains, reach = [], REACH
+    while not asked.isEmpty():
+        key = F.struct("row", "start", "left").alias("key")
+        ends = asked.select(key, F.lit(True).alias("own"), F.col("row").alias("of"), "at").unionByName(
+            asked.select(key, F.lit(False).alias("own"), F.col("other").alias("of"), F.col("there").alias("at"))
+        )
+        texts = numbered.select(F.col("row").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
+        from_ = F.when(F.col("key.left"), F.greatest(F.col("at") - reach, F.lit(0))).otherwise(F.col("at"))
+        to = F.when(F.col("key.left"), F.col("at")).otherwise(F.col("at") + reach)
+        near = F.substring("text", (from_ + 1).cast("int"), (to - from_).cast("int"))
+        seen = ends.join(texts, "of").select("key", "own", F.when(F.col("key.left"), F.reverse(near)).otherwise(near).alias("near"))
+        pairs = seen.groupBy("key").agg(F.max(F.when(F.col("own"), F.col("near"))).alias("one"), F.max(F.when(~F.col("own"), F.col("near"))).alias("two"))
+        gained = staged(pairs.select("key.*", "one", "two").mapInArrow(_gained, "row long, start long, left boolean, gained long"), "gained")
+        gains.append(gained)
+        step = F.when(F.col("left"), -reach).otherwise(reach)
+        again = asked.join(gained.filter(F.col("gained") == reach).drop("gained"), ["row", "start", "left"])
+        asked = staged(again.withColumns({"at": F.col("at") + step, "there": F.col("there") + step}), "asked")
+        reach = min(8 * reach, 1 << 28)
+    if not gains:
+        return spans
+    every = functools.reduce(DataFrame.unionByName, gains).groupBy("row", "start").agg(
+        F.sum(F.when(F.col("left"), F.col("gained"))).alias("before"), F.sum(F.when(~F.col("left"), F.col("gained"))).alias("after")
+    )
+    return spans.join(every, ["row", "start"]).withColumns({"start": F.col("start") - F.col("before"), "end": F.col("end") + F.col("after")}).drop("before", "after")
+
+
+def _spans(repeated: DataFrame, numbered: DataFrame, least: int) -> DataFrame:
+    """Neighbouring repeated chunks of a row as one span, extended; spans that meet then are one."""
     order = Window.partitionBy("row").orderBy("start")
     gap = F.coalesce(F.lag(F.col("start") + F.col("length")).over(order) != F.col("start"), F.lit(True))
-    return (
+    found = (
         repeated.withColumn("_new", gap.cast("int"))
         .withColumn("_span", F.sum("_new").over(order))
         .groupBy("row", "_span")
@@ -133,7 +186,26 @@ def _spans(repeated: DataFrame, least: int) -> DataFrame:
             F.max(F.col("start") + F.col("length")).alias("end"),
             F.count(F.lit(1)).alias("n_chunks"),
             F.count(F.when(~F.col("first"), 1)).alias("n_copies"),
-            F.array_sort(F.collect_set("keep_id")).alias("keep_ids"),
+            F.collect_set("keep_id").alias("keep_ids"),
+            F.min_by(F.struct(F.col("other.row").alias("row"), F.col("other.start").alias("at")), "start").alias("head"),
+            F.max_by(F.struct(F.col("other.row").alias("row"), (F.col("other.start") + F.col("length")).alias("at")), "start").alias("tail"),
+        )
+        .drop("_span")
+    )
+    longer = _extended(staged(found, "spans"), numbered)
+    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.max("end").over(before) < F.col("start"), F.lit(True))
+    return (
+        longer.withColumn("_new", apart.cast("int"))
+        .withColumn("_span", F.sum("_new").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("row", "_span")
+        .agg(
+            F.first("doc_id").alias("doc_id"),
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.sum("n_chunks").alias("n_chunks"),
+            F.sum("n_copies").alias("n_copies"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("keep_ids")))).alias("keep_ids"),
         )
         .filter(F.col("end") - F.col("start") >= least)
         .drop("_span")
@@ -146,15 +218,15 @@ def repeated_spans(docs: DataFrame, least: int = SPAN) -> DataFrame:
     Returns doc_id, start, end, n_chunks, n_copies (chunks of which an earlier copy
     stays; 0 if the span is the first) and keep_ids (documents with the first copies).
     """
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return _spans(repeated_chunks(numbered), least).drop("row")
+    numbered = staged(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return _spans(repeated_chunks(numbered), numbered, least).drop("row")
 
 
 def drop_repeated_spans(docs: DataFrame, least: int = SPAN) -> DataFrame:
     """``docs`` with every copy but the first of a repeated passage cut out of the texts."""
     numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    chunks_again = repeated_chunks(numbered.select(F.col("__row").alias("row"), "doc_id", "text"))
-    spans = _spans(chunks_again.filter("NOT first"), least)
+    texts = numbered.select(F.col("__row").alias("row"), "doc_id", "text")
+    spans = _spans(repeated_chunks(texts).filter("NOT first"), texts, least)
     cuts = spans.groupBy(F.col("row").alias("__row")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")
     )
