@@ -13,10 +13,13 @@ from treeshift.llm import (
     mixing,
     near_dedup,
     packing,
+    quality,
     secret_scan,
+    spelling,
     substring_dedup,
     tool_calls,
     vector_search,
+    whitening,
 )
 
 
@@ -37,6 +40,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_search": lambda spark, sf_dir: vector_search.nearest_neighbours(table("embeddings")(spark, sf_dir)),
     "op9_near_dedup": lambda spark, sf_dir: near_dedup.near_groups(documents(spark, sf_dir)),
     "op10_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(documents(spark, sf_dir)),
+    "op11_whitening": lambda spark, sf_dir: whitening.whitened(table("embeddings")(spark, sf_dir)),
+    "op12_quality": lambda spark, sf_dir: quality.qualities(documents(spark, sf_dir), table("labels")(spark, sf_dir)),
+    "op13_spelling": lambda spark, sf_dir: spelling.variants(documents(spark, sf_dir)),
 }
 
 ORACLES = {"op5_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
