@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from treeshift.operators import call_graph as K, paging as G
 from treeshift.operators.file_diff import diff_trees
 from treeshift.operators.function_diff import changed_symbols, function_changes
+from treeshift.operators.greedy_pages import greedy_pages
 from treeshift.plans.context import budgeted_context, function_context
 from treeshift.plans.manifest import budgeted_files, change_manifest
 from treeshift.plans.review import review_change, shares
@@ -120,22 +121,53 @@ def test_budget_shares(spark):
     assert tuple(got) == (1638, 2458)
 
 
-def _greedy_files(costs, room):
-    if sum(c[0] for c in costs) <= room:
-        return ["full"] * len(costs)
-    if sum(c[1] for c in costs) <= room:
-        return ["functions"] * len(costs)
-    kept = []
-    for _, some, bare in costs:
-        if some <= room:
-            room -= some
-            kept.append("functions")
-        elif bare <= room:
-            room -= bare
-            kept.append("bare")
-        else:
-            break
-    return kept
+def _greedy(costs, room, size, whole):
+    """(page, offset, tier, over budget, next offset) of each row, page after page."""
+    out, start, page = [], 0, 0
+    while start < len(costs):
+        last = min(start + size, len(costs))
+        part, left, tiers = costs[start:last], room, []
+        for tier in whole:
+            if not tiers and sum(c[tier] for c in part) <= room:
+                tiers = [tier] * len(part)
+        for c in part if not tiers else []:
+            tier = next((t for t in (2, 3) if c[t] is not None and c[t] <= left), None)
+            if tier is None:
+                break
+            left -= c[tier]
+            tiers.append(tier)
+        over = not tiers
+        end = start + max(len(tiers), 1)
+        out += [(page, k, t, over, end if end < len(costs) else None) for k, t in enumerate(tiers or [3])]
+        start, page = end, page + 1
+    return out
+
+
+@pytest.mark.parametrize("chunk, size", [(8, 8), (16, 5), (7, 3), (1, 40), (8192, 25), (64, 1)])
+def test_pages_of_long_ranges(spark, chunk, size):
+    """Chunks are entered where the page before them was cut, however many there are."""
+    rng = random.Random(chunk)
+    rows, want = [], {}
+    for range_id, count, room in (("a", 300, 100), ("b", 1, 60), ("c", 37, 9), ("d", 64, 2000)):
+        costs = [(f, max(f - rng.randrange(9), 1), rng.choice([None, max(f - 5, 1)]), max(f - rng.randrange(9, 30), 1))
+                 for f in (rng.choice([rng.randrange(10, 60), 500]) if k % 23 == 0 else rng.randrange(10, 60) for k in range(count))]
+        rows += [(range_id, k, room, *c) for k, c in enumerate(costs)]
+        want |= {(range_id, k): row for k, row in enumerate(_greedy(costs, room, size, (0, 1)))}
+    df = spark.createDataFrame(rows, "range_id string, position long, room long, f long, s long, a long, b long").repartition(5)
+    pages = greedy_pages(
+        df, ["range_id"], F.col("room"), size,
+        [("0", F.col("f")), ("1", F.col("s"))], [("2", F.col("a")), ("3", F.col("b"))], chunk,
+    )
+    got = {
+        (r.range_id, r.position): (r.page, r.offset, int(r.tier), r.over_budget, min(filter(None, [r.budget_cutoff, r.page_cutoff]), default=None))
+        for r in pages.collect()
+    }
+    assert got == want
+
+
+def test_no_rows_have_no_pages(spark):
+    df = spark.createDataFrame([], "range_id string, position long, c long")
+    assert greedy_pages(df, ["range_id"], F.lit(9), 5, [], [("x", F.col("c"))]).collect() == []
 
 
 def test_manifest_budget_follows_the_greedy_walk(spark, make_tree, one_range):
@@ -160,10 +192,16 @@ def test_manifest_budget_follows_the_greedy_walk(spark, make_tree, one_range):
         .select(tokens(), tokens("imports_changed"), tokens("imports_changed", "functions_changed"))
         .collect()
     ]
-    for budget in (100, 400, 1200, 2000, 2600, 3000, 9000):
+    for budget in (100, 1200, 2600, 9000):
         room = max(max(budget - 50, 0) - max(budget // 20, 16), 0)
-        got = [r.tier for r in G.manifest_budget(files, budget, 50).orderBy("offset").collect()]
-        assert got == _greedy_files(costs, room), budget
+        for size in (7, 100):
+            kept = G.manifest_budget(files, budget, 50, size).orderBy("position").collect()
+            got = [(r.page, r.offset, r.tier, r.over_budget, r.next_offset) for r in kept]
+            priced = [(full, some, some, bare) for full, some, bare in costs]
+            tiers = ("full", "functions", "functions", "bare")
+            assert got == [(p, o, tiers[t], over, n) for p, o, t, over, n in _greedy(priced, room, size, (0, 1))], budget
+            assert all((r.functions_changed is None) == (r.tier == "bare") for r in kept)
+            assert all((r.imports_changed is None) == (r.tier != "full") for r in kept)
 
 
 def test_context_budget_follows_the_greedy_walk(spark):
@@ -171,26 +209,16 @@ def test_context_budget_follows_the_greedy_walk(spark):
     costs = [(rng.randrange(20, 200), rng.randrange(10, 60)) for _ in range(40)]
     entries = spark.createDataFrame(
         [("x", 0, i, f, min(f, c)) for i, (f, c) in enumerate(costs)],
-        "range_id string, page long, offset long, full_tokens long, clamped_tokens long",
+        "range_id string, page long, position long, full_tokens long, clamped_tokens long",
     )
-    for budget in (200, 700, 2000, 20_000):
+    for budget in (200, 700, 20_000):
         room = max(max(budget - 30, 0) - max(budget // 4, 128), 0)
-        want = []
-        if sum(f for f, _ in costs) <= room:
-            want = ["full"] * len(costs)
-        else:
-            for f, c in costs:
-                c = min(f, c)
-                if f <= room:
-                    room -= f
-                    want.append("full")
-                elif c <= room:
-                    room -= c
-                    want.append("clamped")
-                else:
-                    break
-        got = [r.tier for r in G.context_budget(entries, budget, 30).orderBy("offset").collect()]
-        assert got == want, budget
+        priced = [(f, f, f, min(f, c)) for f, c in costs]
+        tiers = ("full", "full", "full", "clamped")
+        want = [(p, o, tiers[t], over, n) for p, o, t, over, n in _greedy(priced, room, 25, (0,))]
+        kept = G.context_budget(entries, budget, 30).orderBy("position").collect()
+        assert [(r.page, r.offset, r.tier, r.over_budget, r.next_offset) for r in kept] == want, budget
+        assert G.trimmed_entries(G.context_budget(entries, budget, 30), "position").count() == sum(w[2] == "clamped" for w in want)
 
 
 def test_large_change_stays_below_the_ceiling(spark, make_tree, one_range):
@@ -202,12 +230,14 @@ def test_large_change_stays_below_the_ceiling(spark, make_tree, one_range):
     tree = make_tree(base, head)
     manifest = change_manifest(tree, one_range, detect_renames=False)
     kept = budgeted_files(manifest, one_range, 8192, 500)
-    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*G.FILE_ENTRY), {"ignoreNullFields": "false"})) / 4)).first()[0]
-    assert 0 < size <= 8192
+    size = F.sum(F.octet_length(F.to_json(F.struct(*G.FILE_ENTRY), {"ignoreNullFields": "false"})) / 4)
+    sizes = [r[1] for r in kept.groupBy("page").agg(size).collect()]
+    assert max(sizes) <= 8192 and kept.select("path").distinct().count() == kept.count() == 40
     context = function_context(tree, one_range, manifest.function_changes, 25)
     entries = budgeted_context(context, one_range, 512)
     first = entries.filter("page = 0").orderBy("offset").collect()
-    assert first and first[-1].truncated
+    assert first and first[-1].truncated and first[-1].next_offset == len(first)
+    assert entries.select("name", "file").distinct().count() == entries.count() == 200
 
 
 def test_review_halves(make_tree, one_range):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from treeshift import fixtures as fx
 from treeshift.catalog.files import DIFF, DOC_DIFF, LANG, DUCK_LINES, doc_changes, log_ranges
-from treeshift.catalog.registry import joined, one_range, query, sql, written
+from treeshift.catalog.registry import greedy_sql, joined, one_range, query, recursive, sql, written
 from treeshift.functions import paths as P
 from treeshift.operators import dependencies as D, paging as G
 from treeshift.operators.file_diff import diff_trees
@@ -472,8 +472,62 @@ def clamp_lists(spark, sf):
     return G.clamp_lists(edges, ["l_partkey"], ["path", "k"], G.TOP_CALLERS).select("l_partkey", "path", "k")
 
 
-@query("manifest_budget")
+# what the generated crate's manifest says, file by file; both sides are blocks of
+# three lines, the head's in reversed order
+CODE_FILES = """, side AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN head THEN -p ELSE p END) AS at,
+    count(*) OVER (PARTITION BY path, head) AS blocks
+  FROM (SELECT p_partkey AS p, {path} AS path, false AS head FROM part WHERE p_partkey % 10 <> 1
+    UNION ALL SELECT p_partkey, {path}, true FROM part WHERE p_partkey % 10 <> 0) s),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, head ORDER BY CASE WHEN head THEN -p ELSE p END) AS k FROM side) x WHERE NOT head),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, head ORDER BY CASE WHEN head THEN -p ELSE p END) AS k FROM side) x WHERE head),
+-- the longest common subsequence: closing braces, and the other lines of one block in both
+lcs AS (SELECT b.path, max(least(b.k, h.k) - 1 + least(b.blocks - b.k, h.blocks - h.k) + 1
+    + CASE WHEN b.p % 10 IN (2, 3, 4) THEN 1 ELSE 2 END) AS both_lines, max(least(b.blocks, h.blocks)) AS braces
+  FROM b JOIN h ON b.path = h.path AND b.p = h.p GROUP BY b.path),
+fns AS (SELECT t.path, list({{'name': name, 'old_name': old_name, 'change_type': change_type,
+    'start_line': 3 * (CASE WHEN change_type = 'deleted' THEN b.k ELSE h.k END) - 2,
+    'end_line': 3 * (CASE WHEN change_type = 'deleted' THEN b.k ELSE h.k END),
+    'signature': 'pub fn ' || name || CASE WHEN change_type = 'signature_changed' THEN '(x: i32)' ELSE '()' END || ' -> i32'}}
+    ORDER BY name) AS functions_changed, count(*) AS functions
+  FROM (SELECT *, CAST(split_part(name, '_', 2) AS BIGINT) AS p FROM code_truth) t
+  LEFT JOIN b ON b.path = t.path AND b.p = t.p LEFT JOIN h ON h.path = t.path AND h.p = t.p GROUP BY t.path),
+sizes AS (SELECT path, max(strlen(content)) FILTER (WHERE ref = 'base') AS base_size, max(strlen(content)) FILTER (WHERE ref = 'head') AS head_size
+  FROM code_tree GROUP BY path),
+files AS (SELECT s.path, CASE WHEN base_size IS NULL THEN 'added' WHEN head_size IS NULL THEN 'deleted' ELSE 'modified' END AS change_type,
+    coalesce(base_size, 0) AS size_before, coalesce(head_size, 0) AS size_after, functions_changed, functions,
+    coalesce(3 * (SELECT max(blocks) FROM h WHERE h.path = s.path), 0) - coalesce(greatest(both_lines, braces), 0) AS added,
+    coalesce(3 * (SELECT max(blocks) FROM b WHERE b.path = s.path), 0) - coalesce(greatest(both_lines, braces), 0) AS removed
+  FROM sizes s LEFT JOIN fns f ON f.path = s.path LEFT JOIN lcs l ON l.path = s.path)
+""".format(path=fx.CODE_PATH)
+
+
+def file_costs(budget: str, added: str = "CAST(NULL AS BIGINT)", removed: str = "CAST(NULL AS BIGINT)") -> str:
+    """Costs of ``files`` as they are serialised, for pages of ``budget`` tokens."""
+
+    def cost(functions: str, imports: str) -> str:
+        return f"""strlen(CAST(to_json({{'path': path, 'old_path': NULL, 'change_type': change_type, 'change_scope': 'committed',
+          'language': 'rust', 'is_binary': false, 'is_generated': false, 'lines_added': {added}, 'lines_removed': {removed},
+          'size_before': size_before, 'size_after': size_after, 'functions_changed': {functions}, 'imports_changed': {imports}}}) AS VARCHAR)) // 4"""
+
+    none = "{'added': CAST([] AS VARCHAR[]), 'removed': CAST([] AS VARCHAR[])}"
+    some = cost("functions_changed", "NULL")
+    return f"""SELECT row_number() OVER (ORDER BY path) - 1 AS i, {budget} AS room, {cost("functions_changed", none)} AS all_1,
+      {some} AS all_2, {some} AS one, {cost("NULL", "NULL")} AS two, path, functions FROM files"""
+
+
+FILE_TIER = "CASE tier WHEN 1 THEN 'full' WHEN 4 THEN 'bare' ELSE 'functions' END"
+
+
+@query(
+    "manifest_budget",
+    recursive(sql(["code_tree", "code_truth"], CODE_FILES + ", " + greedy_sql(file_costs("4096 - 200 - 4096 // 20"), 25)
+        + f"""SELECT path, page, page_start, p."offset", {FILE_TIER} AS tier, over_budget, next_offset,
+        CASE WHEN tier < 4 THEN functions END AS functions FROM pages p JOIN costs c ON c.i = p.i""")),
+)
 def manifest_budget(spark, sf):
     files = G.page_files(code_files(spark, sf), 25)
-    kept = G.manifest_budget(files, 4096, 200)
-    return kept.select("path", "page", "offset", "tier", F.size("functions_changed").alias("functions"))
+    kept = G.manifest_budget(files, 4096, 200, 25)
+    return kept.select(
+        "path", "page", "page_start", "offset", "tier", "over_budget", "next_offset",
+        F.size("functions_changed").alias("functions"),
+    )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from treeshift import fixtures as fx
-from treeshift.catalog.changes import code_functions
+from treeshift.catalog.changes import CODE_FILES, FILE_TIER, code_functions, file_costs
 from treeshift.catalog.files import over_paths
-from treeshift.catalog.registry import one_range, query, sql, written
+from treeshift.catalog.registry import greedy_sql, one_range, query, recursive, sql, written
 from treeshift.operators import call_graph as K, modules as Mo, paging as G
 from treeshift.operators.function_diff import source_blobs
 from treeshift.operators.symbols import extract_symbols, functions_of
@@ -187,13 +187,49 @@ def function_context(spark, sf):
     )
 
 
-@query("context_budget")
+def entry_costs(budget: int, functions: str, size: int) -> str:
+    """Costs of context entries, whole and with clamped lists, for pages of ``budget`` tokens.
+
+    ``functions`` selects name, path, change_type, the counts and the bytes of the
+    lists: p_all, p_some, t_all, t_some (0 for none).
+    """
+    fixed = f"""strlen(CAST(to_json({{'name': name, 'file': path, 'change_type': change_type, 'blast_radius': {{'production_callers': production_callers,
+      'test_callers': test_callers, 'has_tests': test_callers > 0, 'risk': {RISK}}}, 'scoping_mode': 'scoped', 'callers': CAST([] AS VARCHAR[]),
+      'callees': CAST([] AS VARCHAR[]), 'test_references': CAST([] AS VARCHAR[]), 'caller_count': production_callers + test_callers}}) AS VARCHAR))"""
+    skeleton = f"""(strlen(CAST(to_json({{'metadata': {{'base_ref': 'base', 'head_ref': 'head', 'token_estimate': 0}}, 'functions': CAST([] AS VARCHAR[]),
+      'pagination': {{'total_items': count(*) OVER (), 'page_start': 0, 'page_size': 25, 'next_cursor': NULL}}}}) AS VARCHAR)) + 32) // 4"""
+    full = f"({fixed} + greatest(p_all - 1, 0) + greatest(t_all - 1, 0)) // 4"
+    return f"""SELECT row_number() OVER (ORDER BY name, path) - 1 AS i, {budget} - {skeleton} - {max(budget // 4, 128)} AS room,
+      {full} AS all_1, {full} AS all_2, {full} AS one, ({fixed} + greatest(p_some - 1, 0) + greatest(t_some - 1, 0)) // 4 AS two,
+      name, path, production_callers + test_callers AS caller_count, production_callers, test_callers FROM ({functions}) f"""
+
+
+ENTRY_TIER = "CASE tier WHEN 4 THEN 'clamped' ELSE 'full' END"
+# each function's edges with their bytes, and the bytes of the first of them
+EDGE_BYTES = """, j AS (SELECT name, function_file, is_test, strlen(CAST(to_json({'site': file, 'line': line, 'caller': caller, 'is_test': is_test}) AS VARCHAR)) + 1 AS bytes,
+    row_number() OVER (PARTITION BY name, function_file, is_test ORDER BY file, line) AS rn FROM e WHERE name IS NOT NULL),
+listed AS (SELECT t.name, t.path, t.change_type, production_callers, test_callers,
+    coalesce(sum(bytes) FILTER (WHERE NOT is_test), 0) AS p_all, coalesce(sum(bytes) FILTER (WHERE NOT is_test AND rn <= 5), 0) AS p_some,
+    coalesce(sum(bytes) FILTER (WHERE is_test), 0) AS t_all, coalesce(sum(bytes) FILTER (WHERE is_test AND rn <= 3), 0) AS t_some
+  FROM code_truth t JOIN n ON n.name = t.name AND n.path = t.path LEFT JOIN j ON j.name = t.name AND j.function_file = t.path
+  GROUP BY ALL)
+"""
+
+
+@query(
+    "context_budget",
+    recursive(sql(VIEWS, EDGES + EDGE_BYTES + ", " + greedy_sql(entry_costs(2458, "SELECT * FROM listed", 25), 25)
+        + f"""SELECT name, path AS file, page, page_start, p."offset", {ENTRY_TIER} AS tier, over_budget, next_offset, caller_count,
+        tier = 4 OR coalesce(p.i + 1 = next_offset, false) AS truncated,
+        CASE tier WHEN 4 THEN least(production_callers, 5) ELSE production_callers END AS callers,
+        CASE tier WHEN 4 THEN least(test_callers, 3) ELSE test_callers END AS tests FROM pages p JOIN costs c ON c.i = p.i""")),
+)
 def context_budget(spark, sf):
     tree, ranges, _, symbols = graph(spark, sf)
     found = X.function_context(tree, ranges, code_functions(spark, sf), page_size=25, symbols=symbols)
     kept = X.budgeted_context(found, ranges, 2458)
     return kept.select(
-        "name", "file", "page", "offset", "tier", "truncated", "caller_count",
+        "name", "file", "page", "page_start", "offset", "tier", "over_budget", "next_offset", "truncated", "caller_count",
         F.size("callers").alias("callers"), F.size("test_references").alias("tests"),
     )
 
@@ -209,13 +245,37 @@ def mark_last_truncated(spark, sf):
     return G.mark_last_truncated(pages, totals).select("name", "path", "truncated")
 
 
-@query("review_change")
+# what a page of the manifest costs without its files
+FILES_SKELETON = """(SELECT (strlen(CAST(to_json({'metadata': {'repo': 'r1', 'base_ref': 'base', 'head_ref': 'head', 'token_estimate': 0},
+  'summary': {'total_files_changed': count(*), 'files_added': count(*) FILTER (WHERE change_type = 'added'),
+    'files_modified': count(*) FILTER (WHERE change_type = 'modified'), 'files_deleted': count(*) FILTER (WHERE change_type = 'deleted'),
+    'files_renamed': 0, 'total_lines_added': sum(added), 'total_lines_removed': sum(removed), 'languages_affected': ['rust'],
+    'total_functions_changed': sum(functions), 'needs_more_pages': count(*) > 25},
+  'files': CAST([] AS VARCHAR[]), 'dependency_changes': CAST([] AS VARCHAR[]),
+  'pagination': {'total_items': count(*), 'page_start': 25, 'page_size': 25, 'next_cursor': NULL}}) AS VARCHAR)) + 32) // 4 FROM files)"""
+NO_CALLERS = "SELECT name, path, change_type, 0 AS production_callers, 0 AS test_callers, 0 AS p_all, 0 AS p_some, 0 AS t_all, 0 AS t_some FROM code_truth"
+HALF = """SELECT '{half}' AS half, {item} AS item, page, page_start, p."offset", {tier} AS tier, over_budget, next_offset
+  FROM pages p JOIN costs c ON c.i = p.i"""
+
+
+@query(
+    "review_change",
+    "SELECT * FROM ("
+    + recursive(sql(["code_tree", "code_truth"], CODE_FILES + ", "
+        + greedy_sql(file_costs(f"819 - {FILES_SKELETON} - 819 // 20", "added", "removed"), 25)
+        + HALF.format(half="file", item="path", tier=FILE_TIER)))
+    + ") a UNION ALL SELECT * FROM ("
+    + recursive(sql(["code_truth"], ", " + greedy_sql(entry_costs(1229, NO_CALLERS, 25), 25)
+        + HALF.format(half="function", item="name", tier=ENTRY_TIER)))
+    + ") b",
+)
 def review_change(spark, sf):
     tree = fx.view(spark, sf, "code_tree")
-    review = V.review_change(tree, one_range(spark, "r1"), 16384, detect_renames=False)
-    files = review.files.select(F.lit("file").alias("half"), F.col("path").alias("item"), "page", "tier")
+    review = V.review_change(tree, one_range(spark, "r1"), 2048)
+    shown = ["page", "page_start", "offset", "tier", "over_budget", "next_offset"]
+    files = review.files.select(F.lit("file").alias("half"), F.col("path").alias("item"), *shown)
     return files.unionByName(
-        review.functions.select(F.lit("function").alias("half"), F.col("name").alias("item"), "page", "tier")
+        review.functions.select(F.lit("function").alias("half"), F.col("name").alias("item"), *shown)
     )
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treeshift.functions.text import json_bytes, tokens_of_bytes
+from treeshift.operators.greedy_pages import greedy_pages
 from treeshift.operators.numbering import number_rows
+from treeshift.session import cut
 
 MAX_PAGE = 500  # the usual page of files; larger ones are made on request
 TOP_CALLERS, TOP_CALLEES, TOP_TESTS = 5, 5, 3
@@ -80,99 +82,65 @@ def clamp_lists(edges: DataFrame, by: list[str], order: list[str], keep: int) ->
     return edges.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= keep)
 
 
-def _walk_page(rows: DataFrame, by: list[str], costs: Column, start: Column, step) -> DataFrame:
-    """Fold the rows of a page, in order, through a remaining budget.
+def _room(budget: int | Column, skeleton: int | Column, share: int, least: int) -> Column:
+    """What a page has for its rows: the budget without skeleton and safety margin."""
+    whole = F.lit(budget) if isinstance(budget, int) else budget
+    fixed = F.lit(skeleton) if isinstance(skeleton, int) else skeleton
+    margin = F.greatest(F.floor(whole / share), F.lit(least))
+    return F.greatest(F.greatest(whole - fixed, F.lit(0)) - margin, F.lit(0)).cast("bigint")
 
-    ``rows`` carries ``offset`` and costs; a page has at most 500 rows of a few
-    numbers, so the list is small. Gives ``(by, offset, tier)``; dropped rows
-    are absent.
-    """
-    state = F.struct(
-        start.alias("left"),
-        F.lit(False).alias("stopped"),
-        F.array().cast("array<struct<offset:bigint,tier:string>>").alias("kept"),
-    )
-    folded = rows.groupBy(*by).agg(
-        F.sort_array(F.collect_list(costs)).alias("costs"), F.max("_budget").alias("_budget")
-    )
-    walked = F.aggregate("costs", state, step)
-    return folded.select(*by, F.explode(walked["kept"]).alias("k")).select(*by, "k.*")
-
-
-def _keep(state: Column, cost: Column, offset: Column, tier: str) -> Column:
-    return F.struct(
-        (state["left"] - cost).alias("left"),
-        F.lit(False).alias("stopped"),
-        F.array_append(
-            state["kept"], F.struct(offset.cast("bigint").alias("offset"), F.lit(tier).alias("tier"))
-        ).alias("kept"),
-    )
-
-
-def _stop(state: Column) -> Column:
-    return F.struct(state["left"].alias("left"), F.lit(True).alias("stopped"), state["kept"].alias("kept"))
 
+def _on_pages(priced: DataFrame, page_size: int, whole: list, choices: list) -> DataFrame:
+    """``priced(range_id, position, _room, ...)`` with its pages and where each goes on."""
+    pages = greedy_pages(priced, ["range_id"], F.col("_room"), clamp_page_size(page_size), whole, choices)
+    following = next_offset(F.col("budget_cutoff"), F.col("page_cutoff"))
+    return priced.join(
+        pages.withColumn("next_offset", following).drop("budget_cutoff", "page_cutoff"), ["range_id", "position"]
+    ).drop("_room")
 
-def manifest_budget(files: DataFrame, budget: int | Column, skeleton: Column | int = 0) -> DataFrame:
-    """Trim the files of each page to a token budget.
 
-    ``files(range_id, page, offset, ..., functions_changed, imports_changed)``
-    with the entry's columns as they are serialised. Adds ``tier``: ``full``;
-    ``functions`` when its imports go, ``bare`` when functions go too. Files
-    behind the first that does not even fit bare are dropped.
+def manifest_budget(
+    files: DataFrame, budget: int | Column, skeleton: Column | int = 0, page_size: int = MAX_PAGE
+) -> DataFrame:
+    """Cut the files of a range into pages that keep a token budget.
+
+    ``files(range_id, position, ..., functions_changed, imports_changed)`` with the
+    entry's columns as they are serialised. Adds ``page``, ``page_start``,
+    ``offset``, ``next_offset`` (of the page behind, if there is one) and ``tier``:
+    ``full``; ``functions`` when an entry's imports go; ``bare`` when functions go
+    too. A page ends before the first file that does not even fit bare, and the
+    next one starts with it; a file that fits on no page is ``over_budget`` and
+    has its own.
     """
-    budget = F.lit(budget) if isinstance(budget, int) else budget
-    skeleton = F.lit(skeleton) if isinstance(skeleton, int) else skeleton
-    keys = ["range_id", "page"]
-    entry = [c for c in FILE_ENTRY]
     none_imports = F.lit(None).cast(files.schema["imports_changed"].dataType).alias("imports_changed")
     none_functions = F.lit(None).cast(files.schema["functions_changed"].dataType).alias("functions_changed")
-    plain = [c for c in entry if c not in ("functions_changed", "imports_changed")]
+    plain = [c for c in FILE_ENTRY if c not in ("functions_changed", "imports_changed")]
 
     def cost(*tail: Column | str) -> Column:
         return tokens_of_bytes(json_bytes(F.struct(*plain, *tail)))
 
-    margin = F.greatest(F.floor(budget / 20), F.lit(16))
-    room = F.greatest(F.greatest(budget - skeleton, F.lit(0)) - margin, F.lit(0)).cast("bigint")
-    priced = files.select(
-        "*",
-        room.alias("_budget"),
-        cost("functions_changed", "imports_changed").alias("_full"),
-        cost("functions_changed", none_imports).alias("_some"),
-        cost(none_functions, none_imports).alias("_bare"),
-    )
-    page = Window.partitionBy(*keys)  # at most 500 rows
-    summed = priced.withColumn("_all_full", F.sum("_full").over(page) <= F.col("_budget")).withColumn(
-        "_all_some", F.sum("_some").over(page) <= F.col("_budget")
-    )
-    costs = F.struct(
-        F.col("offset"),
-        F.col("_some").alias("some"),
-        F.col("_bare").alias("bare"),
-        F.col("functions_changed").isNotNull().alias("analysed"),
-    )
-
-    def step(state: Column, c: Column) -> Column:
-        return (
-            F.when(state["stopped"], state)
-            .when(c["analysed"] & (c["some"] <= state["left"]), _keep(state, c["some"], c["offset"], "functions"))
-            .when(c["bare"] <= state["left"], _keep(state, c["bare"], c["offset"], "bare"))
-            .otherwise(_stop(state))
+    priced = cut(
+        files.drop("page", "offset").select(
+            "*",
+            _room(budget, skeleton, 20, 16).alias("_room"),
+            cost("functions_changed", "imports_changed").alias("_full"),
+            cost("functions_changed", none_imports).alias("_some"),
+            cost(none_functions, none_imports).alias("_bare"),
         )
-
-    tight = summed.filter(~F.col("_all_full") & ~F.col("_all_some"))
-    walked = _walk_page(tight, keys, costs, F.col("_budget"), step)
-    tiered = summed.join(walked, [*keys, "offset"], "left").withColumn(
-        "tier",
-        F.when(F.col("_all_full"), "full")
-        .when(F.col("_all_some"), F.when(F.col("imports_changed").isNull(), "full").otherwise("functions"))
-        .otherwise(F.col("tier")),
     )
+    analysed = F.when(F.col("functions_changed").isNotNull(), F.col("_some"))
+    paged_files = _on_pages(
+        priced,
+        page_size,
+        whole=[("full", F.col("_full")), ("no_imports", F.col("_some"))],
+        choices=[("functions", analysed), ("bare", F.col("_bare"))],
+    )
+    lost = F.when(F.col("imports_changed").isNull(), "full").otherwise("functions")
     return (
-        tiered.filter("tier IS NOT NULL")
+        paged_files.withColumn("tier", F.when(F.col("tier") == "no_imports", lost).otherwise(F.col("tier")))
         .withColumn("imports_changed", F.when(F.col("tier") == "full", F.col("imports_changed")))
         .withColumn("functions_changed", F.when(F.col("tier") != "bare", F.col("functions_changed")))
-        .drop("_budget", "_full", "_some", "_bare", "_all_full", "_all_some")
+        .drop("_full", "_some", "_bare")
     )
 
 
@@ -194,41 +162,27 @@ FILE_ENTRY = [
 ]
 
 
-def context_budget(entries: DataFrame, budget: int | Column, skeleton: Column | int = 0) -> DataFrame:
-    """Decide for each entry of a page: ``full``, ``clamped`` or dropped with its tail.
+def context_budget(
+    entries: DataFrame, budget: int | Column, skeleton: Column | int = 0, page_size: int = 25
+) -> DataFrame:
+    """Cut the entries of a range into pages that keep a token budget.
 
-    ``entries(range_id, page, offset, full_tokens, clamped_tokens, ...)``.
+    ``entries(range_id, position, full_tokens, clamped_tokens, ...)``. Adds the same
+    columns as ``manifest_budget``; an entry is ``full`` if it fits so, else
+    ``clamped``, and else it starts the next page.
     """
-    budget = F.lit(budget) if isinstance(budget, int) else budget
-    skeleton = F.lit(skeleton) if isinstance(skeleton, int) else skeleton
-    keys = ["range_id", "page"]
-    margin = F.greatest(F.floor(budget / 4), F.lit(128))
-    room = F.greatest(F.greatest(budget - skeleton, F.lit(0)) - margin, F.lit(0)).cast("bigint")
-    priced = entries.withColumn("_budget", room)
-    page = Window.partitionBy(*keys)  # at most 500 rows
-    summed = priced.withColumn("_fits", F.sum("full_tokens").over(page) <= F.col("_budget"))
-
-    def step(state: Column, c: Column) -> Column:
-        return (
-            F.when(state["stopped"], state)
-            .when(c["full"] <= state["left"], _keep(state, c["full"], c["offset"], "full"))
-            .when(c["clamped"] <= state["left"], _keep(state, c["clamped"], c["offset"], "clamped"))
-            .otherwise(_stop(state))
-        )
-
-    costs = F.struct(
-        F.col("offset"), F.col("full_tokens").alias("full"), F.col("clamped_tokens").alias("clamped")
-    )
-    walked = _walk_page(summed.filter(~F.col("_fits")), keys, costs, F.col("_budget"), step)
-    return (
-        summed.join(walked, [*keys, "offset"], "left")
-        .withColumn("tier", F.when(F.col("_fits"), "full").otherwise(F.col("tier")))
-        .filter("tier IS NOT NULL")
-        .withColumn("truncated", F.col("tier") == "clamped")
-        .drop("_budget", "_fits")
+    priced = cut(entries.drop("page", "offset").withColumn("_room", _room(budget, skeleton, 4, 128)))
+    full = ("full", F.col("full_tokens"))
+    return _on_pages(priced, page_size, [full], [full, ("clamped", F.col("clamped_tokens"))]).withColumn(
+        "truncated", F.col("tier") == "clamped"
     )
 
 
+def trimmed_entries(kept: DataFrame, name: str) -> DataFrame:
+    """(range_id, page, offset, ``name``) of the entries that a budget has shortened."""
+    return kept.filter(F.col("tier").isin("functions", "clamped")).select("range_id", "page", "offset", name)
+
+
 def mark_last_truncated(kept: DataFrame, totals: DataFrame) -> DataFrame:
     """Flag a page's last kept entry when entries of its range follow it.
 

@@ -20,6 +20,7 @@ from treeshift.operators.call_graph import (
     scoping_mode,
 )
 from treeshift.operators.function_diff import source_blobs
+from treeshift.operators.numbering import number_rows
 from treeshift.operators.paging import (
     TOP_CALLEES,
     TOP_CALLERS,
@@ -127,8 +128,11 @@ def _edge_costs(edges: DataFrame, entry: list[str], order: list[str], keep: int,
     return whole.join(short, FUNCTION)
 
 
-def budgeted_context(context: Context, ranges: DataFrame, budget: int) -> DataFrame:
-    """Entries of each page trimmed to a token budget, with nested lists.
+def budgeted_context(context: Context, ranges: DataFrame, budget: int, page_size: int = 25) -> DataFrame:
+    """A range's entries in pages that keep a token budget, with nested lists.
+
+    Pages go on where the one before was cut; the edges of an entry are those found
+    with the files of its page in ``context``, its ``scan_page``.
 
     List sizes are summed where the edges are. Lists are nested only for
     entries that are kept, so their length is bounded by the budget, or by
@@ -143,6 +147,8 @@ def budgeted_context(context: Context, ranges: DataFrame, budget: int) -> DataFr
         "callees": (context.callees, ["callee", "line"], ["line", "ordinal"], TOP_CALLEES),
     }
     entries = context.functions
+    if "position" not in entries.columns:
+        entries = number_rows(entries, ["range_id"], ["name", "file", "change_type"])
     for name, (df, entry, order, keep) in lists.items():
         entries = entries.join(_edge_costs(df, entry, order, keep, name), FUNCTION, "left")
     blast = F.struct("production_callers", "test_callers", "has_tests", "risk").alias("blast_radius")
@@ -184,20 +190,23 @@ def budgeted_context(context: Context, ranges: DataFrame, budget: int) -> DataFr
         .join(ranges.select("range_id", "base_ref", "head_ref"), "range_id")
         .join(totals, "range_id")
         .withColumn("skeleton", skeleton)
+        .withColumnRenamed("page", "scan_page")
         .drop("base_ref", "head_ref", "total_items")
     )
-    kept = mark_last_truncated(context_budget(priced, budget, F.col("skeleton")), totals)
-    full = cut(kept)
+    kept = cut(mark_last_truncated(context_budget(priced, budget, F.col("skeleton"), page_size), totals))
+    scanned = ["range_id", "scan_page", "name", "file"]
+    out = kept
     for name, (df, entry, order, keep) in lists.items():
         whole = (
-            df.join(full.filter("tier = 'full'").select(*FUNCTION), FUNCTION, "left_semi")
-            .groupBy(*FUNCTION)
+            df.withColumnRenamed("page", "scan_page")
+            .join(kept.filter("tier = 'full'").select(*scanned), scanned, "left_semi")
+            .groupBy(*scanned)
             .agg(
                 F.sort_array(F.collect_list(F.struct(*order, F.struct(*entry).alias("entry")))).alias("_whole")
             )
         )
         shape = "callee:string,line:bigint" if name == "callees" else CALLER_SHAPE
-        kept = kept.join(whole, FUNCTION, "left").withColumn(
+        out = out.join(whole, scanned, "left").withColumn(
             name,
             F.coalesce(
                 F.transform(
@@ -207,4 +216,4 @@ def budgeted_context(context: Context, ranges: DataFrame, budget: int) -> DataFr
                 F.array(),
             ).cast(f"array<struct<{shape}>>"),
         ).drop("_whole", f"{name}_all", f"{name}_some", f"{name}_first")
-    return kept.drop("skeleton", "total_items")
+    return out.drop("skeleton", "total_items")

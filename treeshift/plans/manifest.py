@@ -157,7 +157,7 @@ def worktree_manifest(
 
 
 def budgeted_files(manifest: Manifest, ranges: DataFrame, budget: int, page_size: int = 100) -> DataFrame:
-    """A manifest's files in pages, each page trimmed to a token budget.
+    """A manifest's files in pages, each trimmed to a token budget; every file is on one page.
 
     The skeleton is what a page costs without its files: refs, summary, paging.
     """
@@ -187,4 +187,4 @@ def budgeted_files(manifest: Manifest, ranges: DataFrame, budget: int, page_size
         )
     )
     files = page_files(manifest.files, page_size).join(skeleton, "range_id")
-    return manifest_budget(files, budget, F.col("skeleton")).drop("skeleton")
+    return manifest_budget(files, budget, F.col("skeleton"), page_size).drop("skeleton")

@@ -45,6 +45,6 @@ def review_change(
         return Review(manifest, files, None, None)
     context = function_context(tree, ranges, manifest.function_changes, page_size, names)
     functions = (
-        context.functions if budget == 0 else budgeted_context(context, ranges, for_functions)
+        context.functions if budget == 0 else budgeted_context(context, ranges, for_functions, page_size)
     )
     return Review(manifest, files, context, functions)
