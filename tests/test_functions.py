@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from treeshift.operators.call_graph import callees
 from treeshift.operators.dependencies import dependency_diff, nested_dependency_changes
 from treeshift.operators.file_diff import diff_trees
 from treeshift.operators.function_diff import changed_symbols, function_changes
@@ -119,6 +120,70 @@ def test_function_names(spark):
     assert got == {lang: names for lang, (_, names) in CASES.items()}
 
 
+# text, (function, first line, last line, signature), (callee, line, caller)
+ODD = {
+    "rust": (
+        "impl A { fn one(&self) { a(); } fn two(&self) -> u8 { b(\"}\") } }\nfn x() { p(); } fn y() { q('}'); } // fn z() {}\n"
+        "fn t(s: &str) {\n    let n = s.parse::<u32>();\n    Vec::<Vec<u8>>::new();\n    let c = '\\''; let u = '\\u{10_FF_FF}'; d(b'{');\n}\n"
+        "fn last() {}\n",
+        [("A::one", 1, 1, "fn one(&self)"), ("A::two", 1, 1, "fn two(&self) -> u8"), ("x", 2, 2, "fn x()"), ("y", 2, 2, "fn y()"),
+         ("t", 3, 7, "fn t(s: &str)"), ("last", 8, 8, "fn last()")],
+        [("a", 1, "A::one"), ("b", 1, "A::two"), ("p", 2, "x"), ("q", 2, "y"), ("s.parse::<u32>", 4, "t"), ("Vec::<Vec<u8>>::new", 5, "t"),
+         ("d", 6, "t")],
+    ),
+    "typescript": (
+        "const r = /[{\"'`]\\/x/g;\nfunction f(a: number) { return a / b(a) / c; }\nconst t = `x ${`y ${z({a: '}'})}` + \"`\"} {`;\n"
+        "class A { m() { x(); } n(): void { y(/}/); } }\nfunction g() { h(); } function i() { j(); }\n",
+        [("f", 2, 2, "function f(a: number)"), ("A.m", 4, 4, "m()"), ("A.n", 4, 4, "n(): void"), ("g", 5, 5, "function g()"),
+         ("i", 5, 5, "function i()")],
+        [("b", 2, "f"), ("x", 4, "A.m"), ("y", 4, "A.n"), ("h", 5, "g"), ("j", 5, "i")],
+    ),
+    "go": (
+        "type I interface {\n\tFoo(x int) error\n\tBar() (int, error)\n}\ntype J interface { Baz(); Qux() }\nfunc A() { Foo(1) }\n"
+        "func B() { c() }; func D() { e() }\n",
+        [("A", 6, 6, "func A()"), ("B", 7, 7, "func B()"), ("D", 7, 7, "func D()")],
+        [("Foo", 6, "A"), ("c", 7, "B"), ("e", 7, "D")],
+    ),
+    "c": (
+        "static int\nadd(int a)\n{\n    return sum(a);\n}\n\nstruct point *\nmake(void) {\n    return 0;\n}\n"
+        "int f(void) { g(); } int h(void) { i('}'); }\n",
+        [("add", 1, 5, "static int\nadd(int a)"), ("make", 7, 10, "struct point *\nmake(void)"), ("f", 11, 11, "int f(void)"),
+         ("h", 11, 11, "int h(void)")],
+        [("sum", 4, "add"), ("g", 11, "f"), ("i", 11, "h")],
+    ),
+    "java": (
+        "class A { void m() { x(); } int n() { return y(1); } }\n",
+        [("A.m", 1, 1, "void m()"), ("A.n", 1, 1, "int n()")],
+        [("x", 1, "A.m"), ("y", 1, "A.n")],
+    ),
+}
+
+
+@pytest.mark.parametrize("language", sorted(ODD))
+def test_headers_and_literals_anywhere(spark, language):
+    """Several headers in a line, names below their types, literals that hold braces and slashes."""
+    text, functions, calls = ODD[language]
+    blobs = spark.createDataFrame([("1", language, text)], "blob_id string, language string, content string")
+    row = extract_symbols(blobs, [language]).first()
+    assert [(f.name, f.start_line, f.end_line, f.signature) for f in row.functions] == functions
+    assert [(c.callee, c.line, c.caller) for c in row.calls] == calls
+
+
+def test_functions_of_one_line_change_alone(changes_of):
+    got = changes_of({"a.rs": "fn a() { 1 } fn b() { 2 }\n"}, {"a.rs": "fn a() { 1 } fn b() { \"}\" } fn c() { 3 }\n"})
+    assert got == {("a.rs", "b", "modified", None), ("a.rs", "c", "added", None)}
+
+
+def test_callees_of_functions_of_one_line(spark):
+    text = "fn a() { x(); } fn b() { y::<u8>(); }\n"
+    blobs = spark.createDataFrame([("1", "rust", text)], "blob_id string, language string, content string")
+    symbols = extract_symbols(blobs, ["rust"])
+    files = spark.createDataFrame([("r", "f.rs", "1")], "range_id string, path string, blob_id string")
+    wanted = spark.createDataFrame([("r", 0, n, "f.rs") for n in "ab"], "range_id string, page long, name string, file string")
+    assert {(r.name, r.callee) for r in callees(wanted, files, symbols).collect()} == {("a", "x"), ("b", "y::<u8>")}
+    assert [c.leaf for c in symbols.first().calls] == ["x", "y"]
+
+
 def test_python_headers_over_several_lines(spark):
     text = "class A(\n    B,\n    C,\n):\n    def m(\n        self,\n    ):\n        f()\n\n    def n(self):\n        g()\n\ndef top(\n    x,\n):\n    h()\n"
     blobs = spark.createDataFrame([("1", "python", text)], "blob_id string, language string, content string")

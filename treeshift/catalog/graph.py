@@ -44,17 +44,15 @@ def modules(spark, sf) -> DataFrame:
     return K.changed_modules(changed(spark, sf), no_context(ranges))
 
 
-def scan(spark, sf) -> DataFrame:
+def scope(spark, sf) -> K.Scope:
     _, ranges, files, symbols = graph(spark, sf)
-    return written(
-        spark, sf, "graph_scan", lambda: K.scan_set(files, symbols, modules(spark, sf), no_context(ranges))
-    )
+    return K.scan_scope(files, symbols, modules(spark, sf), no_context(ranges))
 
 
 def calls(spark, sf) -> DataFrame:
-    _, _, _, symbols = graph(spark, sf)
+    _, _, files, symbols = graph(spark, sf)
     return written(
-        spark, sf, "graph_calls", lambda: K.scanned_calls(scan(spark, sf), symbols, changed(spark, sf))
+        spark, sf, "graph_calls", lambda: K.scanned_calls(files, symbols, changed(spark, sf), scope(spark, sf))
     )
 
 
@@ -125,7 +123,7 @@ def import_scope(spark, sf):
 
 @query("scan_set", sql(["call_rows"], f"SELECT * FROM ({SCOPED}) s UNION SELECT * FROM ({HEAD_CODE}) h"))
 def q_scan_set(spark, sf):
-    return scan(spark, sf).select("path")
+    return K.scan_set(graph(spark, sf)[2], scope(spark, sf)).select("path")
 
 
 GO_FILES = """SELECT 'x' AS range_id, 'd' || CAST(l_suppkey % 20 AS STRING) || '/f_' || CAST(l_partkey AS STRING) || '.go' AS path,
@@ -135,14 +133,14 @@ GO_FILES = """SELECT 'x' AS range_id, 'd' || CAST(l_suppkey % 20 AS STRING) || '
 
 @query(
     "same_package",
-    f"SELECT path FROM ({fx.to_duckdb(GO_FILES)}) g WHERE split_part(path, '/', 1) IN ('d1', 'd3', 'd7')",
+    f"SELECT path FROM ({fx.to_duckdb(GO_FILES)}) g",
 )
 def same_package(spark, sf):
     files = fx.from_sql(spark, sf, GO_FILES)
     folders = files.select(
         "range_id", F.lit(0).cast("bigint").alias("page"),
         F.concat(F.substring_index("path", "/", 1), F.lit("/changed.go")).alias("path"),
-    ).distinct().filter(F.col("path").rlike("^d(1|3|7)/"))
+    ).distinct()
     return K.same_package(files, folders).select("path")
 
 
@@ -162,9 +160,9 @@ def distinct_modules(spark, sf):
       CAST(sum(production_callers + test_callers) AS BIGINT) AS total_callers FROM n"""),
 )
 def context_totals(spark, sf):
-    _, _, _, symbols = graph(spark, sf)
+    _, _, files, symbols = graph(spark, sf)
     entries = K.caller_counts(changed(spark, sf), calls(spark, sf))
-    return X.context_totals(entries, scan(spark, sf), symbols).select(
+    return X.context_totals(entries, K.scanned_files(files, symbols, scope(spark, sf))).select(
         "functions", "files_scanned", "total_callers"
     )
 
@@ -176,14 +174,23 @@ def q_files_touched(spark, sf):
 
 @query(
     "function_context",
-    sql(VIEWS, EDGES + f"""SELECT t.name, t.path AS file, t.change_type, production_callers, test_callers, {RISK} AS risk,
-      'scoped' AS scoping_mode FROM code_truth t JOIN n ON n.name = t.name"""),
+    sql(VIEWS, EDGES + f"""SELECT 'entry' AS kind, t.name, t.path AS file, t.change_type AS what, {RISK} AS other, production_callers AS n, test_callers AS tests,
+      'scoped' AS scoping_mode FROM code_truth t JOIN n ON n.name = t.name
+      UNION ALL SELECT 'caller', name, function_file, file, caller, line, CAST(is_test AS BIGINT), NULL FROM e WHERE name IS NOT NULL"""),
 )
 def function_context(spark, sf):
     tree, ranges, _, symbols = graph(spark, sf)
     found = X.function_context(tree, ranges, code_functions(spark, sf), symbols=symbols)
-    return found.functions.select(
-        "name", "file", "change_type", "production_callers", "test_callers", "risk", "scoping_mode"
+    entries = found.functions.select(
+        F.lit("entry").alias("kind"), "name", "file", F.col("change_type").alias("what"), F.col("risk").alias("other"),
+        F.col("production_callers").alias("n"), F.col("test_callers").alias("tests"), "scoping_mode",
+    )
+    return entries.unionByName(
+        found.callers.select(
+            F.lit("caller").alias("kind"), "name", F.col("function_file").alias("file"), F.col("file").alias("what"),
+            F.col("caller").alias("other"), F.col("line").alias("n"), F.col("is_test").cast("bigint").alias("tests"),
+            F.lit(None).cast("string").alias("scoping_mode"),
+        )
     )
 
 

@@ -17,15 +17,41 @@ DOUBLE = rf'"[^\n]*?{_END}"'
 SINGLE = rf"'[^\n]*?{_END}'"
 DOUBLE_MULTI = rf'"(?s:.*?){_END}"'
 SINGLE_MULTI = rf"'(?s:.*?){_END}'"
-CHAR = r"'(?:\\[^\n]{1,10}?|[^'\\\n])'"
-TEMPLATE = rf"`(?s:.*?){_END}`"
+CHAR = r"'(?:\\(?:'|[^'\n]++)|[^'\\\n])'"
+
+
+def _nested(opens: str, closes: str, run: str, depth: int) -> str:
+    """A bracketed text, ``depth`` levels deep, with ``run`` between brackets."""
+    text = rf"{opens}{run}{closes}"
+    for _ in range(depth):
+        text = rf"{opens}{run}(?:{text}{run})*+{closes}"
+    return text
+
+
+def _templates(depth: int) -> str:
+    """A template literal whose ``${}`` hold braces, literals and ``depth`` levels of further templates."""
+    text = r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
+    for _ in range(depth):
+        run = rf"[^`{{}}\"']*+(?:(?:{DOUBLE}|{SINGLE}|{text})[^`{{}}\"']*+)*+"
+        text = rf"`[^`\\$]*+(?:(?:\\(?s:.)|\${_nested('\\{', '\\}', run, 1)}|\$(?!\{{))[^`\\$]*+)*+`"
+    return text
+
+
+TEMPLATE = rf"`(?s:.*?){_END}`"  # for one that is not well formed
+# a slash begins a regular expression where no value can stand before it
+REGEX = (
+    r"/(?<=(?:[(,=:\[!&|?{};+*%~^<>-]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield))[ \t]{0,20}/|^[ \t]{0,200}/)(?![/*])"
+    r"[^/\\\[\n]*+(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/[a-z]*"
+)
 TRIPLE = rf'"""(?s:.*?){_END}"""'
 TRIPLE_SINGLE = rf"'''(?s:.*?){_END}'''"
 SLASHES = r"//[^\n]*"
 BLOCK = r"/\*(?s:.*?)\*/"
 HASH = r"#[^\n]*"
 
-PARENS = r"\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)"
+PARENS = _nested(r"\(", r"\)", "[^()]*+", 12)
+#: Type arguments of a Rust call.
+TURBOFISH = "::" + _nested("<", ">", "[^<>;{}-]*+(?:->?[^<>;{}-]*+)*+", 6)
 ANGLES = r"<[^;(){}]*>"
 NOT_A_NAME = (
     "if|else|for|while|switch|case|return|throw|new|do|try|catch|synchronized|using|lock|"
@@ -58,7 +84,10 @@ class Rules:
     qualify: str = "last"  # last container only, or join all
     container_rows: str = ""  # path where containers are function rows themselves
     annotation: str = ""  # lines that belong to the function below them
+    # headers that count only below an annotation, as in C a name below its type
+    untyped: list[tuple[str, int, int, str]] = field(default_factory=list)
     spoiler: str = ""  # a header right below such a line is not a function
+    quiet: tuple[str, str] | None = None  # opens and closes lines that call nothing
     body_stop: str = "{"  # characters that begin a body, outside parentheses
     member_needs_body: bool = False
     function_needs_body_in: str = ""  # path in which a bodiless header is no function
@@ -91,12 +120,17 @@ _SWIFT_MODS = (
 )
 _C_WORDS = r"(?:[A-Za-z_]\w*(?:\s+|\s*\*+\s*))"
 _CPP_WORDS = rf"(?:[A-Za-z_][\w:]*(?:{ANGLES})?(?:\s+|\s*[*&]+\s*))"
+# a type on a line of its own, at the left as the name below it
+_TYPE_LINE = (
+    r"^(?!(?:else|do|try|public|private|protected|default|return|break|continue|goto)\b)"
+    r"(?:(?:struct|union|enum)\s+)?[A-Za-z_][\w:]*(?:\s+[A-Za-z_]\w*)*(?:\s*\*+)?\s*$"
+)
 _NOT = rf"(?!\s*(?:{NOT_A_NAME})\b)"
 
 _C_MASK = [DOUBLE, CHAR, SLASHES, BLOCK]
 _TS = dict(
     family="brace",
-    mask=[TEMPLATE, DOUBLE, SINGLE, SLASHES, BLOCK],
+    mask=[_templates(3), TEMPLATE, DOUBLE, SINGLE, SLASHES, BLOCK, REGEX],
     comment="//|/\\*",
     containers=[("C", r"^\s*(?:export\s+)?(?:default\s+)?class\s+([\w$]+)")],
     functions=[
@@ -143,7 +177,7 @@ RULES: dict[str, Rules] = {
         ],
         separator="::",
         call_glue=r"::|\.",
-        call_regex=r"(\.?\b[A-Za-z_]\w*+(?:(?:::|\.)[A-Za-z_]\w*+)*+(?:!(?=\s*[\[{(]|$)|(?=\s*\()))",
+        call_regex=rf"(\.?\b[A-Za-z_]\w*+(?:(?:::|\.)[A-Za-z_]\w*+|{TURBOFISH})*+(?:!(?=\s*[\[{{(]|$)|(?=\s*\()))",
         call_strip=("!", rf"(?<=\w!)\s*{PARENS}"),
         defines="fn",
         imports=r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s",
@@ -168,6 +202,8 @@ RULES: dict[str, Rules] = {
         functions=[(r"^func\s+(\w+)\s*[(\[]", 1, 0, "^$")],
         members=[(r"^func\s*\(\s*(?:\w+\s+)?\**([\w.]+(?:\[[^\]]*\])?)\s*\)\s*(\w+)", 2, 1, "^$")],
         imports=r"^import\s",
+        quiet=(r"\binterface\s*\{\s*$", r"^\s*\}"),
+        call_strip=("interface", r"\binterface\s*\{[^{}]*\}"),
         import_text=r'^import\s+(?:[\w.]+\s+)?"([^"]*)"',
         import_block=(r"^import\s*\(", r"^\s*\)", r'^\s*(?:[\w.]+\s+)?"([^"]*)"'),
     ),
@@ -193,6 +229,8 @@ RULES: dict[str, Rules] = {
         members=[
             (rf"^{_NOT}\s*(?:[A-Za-z_]\w*\s+)*[A-Za-z_]\w*\s*\*\s*(\**\s*[A-Za-z_]\w*\s*\([^)]*\)?)", 1, 0, "^$")
         ],
+        untyped=[(rf"^{_NOT}([A-Za-z_]\w*)\s*\(", 1, 0, "^$")],
+        annotation=_TYPE_LINE,
         member_needs_body=True,
         call_glue=r"->|\.",
         imports=r"^\s*#\s*include\b",
@@ -216,6 +254,8 @@ RULES: dict[str, Rules] = {
             (rf"^{_NOT}\s*(?:explicit\s+|virtual\s+|inline\s+)?(~?\w+)\s*\(", 1, 0, "^[NEC]*C$"),
             (rf"^{_NOT}\s*(\w+(?:::~?\w+)+)\s*\(", 1, 0, "^[NE]*$"),
         ],
+        untyped=[(rf"^{_NOT}(~?[A-Za-z_][\w:]*)\s*\(", 1, 0, "^[NE]*$")],
+        annotation=_TYPE_LINE,
         separator="::",
         qualify="join",
         spoiler=r"^\s*template\s*<[^;{}]*$",

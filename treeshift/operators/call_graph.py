@@ -1,7 +1,13 @@
-"""Callers, callees, test references and risk of changed functions."""
+"""Callers, callees, test references and risk of changed functions.
+
+A page's callers are looked for in some files only. These are never listed as
+pages x files: the facts that decide meet the calls of changed leaf names.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treeshift.functions import paths as P
@@ -9,6 +15,7 @@ from treeshift.functions.text import leaf_name
 from treeshift.operators.function_diff import symbol_key
 from treeshift.operators.modules import import_targets, module_keys, module_path
 from treeshift.operators.symbols import calls_of, functions_of, imports_of
+from treeshift.session import cut
 from treeshift.sources.trees import with_blob_id
 
 PAGE = ["range_id", "page"]
@@ -67,38 +74,136 @@ def page_fallback(modules: DataFrame) -> DataFrame:
     )
 
 
-def scan_set(files: DataFrame, symbols: DataFrame, modules: DataFrame, repo_ctx: DataFrame) -> DataFrame:
-    """Files in which callers are looked for: ``(range_id, page, path, blob_id)``.
+@dataclass(frozen=True)
+class Scope:
+    """Where callers are looked for: everywhere for a page that falls back, else in the
+    changed files, files whose language cannot be scoped, Go files of the same folder,
+    and importers of a changed module."""
 
-    The changed files, all files whose language cannot be scoped, everything if
-    a changed file forces it, Go files of the same package, and importers.
-    """
-    fallback = page_fallback(modules)
-    everywhere = (
-        files.join(fallback, "range_id")
-        .filter(F.col("fallback") | ~P.supports_scoping(F.col("path")))
-        .select(*PAGE, "path")
-    )
-    chosen = (
-        everywhere.unionByName(modules.select(*PAGE, "path"))
-        .unionByName(same_package(files, modules))
-        .unionByName(import_scope(files, symbols, modules, repo_ctx))
+    pages: DataFrame  # range_id, page, fallback
+    changed: DataFrame  # range_id, page, path
+    folders: DataFrame  # range_id, page, folder
+    modules: DataFrame  # range_id, page, kind, target: names a changed module is imported by
+    imports: DataFrame  # range_id, path, kind, target: what a file imports
+
+
+def scan_scope(files: DataFrame, symbols: DataFrame, modules: DataFrame, repo_ctx: DataFrame) -> Scope:
+    imports = (
+        files.filter(P.supports_scoping(F.col("path")))
+        .join(imports_of(symbols).select("blob_id", "import_text"), "blob_id")
+        .join(repo_ctx, "range_id", "left")
+    )
+    return Scope(
+        pages=cut(page_fallback(modules)),
+        changed=modules.select(*PAGE, "path").distinct(),
+        folders=modules.select(*PAGE, P.parent_dir(F.col("path")).alias("folder")).distinct(),
+        modules=module_keys(modules),
+        imports=cut(import_targets(imports).distinct()),
+    )
+
+
+def _is_go(path: Column) -> Column:
+    return P.extension_from_path(path) == "go"
+
+
+def _narrow(places: DataFrame, scope: Scope) -> DataFrame:
+    """Those of distinct ``places(range_id, page, path)`` that a page reaches without falling back."""
+    at = [*PAGE, "path"]
+    in_folder = places.filter(_is_go(F.col("path"))).withColumn("folder", P.parent_dir(F.col("path")))
+    importers = places.join(scope.imports, ["range_id", "path"]).join(
+        scope.modules, [*PAGE, "kind", "target"], "left_semi"
+    )
+    return (
+        places.join(scope.changed, at, "left_semi")
+        .unionByName(in_folder.join(scope.folders, [*PAGE, "folder"], "left_semi").select(at))
+        .unionByName(importers.select(at))
+        .distinct()
+    )
+
+
+def scan_set(files: DataFrame, scope: Scope) -> DataFrame:
+    """Files in which any page of a range looks for callers: ``(range_id, path, blob_id)``."""
+    whole = scope.pages.groupBy("range_id").agg(F.max("fallback").alias("fallback"))
+    one = lambda df: df.drop("page").distinct().withColumn("page", F.lit(0))  # noqa: E731  a range as one page
+    marked = files.join(whole, "range_id").withColumn("open", F.col("fallback") | ~P.supports_scoping(F.col("path")))
+    closed = marked.filter("NOT open").select("range_id", F.lit(0).alias("page"), "path")
+    reached = _narrow(
+        closed, Scope(scope.pages, one(scope.changed), one(scope.folders), one(scope.modules), scope.imports)
+    ).select("range_id", "path")
+    columns = ["range_id", "path", "blob_id"]
+    found = marked.filter("NOT open").join(reached, ["range_id", "path"], "left_semi")
+    return marked.filter("open").select(columns).unionByName(found.select(columns))
+
+
+def scanned_files(files: DataFrame, symbols: DataFrame, scope: Scope) -> DataFrame:
+    """``(range_id, page, files_scanned)``: scanned files that hold any symbol."""
+    some = symbols.filter((F.size("functions") > 0) | (F.size("calls") > 0)).select("blob_id")
+    path = F.col("path")
+    held = files.join(some, "blob_id", "left_semi").select("range_id", "path")
+    totals = held.groupBy("range_id").agg(
+        F.count("*").alias("every"), F.count_if(~P.supports_scoping(path)).alias("unscoped")
+    )
+    narrow = scope.pages.filter("NOT fallback").select(*PAGE)
+    go = held.filter(_is_go(path)).withColumn("folder", P.parent_dir(path))
+    reached = (
+        scope.changed.unionByName(go.join(scope.folders, ["range_id", "folder"]).select(*PAGE, "path"))
+        .unionByName(scope.imports.join(scope.modules, ["range_id", "kind", "target"]).select(*PAGE, "path"))
+        .filter(P.supports_scoping(path))
+        .join(narrow, PAGE, "left_semi")
         .distinct()
+        .join(held, ["range_id", "path"], "left_semi")
+        .groupBy(*PAGE)
+        .agg(F.count("*").alias("reached"))
+    )
+    zero = F.lit(0).cast("bigint")
+    scanned = F.when(F.col("fallback"), F.col("every")).otherwise(F.col("unscoped") + F.coalesce("reached", zero))
+    return (
+        scope.pages.join(totals, "range_id", "left")
+        .join(reached, PAGE, "left")
+        .select(*PAGE, F.coalesce(scanned, F.col("reached"), zero).alias("files_scanned"))
+    )
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], share: int = 1000) -> DataFrame:
+    """Inner join in which a hot key of ``rows`` is worked on by many tasks.
+
+    Fewer than ``share`` keys can have more than 1/``share`` of all rows each. They
+    are dealt out by a hash of ``spread`` in parts of about that size, and their
+    ``facts`` go to every part.
+    """
+    weights = cut(rows.groupBy(*keys).agg(F.count("*").alias("weight")))
+    limit = max(1, (weights.agg(F.sum("weight")).first()[0] or 0) // share)
+    heavy = F.broadcast(  # fewer than ``share`` keys
+        weights.filter(F.col("weight") > limit).select(*keys, F.ceil(F.col("weight") / limit).alias("parts"))
     )
-    return chosen.join(files, ["range_id", "path"])
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    salted = rows.join(heavy, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*spread), parts)).drop("parts")
+    copied = facts.join(heavy, keys, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    )
+    return salted.join(copied.drop("parts"), [*keys, "salt"]).drop("salt")
 
 
-def scanned_calls(scan: DataFrame, symbols: DataFrame, functions: DataFrame) -> DataFrame:
-    """Calls in scanned files whose leaf name is that of a changed function."""
+def scanned_calls(files: DataFrame, symbols: DataFrame, functions: DataFrame, scope: Scope) -> DataFrame:
+    """Calls in scanned files whose leaf name is that of a changed function of the page."""
     leaves = functions.select(*PAGE, leaf_name(F.col("name")).alias("leaf")).distinct()
     calls = calls_of(symbols).select("blob_id", "leaf", "line", "ordinal", "caller")
-    return (
-        scan.join(calls, "blob_id")
-        .join(leaves, [*PAGE, "leaf"], "left_semi")
-        .select(
-            *PAGE, "leaf", F.col("path").alias("file"), "line", "ordinal", "caller",
-            P.is_test_path(F.col("path")).alias("is_test"),
-        )
+    sites = (
+        calls.join(leaves.select("leaf").distinct(), "leaf", "left_semi")
+        .join(files, "blob_id")
+        .select("range_id", "path", "leaf", "line", "ordinal", "caller")
+    )
+    found = cut(salted_join(sites, leaves, ["range_id", "leaf"], ["path", "line", "ordinal"]))
+    places = found.select(*PAGE, "path").distinct().join(scope.pages, PAGE)
+    everywhere = F.col("fallback") | ~P.supports_scoping(F.col("path"))
+    kept = (
+        places.filter(everywhere)
+        .drop("fallback")
+        .unionByName(_narrow(places.filter(~everywhere).drop("fallback"), scope))
+    )
+    return found.join(kept, [*PAGE, "path"], "left_semi").select(
+        *PAGE, "leaf", F.col("path").alias("file"), "line", "ordinal", "caller",
+        P.is_test_path(F.col("path")).alias("is_test"),
     )
 
 
@@ -107,7 +212,7 @@ def callers(functions: DataFrame, calls: DataFrame) -> DataFrame:
     wanted = functions.select(
         *PAGE, "name", F.col("file").alias("function_file"), leaf_name(F.col("name")).alias("leaf")
     )
-    return calls.join(wanted, [*PAGE, "leaf"]).select(
+    return salted_join(calls, wanted, [*PAGE, "leaf"], ["file", "line", "ordinal"]).select(
         *PAGE, "name", "function_file", "file", "line", "ordinal", "caller", "is_test"
     )
 
@@ -154,7 +259,7 @@ def callees(functions: DataFrame, files: DataFrame, symbols: DataFrame) -> DataF
         functions_of(symbols)
         .withColumn("rn", F.row_number().over(first))
         .filter("rn = 1")
-        .select("blob_id", "name", F.col("head_line").alias("at"))
+        .select("blob_id", "name", F.col("head").alias("at"))
     )
     # every call knows the functions it is in, so no range join is needed
     inside = calls_of(symbols).select("blob_id", "callee", "line", "ordinal", F.explode("inside").alias("at"))
@@ -176,7 +281,7 @@ def containing_function(symbols: DataFrame, innermost: bool = False) -> DataFram
     calls = calls_of(symbols)
     if not innermost:
         return calls.select("blob_id", "line", "ordinal", "callee", "caller")
-    names = functions_of(symbols).select("blob_id", F.col("head_line").alias("at"), "name")
+    names = functions_of(symbols).select("blob_id", F.col("head").alias("at"), "name")
     return (
         calls.withColumn("at", F.try_element_at("inside", F.lit(-1)))
         .join(names, ["blob_id", "at"], "left")

@@ -1,7 +1,8 @@
 """Functions, imports and calls of source files, read from masked lines.
 
 ``extract_symbols`` turns distinct blobs into one row each. The rows of a blob
-are its lines, and everything a parser would keep on a stack is a running
+are its lines, a line with more than one header cut into pieces that hold one
+brace or semicolon each (``at`` numbers them), and everything a parser would keep on a stack is a running
 window over them: block depth is a running sum, the enclosing blocks are the
 last openers of each lower level, a function ends at the next line that closes
 its level. All windows are keyed by ``blob_id``, so the content is shuffled once
@@ -15,14 +16,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from treeshift.functions.code_rules import NOT_CALLED, PARENS, RULES, Rules
+from treeshift.functions.code_rules import NOT_CALLED, PARENS, RULES, TURBOFISH, Rules
 from treeshift.functions.text import leaf_name, strip
 
 LEVELS = 8  # enclosing blocks that are looked at; functions nested deeper are not found
 
 STR, END, NOTE = "\x01", "\x02", "\x03"  # marks around literals and comments
+CUT = "\x1e"  # between the pieces of a line
+# from one piece to the next in a line whose literals and comments are marked
+PIECE = rf"\G([^{{}};{STR}]*+(?:{STR}[^{END}]*+{END}[^{{}};{STR}]*+)*+)([{{;}}])"
+#: A row's place in its blob: line times this, plus the piece of the line.
+PIECES = 1 << 20
 
-ROW = "blob_id", "language", "line"
+ROW = "blob_id", "language", "line", "at"
 
 
 def _by_language(langs: list[str], build: Callable[[Rules], Column]) -> Column:
@@ -43,16 +49,46 @@ def _by_language(langs: list[str], build: Callable[[Rules], Column]) -> Column:
     return chain
 
 
+def _tokens(rules: Rules) -> str:
+    """Regular expression of all literals and comments of a language."""
+    starts = "".join(sorted({c for m in rules.mask for c in _first_chars(m)}))
+    return f"(?=[{starts}])(?:" + "|".join(rules.mask) + ")"
+
+
+def _pieces(code: Column, raw: Column, rules: Rules) -> Column:
+    """``array<struct<piece,code,chars>>`` of a line: one for most, several if a header is behind another piece.
+
+    ``chars`` is the length of a piece in the raw text, 0 for lines that stay whole
+    and where a literal over several lines hides the pieces.
+    """
+    whole = F.array(F.struct(F.lit(0).alias("piece"), code.alias("code"), F.lit(0).alias("chars")))
+    if rules.family != "brace":
+        return whole
+    heads = [rule[0] for rule in [*rules.functions, *rules.members]] + [regex for _, regex in rules.containers]
+    later = r"[{};][ \t]*(?:" + "|".join(h.removeprefix("^") for h in heads) + ")"
+    codes = F.split(F.regexp_replace(code, "([{;}])", "$1" + CUT), CUT)
+    marked = F.regexp_replace(F.regexp_replace(raw, f"[{STR}{END}]", " "), _tokens(rules), f"{STR}$0{END}")
+    raws = F.split(F.regexp_replace(marked, PIECE, "$1$2" + CUT), CUT)
+    sizes = F.transform(raws, lambda r: F.length(F.regexp_replace(r, f"[{STR}{END}]", "")))
+    cut = F.transform(
+        codes,
+        lambda c, i: F.struct(
+            i.alias("piece"),
+            F.when(i > 0, F.regexp_replace(c, r"^[ \t]+", "")).otherwise(c).alias("code"),
+            F.when(F.size(sizes) == F.size(codes), F.get(sizes, i)).otherwise(0).alias("chars"),
+        ),
+    )
+    return F.when(F.rlike(code, F.lit(later)), cut).otherwise(whole)
+
+
 def mask_short(content: Column, rules: Rules) -> Column:
     """Content without comments and the inside of literals, where one line holds them.
 
     Literals and comments are marked by one left-to-right pass, so quotes in
     comments and slashes in strings do not matter.
     """
-    starts = "".join(sorted({c for m in rules.mask for c in _first_chars(m)}))
-    tokens = f"(?=[{starts}])(?:" + "|".join(rules.mask) + ")"
     plain = F.regexp_replace(content, f"[{STR}{END}{NOTE}]", " ")
-    marked = F.regexp_replace(plain, tokens, f"{STR}$0{END}")
+    marked = F.regexp_replace(plain, _tokens(rules), f"{STR}$0{END}")
     noted = F.regexp_replace(marked, f"{STR}(?={rules.comment})", NOTE)
     short = F.regexp_replace(noted, f"{NOTE}[^\n{END}]*{END}", "")
     return F.regexp_replace(short, f"{STR}[^\n{END}]*{END}", STR + END)
@@ -88,7 +124,7 @@ def _first_chars(token: str) -> str:
 def _candidates(rules: Rules, code: Column) -> Column:
     """Headers a line may be, each with the container path it is valid in."""
 
-    def one(rule: tuple[str, int, int, str], needs_body: bool, whole: bool) -> Column:
+    def one(rule: tuple[str, int, int, str], needs_body: bool, whole: bool, untyped: bool = False) -> Column:
         regex, name, receiver, path = rule
         own = F.regexp_extract(code, regex, name)
         if receiver:
@@ -101,6 +137,7 @@ def _candidates(rules: Rules, code: Column) -> Column:
                 F.lit(path).alias("path"),
                 F.lit(needs_body).alias("needs_body"),
                 F.lit(whole).alias("whole"),
+                F.lit(untyped).alias("untyped"),
             ),
         )
 
@@ -108,6 +145,7 @@ def _candidates(rules: Rules, code: Column) -> Column:
     found += [
         one(r, rules.member_needs_body, rules.arrow and i == 0) for i, r in enumerate(rules.members)
     ]
+    found += [one(r, rules.member_needs_body, False, True) for r in rules.untyped]
     return F.array_compact(F.array(*found))
 
 
@@ -170,6 +208,17 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
         F.col("l.code").rlike(rf"^\s*{END}").alias("cont"),
         F.regexp_replace(F.replace("l.code", F.lit(STR), F.lit('""')), f"[{END}\r]", "").alias("code"),
     )
+    if any(RULES[lang].family == "brace" for lang in langs):
+        cut = _by_language(langs, lambda r: _pieces(F.col("code"), F.col("raw"), r))
+        lines = lines.withColumn("p", F.explode(cut)).select(
+            *[c for c in lines.columns if c not in ("cont", "code")],
+            (F.col("cont") & (F.col("p.piece") == 0)).alias("cont"),
+            F.col("p.code").alias("code"),
+            (F.col("line").cast("bigint") * PIECES + F.col("p.piece")).alias("at"),
+            F.col("p.chars").alias("chars"),
+        )
+    else:
+        lines = lines.select("*", (F.col("line").cast("bigint") * PIECES).alias("at"), F.lit(0).alias("chars"))
     code, raw = F.col("code"), F.col("raw")
     bare = strip(code)
 
@@ -195,6 +244,11 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
         opens, closes, _ = r.import_block
         return F.when(code.rlike(opens), True).when(code.rlike(closes), False)
 
+    def quiet_mark(r: Rules) -> Column:
+        if r.quiet is None:
+            return F.lit(None).cast("boolean")
+        return F.when(code.rlike(r.quiet[0]), True).when(code.rlike(r.quiet[1]), False)
+
     def flag(regex: str) -> Column:
         return code.rlike(regex) if regex else F.lit(False)
 
@@ -215,6 +269,8 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
         *ROW,
         "lines",
         "cont",
+        "chars",
+        F.length("raw").alias("line_chars"),
         _by_language(langs, alone).alias("alone"),
         code.rlike(r"^\s*[)\]}]").alias("closing"),
         _by_language(langs, lambda r: F.lit(r.family)).alias("family"),
@@ -234,14 +290,15 @@ def _line_features(blobs: DataFrame, langs: list[str]) -> DataFrame:
         _by_language(langs, import_stop).alias("import_stop"),
         _by_language(langs, import_alone).alias("import_alone"),
         _by_language(langs, block_mark).alias("block_mark"),
+        _by_language(langs, quiet_mark).alias("quiet_mark"),
     )
 
 
 def _with_levels(lines: DataFrame, langs: list[str]) -> DataFrame:
     """Block level of every line, and what the lines before it leave open."""
     blob = Window.partitionBy("blob_id")
-    upto = blob.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    before = blob.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    upto = blob.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = blob.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     brace = F.col("family") == "brace"
     header = F.col("container").isNotNull() | (F.size("heads") > 0)
     counted = ~F.col("cont")
@@ -259,6 +316,7 @@ def _with_levels(lines: DataFrame, langs: list[str]) -> DataFrame:
             F.when(event, F.struct(pending.alias("pending"), F.col("container").alias("container"))), True
         ).over(before).alias("prev_event"),
         F.last_value("line").over(before).alias("prev_line"),
+        F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"),
         F.last_value(F.when(~F.col("anno"), F.col("line")), True)
         .over(before)
         .alias("prev_plain"),
@@ -266,6 +324,7 @@ def _with_levels(lines: DataFrame, langs: list[str]) -> DataFrame:
             F.sum(F.when(F.col("anno"), 0).otherwise(1)).over(before), F.lit(0)
         ).alias("run"),
         F.last_value("block_mark", True).over(before).alias("in_block"),
+        F.coalesce(F.last_value("quiet_mark", True).over(before), F.lit(False)).alias("quiet"),
         F.last_value(
             F.when(F.col("import_head") & ~F.col("import_alone"), True).when(F.col("import_stop"), False), True
         ).over(before).alias("in_import"),
@@ -298,14 +357,15 @@ def _with_levels(lines: DataFrame, langs: list[str]) -> DataFrame:
     return lines.select(
         "*",
         level.cast("int").alias("level"),
-        F.when(opener, F.struct("line", kind.alias("kind"), name.alias("name"))).alias("opener"),
+        F.when(opener, F.struct("at", kind.alias("kind"), name.alias("name"))).alias("opener"),
         (counted & ~F.col("closing")).alias("starts"),
     )
 
 
 def _with_functions(lines: DataFrame, langs: list[str]) -> DataFrame:
     """Decide which headers are functions, and name them."""
-    before = Window.partitionBy("blob_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("blob_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("blob_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     scopes = [
         F.last_value(F.when(F.col("level") == k, F.col("opener")), True).over(before) for k in range(LEVELS)
     ]
@@ -318,7 +378,12 @@ def _with_functions(lines: DataFrame, langs: list[str]) -> DataFrame:
         F.last_value(
             F.when(F.col("anno") & ~F.coalesce(F.col("prev.anno"), F.lit(False)), F.col("line")), True
         ).over(before).alias("anno_line"),
+        F.last_value(F.when(F.col("at") % PIECES == 0, F.col("chars_before")), True).over(upto).alias("line_base"),
     )
+    # raw characters of the line before and behind a piece
+    front = F.col("chars_before") - F.coalesce("line_base", "chars_before")
+    rear = F.when(F.col("chars") > 0, F.greatest(F.col("line_chars") - front - F.col("chars"), F.lit(0))).otherwise(0)
+    lines = lines.withColumns({"front": front, "rear": rear})
     # the openers around a header, outermost first; one that began before the
     # block it should be in is a left-over of an earlier block
     inside = F.filter(
@@ -327,7 +392,7 @@ def _with_functions(lines: DataFrame, langs: list[str]) -> DataFrame:
     )
     nested = F.filter(
         inside,
-        lambda s, i: (i == 0) | (s["line"] > F.get(inside["line"], i - 1)),
+        lambda s, i: (i == 0) | (s["at"] > F.get(inside["at"], i - 1)),
     )
     path = F.when(F.col("level") > LEVELS, F.lit("?")).otherwise(
         F.array_join(F.transform("around", lambda s: s["kind"]), "")
@@ -338,9 +403,11 @@ def _with_functions(lines: DataFrame, langs: list[str]) -> DataFrame:
     bodiless = F.col("semi") & (F.col("opens") == 0)
     needs_body_in = _by_language(langs, lambda r: F.lit(r.function_needs_body_in or "^!$"))
     row_path = _by_language(langs, lambda r: F.lit(r.container_rows or "^!$"))
+    below = F.coalesce(F.col("prev.anno"), F.lit(False))
     fits = F.filter(
         "heads",
         lambda h: F.rlike(F.col("path"), h["path"])
+        & (below | ~h["untyped"])
         & ~(bodiless & (h["needs_body"] | ((h["path"] != "^[NEC]*C$") & F.rlike(F.col("path"), needs_body_in)))),
     )
     usable = ~F.col("cont") & ~F.coalesce(F.col("prev.spoiler"), F.lit(False))
@@ -357,6 +424,7 @@ def _with_functions(lines: DataFrame, langs: list[str]) -> DataFrame:
                         F.lit("").alias("path"),
                         F.lit(False).alias("needs_body"),
                         F.lit(False).alias("whole"),
+                        F.lit(False).alias("untyped"),
                     ),
                 ),
                 F.get(fits, F.lit(0)),
@@ -385,13 +453,19 @@ def _with_functions(lines: DataFrame, langs: list[str]) -> DataFrame:
             F.col("head").isNotNull(),
             F.struct(
                 F.col("line").alias("line"),
+                F.col("at").alias("at"),
+                F.col("front").alias("front"),
+                F.col("rear").alias("rear"),
                 F.when(F.size("around") >= 0, qualified).alias("name"),
                 F.col("level").alias("level"),
                 F.col("head.whole").alias("whole"),
                 F.coalesce(own_row, F.lit(False)).alias("container"),
                 F.col("alone").alias("alone"),
                 F.greatest(
-                    F.when(F.col("anno_line") > F.coalesce("prev_plain", F.lit(0)), F.col("anno_line")),
+                    F.when(
+                        (F.col("anno_line") > F.coalesce("prev_plain", F.lit(0))) & (F.col("at") % PIECES == 0),
+                        F.col("anno_line"),
+                    ),
                     F.lit(0),
                 ).alias("anno_line"),
             ),
@@ -422,8 +496,14 @@ def _with_ends(lines: DataFrame) -> DataFrame:
         .otherwise(F.when(F.col("end_word"), F.array("level"))),
         none,
     )
-    ends_at = F.when(F.col("family") == "indent", F.col("prev_line")).otherwise(F.col("line"))
-    itself = F.struct(F.col("fn.level").alias("lv"), F.lit(None).cast("int").alias("close"))
+    indented = F.col("family") == "indent"
+    # a function in a family of indented blocks ends with the row before
+    ends_at = F.struct(
+        F.when(indented, F.col("prev_line")).otherwise(F.col("line")).cast("int").alias("line"),
+        (F.col("at") - indented.cast("bigint")).alias("at"),
+        F.when(indented, 0).otherwise(F.col("rear")).cast("int").alias("rear"),
+    )
+    itself = F.struct(F.col("fn.level").alias("lv"), F.lit(None).cast("struct<line:int,at:bigint,rear:int>").alias("close"))
     import_row = (
         (F.col("import_head") & (F.col("level") == 0))
         | F.coalesce(F.col("in_block"), F.lit(False))
@@ -433,11 +513,11 @@ def _with_ends(lines: DataFrame) -> DataFrame:
     kept = F.col("fn").isNotNull() | (F.size("calls") > 0) | import_row
     rows = F.concat(
         F.filter(F.array(itself), lambda _: kept),
-        F.transform(closed, lambda k: F.struct(k.alias("lv"), ends_at.cast("int").alias("close"))),
+        F.transform(closed, lambda k: F.struct(k.alias("lv"), ends_at.alias("close"))),
     )
     below = (
         Window.partitionBy("blob_id", "lv")
-        .orderBy(F.desc("line"), F.col("close").isNotNull())
+        .orderBy(F.desc("at"), F.col("close").isNotNull())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
@@ -450,7 +530,7 @@ def _with_ends(lines: DataFrame) -> DataFrame:
             "run",
             "last_line",
             F.when(F.col("r.close").isNull(), F.col("fn")).alias("fn"),
-            F.when(F.col("r.close").isNull(), F.col("calls")).alias("calls"),
+            F.when(F.col("r.close").isNull() & ~F.col("quiet"), F.col("calls")).alias("calls"),
             "import_row",
             "import_head",
             "import_alone",
@@ -461,8 +541,16 @@ def _with_ends(lines: DataFrame) -> DataFrame:
         .withColumn("next_close", F.last_value("close", True).over(below))
         .filter("close IS NULL")
         .withColumn(
-            "end_line",
-            F.when(F.col("fn.alone"), F.col("line")).otherwise(F.coalesce("next_close", "last_line")),
+            "end",
+            F.when(
+                F.col("fn.alone"),
+                F.struct(F.col("line").cast("int").alias("line"), "at", F.col("fn.rear").cast("int").alias("rear")),
+            ).otherwise(
+                F.coalesce(
+                    "next_close",
+                    F.struct(F.col("last_line").cast("int").alias("line"), F.lit((1 << 63) - 1).alias("at"), F.lit(0).alias("rear")),
+                )
+            ),
         )
     )
 
@@ -472,18 +560,18 @@ def _with_enclosing(lines: DataFrame) -> DataFrame:
     # a function's annotations follow its header here, so they are inside it
     upto = (
         Window.partitionBy("blob_id")
-        .orderBy("run", "anno", "line")
+        .orderBy("run", "anno", "at")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     entry = F.struct(
-        F.col("fn.line").alias("start"), F.col("end_line").alias("end"), F.col("fn.name").alias("name")
+        F.col("fn.at").alias("start"), F.col("end.at").alias("end"), F.col("fn.name").alias("name")
     )
     at = [
         F.last_value(F.when(F.col("fn.level") == k, entry), True).over(upto) for k in range(LEVELS)
     ]
-    lines = lines.select("*", F.array(*at).alias("at"))
-    around = F.filter("at", lambda e: e.isNotNull() & (e["end"] >= F.col("line")))
-    return lines.withColumn("enclosing", F.when(F.size("calls") > 0, around)).drop("at")
+    lines = lines.select("*", F.array(*at).alias("open"))
+    around = F.filter("open", lambda e: e.isNotNull() & (e["end"] >= F.col("at")))
+    return lines.withColumn("enclosing", F.when(F.size("calls") > 0, around)).drop("open")
 
 
 def _signature(r: Rules, text: Column) -> Column:
@@ -543,14 +631,14 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
         .groupBy("blob_id")
         .agg(
             F.sort_array(
-                F.collect_list(F.when(F.col("fn").isNotNull(), F.struct("line", "fn", "end_line")))
+                F.collect_list(F.when(F.col("fn").isNotNull(), F.struct("at", "line", "fn", "end")))
             ).alias("fns"),
             F.sort_array(
-                F.collect_list(F.when(F.size("calls") > 0, F.struct("line", "calls", "enclosing")))
+                F.collect_list(F.when(F.size("calls") > 0, F.struct("at", "line", "calls", "enclosing")))
             ).alias("call_lines"),
             F.sort_array(
                 F.collect_list(
-                    F.when(F.col("import_row"), F.struct("line", "import_head", "import_alone", "in_block"))
+                    F.when(F.col("import_row"), F.struct("line", "at", "import_head", "import_alone", "in_block"))
                 )
             ).alias("import_lines"),
         )
@@ -571,6 +659,13 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
     def start_of(f: Column) -> Column:
         return F.when(f["fn"]["anno_line"] > 0, f["fn"]["anno_line"]).otherwise(f["line"])
 
+    def piece_of(f: Column) -> Column:
+        """A function's lines without what stands before and behind it on them."""
+        text = text_of(start_of(f), f["end"]["line"])
+        front, rear = f["fn"]["front"], f["end"]["rear"]
+        own = F.substr(text, (front + 1).cast("int"), F.greatest(F.length(text) - front - rear, F.lit(0)).cast("int"))
+        return F.when(front + rear > 0, own).otherwise(text)
+
     def import_text(i: Column, n: Column) -> Column:
         end = F.get(F.col("import_lines"), n + 1)["line"]
         last = F.when(i["import_alone"] | i["in_block"], i["line"]).otherwise(F.coalesce(end, i["line"]))
@@ -589,11 +684,11 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
             lambda f: F.struct(
                 f["fn"]["name"].alias("name"),
                 start_of(f).cast("bigint").alias("start_line"),
-                f["line"].cast("bigint").alias("head_line"),
-                f["end_line"].cast("bigint").alias("end_line"),
+                f["at"].alias("head"),
+                f["end"]["line"].cast("bigint").alias("end_line"),
                 f["fn"]["container"].alias("container"),
                 f["fn"]["whole"].alias("whole"),
-                text_of(start_of(f), f["end_line"]).alias("text"),
+                piece_of(f).alias("text"),
             ),
         ).alias("fns"),
         F.filter(F.transform("import_lines", import_text), lambda i: i["begins"]).alias("import_lines"),
@@ -625,7 +720,7 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
                 f["end_line"].alias("end_line"),
                 F.sha2(F.when(empty, text).otherwise(body), 256).alias("body_hash"),
                 f["container"].alias("container"),
-                f["head_line"].alias("head_line"),
+                f["head"].alias("head"),
             )
 
         return F.transform("fns", one)
@@ -639,20 +734,23 @@ def extract_symbols(blobs: DataFrame, languages: list[str] | None = None) -> Dat
         text = F.when(
             php & (member != ""), F.concat(member, F.lit("."), F.regexp_extract(text, r"->\$?(\w+)$", 1))
         ).otherwise(text)
+        turbofish = (F.col("language") == "rust") & F.contains(text, F.lit("::<"))
+        plain = F.when(turbofish, F.regexp_replace(text, TURBOFISH, "")).otherwise(text)
         before = F.when(
             F.col("language") == "cpp", F.regexp_extract(text, r"^(.*)(?:->|\.)[^.>]*$", 1)
         ).otherwise(F.regexp_extract(text, r"^(.*)\.[^.]*$", 1))
         receiver = F.nullif(before, F.lit(""))
-        method = (chained | receiver.isNotNull()) & (F.col("language") != "c")
+        # a call with type arguments is reported by its whole text, without receiver
+        method = (chained | receiver.isNotNull()) & (F.col("language") != "c") & ~(turbofish & text.endswith(">"))
         return F.struct(
             row["line"].cast("bigint").alias("line"),
-            i.cast("bigint").alias("ordinal"),
+            (row["at"] % PIECES * PIECES + i).alias("ordinal"),
             text.alias("callee"),
-            leaf_name(text).alias("leaf"),
+            leaf_name(plain).alias("leaf"),
             method.alias("is_method_call"),
             F.when(method, receiver).alias("receiver"),
             F.coalesce(F.get(row["enclosing"], F.lit(0))["name"], F.lit("")).alias("caller"),
-            F.transform(row["enclosing"], lambda e: e["start"].cast("bigint")).alias("inside"),
+            F.transform(row["enclosing"], lambda e: e["start"]).alias("inside"),
         )
 
     def counted(c: Column) -> Column:  # static calls in PHP are not reported

@@ -15,8 +15,9 @@ from treeshift.operators.call_graph import (
     callers,
     changed_modules,
     head_files,
-    scan_set,
+    scan_scope,
     scanned_calls,
+    scanned_files,
     scoping_mode,
 )
 from treeshift.operators.function_diff import source_blobs
@@ -90,23 +91,19 @@ def function_context(
         )
     ctx = repo_context(tree, ranges)
     modules = cut(changed_modules(changed, ctx))
-    scan = cut(scan_set(files, symbols, modules, ctx))
-    calls = cut(scanned_calls(scan, symbols, changed))
+    scope = scan_scope(files, symbols, modules, ctx)
+    calls = cut(scanned_calls(files, symbols, changed, scope))
     entries = scoping_mode(blast_radius(caller_counts(changed, calls)), modules)
     return Context(
         functions=entries,
         callers=callers(changed, calls),
         callees=callees(changed, files, symbols),
-        totals=context_totals(entries, scan, symbols),
+        totals=context_totals(entries, scanned_files(files, symbols, scope)),
     )
 
 
-def context_totals(entries: DataFrame, scan: DataFrame, symbols: DataFrame) -> DataFrame:
+def context_totals(entries: DataFrame, scanned: DataFrame) -> DataFrame:
     """Functions, scanned files that hold any symbol, and callers, per page."""
-    some = symbols.filter((F.size("functions") > 0) | (F.size("calls") > 0)).select("blob_id")
-    scanned = (
-        scan.join(some, "blob_id", "left_semi").groupBy("range_id", "page").agg(F.count("*").alias("files_scanned"))
-    )
     return (
         entries.groupBy("range_id", "page")
         .agg(F.count("*").alias("functions"), F.sum("caller_count").alias("total_callers"))
