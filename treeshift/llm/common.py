@@ -64,6 +64,26 @@ def join_unique(rows: DataFrame, facts: DataFrame, key: str, weight: str, share:
     return near.unionByName(far)
 
 
+def in_keys(rows: DataFrame, facts: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """The rows whose key is in ``facts``, which has one row for each key and its number of rows.
+
+    As in ``join_unique``, the fewer than ``share`` keys that can be hot become a
+    list, and rows of all others meet by a shuffle.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    limit = total // share
+    hot = [r[key] for r in facts.filter(F.col(weight) > limit).select(key).collect()]
+    near = rows.filter(F.col(key).isin(hot)) if hot else rows.limit(0)
+    far = rows.filter(~F.col(key).isin(hot)) if hot else rows
+    return near.unionByName(far.join(facts.filter(F.col(weight) <= limit).select(key), key, "left_semi"))
+
+
+def spare_name(df: DataFrame, start: str = "__new") -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{start}{k or ''}" for k in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def doc_hash(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

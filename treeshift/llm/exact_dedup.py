@@ -93,15 +93,16 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None) -> Data
     as_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     digests = docs.select("doc_id", text_digest().alias("digest"))
     kept = resolve(staged(digests, "digests"), index).select(
-        F.col("digest").alias("__digest"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("__id")
+        "digest", F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("id")
     )
-    # the id is part of the key, so even a huge group of copies is spread evenly
+    # the row goes as one column, so that names do not clash; the id is part of the
+    # key, so even a huge group of copies is spread evenly
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return (
-        docs.withColumn("__digest", text_digest())
-        .withColumn("__id", as_key)
-        .join(kept, ["__digest", "__id"], "left_semi")
-        .dropDuplicates(["__digest", "__id"])
-        .drop("__digest", "__id")
+        docs.select(text_digest().alias("digest"), as_key.alias("id"), row)
+        .join(kept, ["digest", "id"], "left_semi")
+        .dropDuplicates(["digest", "id"])
+        .select("row.*")
     )
 
 

@@ -10,8 +10,9 @@ probability, and bounds the share of rightly predicted rows that are rejected.
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 is rejected. A text whose words are all shorter than two bytes has no subword
 and gets the bias of the model. Without any labelled row nothing can be learned:
-all rows are ``und``. Rows may repeat and ids may be null; other columns are not
-looked at. An empty table gives an empty result.
+all rows are ``und``; more than ``MAX_LANGUAGES`` labels are an error. Rows may
+repeat and ids may be null; other columns are not looked at, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from treeshift.llm.common import chunks, doc_hash, text_bytes
 
@@ -197,7 +198,6 @@ def _threshold(p: np.ndarray, answers: np.ndarray, floor: float, spared: float)
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` (with text) plus __lang, __score and __accepted."""
-    fields = "__lang string, __score double, __accepted boolean"
     if model is None:
         nothing = {"__lang": F.lit("und"), "__score": F.lit(0.0), "__accepted": F.lit(False)}
         return docs.withColumns(nothing)
@@ -222,7 +222,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     plain = docs.drop("__lang", "__score", "__accepted")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), fields])
+    added = (("__lang", T.StringType()), ("__score", T.DoubleType()), ("__accepted", T.BooleanType()))
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(*f) for f in added)])
     return plain.mapInArrow(classify, schema)
 
 
@@ -249,5 +250,6 @@ def languages(docs: DataFrame, **options) -> DataFrame:
 
 
 def accepted_only(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose language the model rejects."""
-    return predict(docs, learn(docs, **options)).filter("__accepted").select(docs.columns)
+    """``docs`` without the rows whose language the model rejects; all columns stay as they are."""
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return predict(packed, learn(docs, **options)).filter("__accepted").select("row.*")

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from treeshift.llm.common import chunks, join_unique, lists, runs, staged, text_bytes
+from treeshift.llm.common import chunks, in_keys, join_unique, lists, runs, spare_name, staged, text_bytes
 
 SHINGLE = 5
 SKETCH = 64
@@ -53,7 +53,9 @@ DENSE = 0.88
 WIDE = 16
 #: Members of a large node that are looked at to tell whether it is dense.
 SEEN = 64
-#: Below this share of common minwise tokens a pair cannot have similarity 0.85 (four deviations).
+#: Least similarity of a link, in percent, that BRANCHING, TREES and LIKELY are made for.
+LOWEST = 85
+#: Below this share of common minwise tokens a pair cannot have that similarity (four deviations).
 LIKELY = 0.66
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -155,29 +157,34 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, schema)
 
 
-def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of tree nodes (path, node): those of leaves, and with its size those of larger nodes."""
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (path, node, ...) of leaves and of larger tree nodes, and the sizes of these.
+
+    A member that is alone in its tree node is in neither.
+    """
     rows = staged(rows, "tree")
     sizes = staged(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "tree-sizes")
-    held = join_unique(rows, sizes, "path", "size")
-    return held.filter(F.col("size") <= LEAF).drop("size"), held.filter(F.col("size") > LEAF)
+    small, large = sizes.filter(F.col("size") <= LEAF), sizes.filter(F.col("size") > LEAF)
+    return in_keys(rows, small, "path", "size"), in_keys(rows, large, "path", "size"), large
 
 
-def _typical(held: DataFrame) -> DataFrame:
-    """path, size, density and commonest tokens of each large node, from about ``SEEN`` of its members.
+def _typical(held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """path, size, density and commonest tokens of each large node, from at most ``SEEN`` of its members.
 
     This only steers how a node is gone through, not what is compared.
     """
-    seen = held.filter(F.pmod(F.xxhash64("path", "node", F.lit("seen")), F.col("size")) < SEEN)
-    each = seen.select("path", "size", F.posexplode("tokens").alias("at", "token"))
-    votes = each.groupBy("path", "size", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("path", "size", "at").agg(
+    drawn = F.xxhash64("path", "node", F.lit("seen"))
+    seen = held.groupBy("path", F.pmod(drawn, F.lit(SEEN)).alias("slot")).agg(F.min_by("tokens", drawn).alias("tokens"))
+    each = seen.select("path", F.posexplode("tokens").alias("at", "token"))
+    votes = each.groupBy("path", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("path", "at").agg(
         F.max_by("token", F.struct("votes", "token")).alias("token"), (F.max("votes") / F.sum("votes")).alias("share")
     )
-    return best.groupBy("path", "size").agg(
+    facts = best.groupBy("path").agg(
         F.avg("share").alias("density"),
         F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("common"),
     )
+    return facts.join(sizes, "path")
 
 
 def leaves(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -185,19 +192,18 @@ def leaves(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     tokens = nodes.select("node", "tokens")
     roots = nodes.select("node", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
     # a bit for each of the tokens that a path has used
-    small, large = _dealt(roots.select(F.xxhash64("tree", "token").alias("path"), "node", F.lit(0).cast("long").alias("used")))
+    first = roots.select(F.xxhash64("tree", "token").alias("path"), "node", F.lit(0).cast("long").alias("used"))
+    small, large, sizes = _dealt(first)
     found, dense, level = [small.select("path", "node")], [], 0
-    while True:
+    while not sizes.isEmpty():
         held = staged(large.join(tokens, "node"), "tree-large")
-        if held.isEmpty():
-            break
-        facts = staged(_typical(held), "tree-typical")
+        facts = staged(_typical(held, sizes), "tree-typical")
         apart = F.col("density") > DENSE
         if level >= DEPTH:
             apart |= F.col("size") <= WIDE * LEAF
         if level >= SKETCH - TREES:
             apart = F.lit(True)
-        marked = join_unique(held.drop("size"), facts.withColumn("apart", apart), "path", "size")
+        marked = join_unique(held, facts.withColumn("apart", apart), "path", "size")
         agrees = F.aggregate(F.zip_with("tokens", "common", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
         dense.append(staged(marked.filter("apart").select("path", "node", agrees.alias("agrees")), "tree-dense"))
         second = F.pmod(F.xxhash64("path", F.lit("second"), F.lit(level)), F.lit(1000)) < 1000 * (BRANCHING - 1)
@@ -215,7 +221,7 @@ def leaves(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
                 F.expr(f"used | shiftleft(1L, choice - {TREES})").alias("used"),
             )
         )
-        small, large = _dealt(branches)
+        small, large, sizes = _dealt(branches)
         found.append(small.select("path", "node"))
         level += 1
     union = functools.partial(functools.reduce, DataFrame.unionByName)
@@ -420,8 +426,14 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept."""
+def near_groups(docs: DataFrame, percent: int = LOWEST) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept.
+
+    ``percent`` is the similarity of a link, ``LOWEST`` at least: the trees and the
+    bound on common minwise tokens are made for it and find every higher one.
+    """
+    if percent < LOWEST:
+        raise ValueError(f"links below {LOWEST} % would be lost")
     signed = staged(signatures(docs), "signatures")
     nodes = staged(
         signed.filter("node IS NOT NULL")
@@ -461,7 +473,8 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = LOWEST) -> DataFrame:
     """``docs`` without the rows that are near copies of a row with a smaller id."""
-    gone = near_groups(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = spare_name(docs)
+    gone = near_groups(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name))
+    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col(name), "left_anti")
