@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from treeshift import fixtures as fx
-from treeshift.catalog.files import DIFF, DOC_DIFF, LANG, DUCK_LINES, doc_changes, log_ranges
+from treeshift.catalog.files import DIFF, DOC_DIFF, LANG, DUCK_LINES, MOVED, doc_changes, log_ranges
 from treeshift.catalog.registry import greedy_sql, joined, one_range, query, recursive, sql, written
 from treeshift.functions import paths as P
 from treeshift.operators import dependencies as D, paging as G
@@ -224,7 +224,7 @@ SUMMARY = """SELECT count(*) AS total_files_changed, count(*) FILTER (WHERE chan
 )
 def manifest_summary(spark, sf):
     tree, changes = doc_changes(spark, sf)
-    summary = M.manifest_summary(with_line_churn(changes, tree, exact=False))
+    summary = M.manifest_summary(with_line_churn(changes, tree))
     return summary.drop("range_id").withColumn("languages_affected", joined("languages_affected"))
 
 
@@ -270,7 +270,7 @@ def functions_per_language(spark, sf):
 
 
 @query(
-    "change_manifest",
+    "change_manifest_documents",
     sql(
         ["doc_tree"],
         DOC_DIFF + CHURN + f"""SELECT c.path, c.change_type, {LANG.replace('path', 'c.path')} AS language, added AS lines_added, removed AS lines_removed,
@@ -278,7 +278,7 @@ def functions_per_language(spark, sf):
         c.path NOT SIMILAR TO '.*\\.(py|rs|go|ts)' AS not_analysed FROM c JOIN d ON c.path = d.path""",
     ),
 )
-def change_manifest(spark, sf):
+def change_manifest_documents(spark, sf):
     tree = fx.view(spark, sf, "doc_tree")
     manifest = M.change_manifest(tree, one_range(spark, "r0"), detect_renames=False)
     return manifest.files.select(
@@ -298,7 +298,7 @@ def change_manifest(spark, sf):
 )
 def worktree_manifest(spark, sf):
     manifest = M.worktree_manifest(
-        fx.view(spark, sf, "work_tree"), one_range(spark, "r3", "HEAD", "WORKTREE"), analyse=False
+        fx.view(spark, sf, "work_tree"), one_range(spark, "r3", "HEAD", "WORKTREE"), detect_renames=False
     )
     staged = manifest.files.filter("change_scope = 'staged'").groupBy("range_id").agg(F.count("*").alias("staged"))
     return manifest.summary.join(staged, "range_id").select(
@@ -316,11 +316,10 @@ HISTORY = f"""WITH c AS (SELECT o_orderkey AS seq, o_orderkey // {fx.HISTORY_BLO
 """
 
 
-def history(spark, sf) -> H.History:
+def history(spark, sf, **options) -> H.History:
     log = fx.view(spark, sf, "history_log")
-    return H.commit_history(
-        fx.view(spark, sf, "history_tree"), log, log_ranges(log), analyse=False, detect_renames=False
-    )
+    options = {"analyse": False, "detect_renames": False} | options
+    return H.commit_history(fx.view(spark, sf, "history_tree"), log, log_ranges(log), **options)
 
 
 @query(
@@ -337,12 +336,18 @@ def commit_history(spark, sf):
     )
 
 
+# the functions of files 0 and 1 change with their file
 @query(
     "files_per_history",
-    HISTORY + "SELECT range_id, count(*) FILTER (WHERE hit) AS files FROM f GROUP BY range_id",
+    HISTORY + """SELECT range_id, count(*) FILTER (WHERE hit) AS files, count(*) FILTER (WHERE hit AND j < 2) AS functions
+      FROM f GROUP BY range_id""",
 )
 def files_per_history(spark, sf):
-    return H.files_per_history(history(spark, sf))
+    found = history(spark, sf, analyse=True, detect_renames=True)
+    of_range = F.substring_index("range_id", "@", 1).alias("range_id")
+    functions = found.manifest.function_changes.groupBy(of_range).agg(F.count("*").alias("functions"))
+    zero = F.lit(0).cast("bigint")
+    return H.files_per_history(found).join(functions, "range_id", "left").withColumn("functions", F.coalesce("functions", zero))
 
 
 @query(
@@ -515,6 +520,38 @@ def file_costs(budget: str, added: str = "CAST(NULL AS BIGINT)", removed: str =
       {some} AS all_2, {some} AS one, {cost("NULL", "NULL")} AS two, path, functions FROM files"""
 
 
+# moved files, a crate and its dependencies in one tree: files, functions and dependencies
+@query(
+    "change_manifest",
+    sql(["code_tree", "code_truth", "dep_truth"], CODE_FILES + f"""SELECT 'file' AS kind, path, old_path AS name, change_type, lines_added AS n, lines_removed AS m FROM ({MOVED}) x
+      UNION ALL SELECT 'file', path, NULL, change_type, added, removed FROM files
+      UNION ALL SELECT 'file', {fx.DEP_DIR} || '/Cargo.toml', NULL,
+        CASE WHEN count(*) FILTER (WHERE p_partkey % 10 <> 0) = 0 THEN 'deleted' WHEN count(*) FILTER (WHERE p_partkey % 10 <> 1) = 0 THEN 'added' ELSE 'modified' END,
+        CASE WHEN count(*) FILTER (WHERE p_partkey % 10 <> 0) = 0 THEN 0 ELSE count(*) FILTER (WHERE p_partkey % 10 IN (1, 2)) END,
+        CASE WHEN count(*) FILTER (WHERE p_partkey % 10 <> 0) = 0 THEN 3 + count(*) ELSE count(*) FILTER (WHERE p_partkey % 10 IN (0, 2)) END
+        FROM part GROUP BY {fx.DEP_DIR}
+      UNION ALL SELECT 'function', path, name, change_type, NULL, NULL FROM code_truth
+      UNION ALL SELECT 'dependency', path, name, kind, NULL, NULL FROM dep_truth WHERE path LIKE '%Cargo.toml'"""),
+)
+def change_manifest(spark, sf):
+    one = F.lit("r6")
+    trees = [fx.view(spark, sf, view).withColumn("repo", one) for view in ("moved_tree", "code_tree", "cargo_tree")]
+    tree = trees[0].unionByName(trees[1]).unionByName(trees[2])
+    manifest = M.change_manifest(tree, one_range(spark, "r6"))
+    none = F.lit(None).cast("bigint")
+    files = manifest.files.select(
+        F.lit("file").alias("kind"), "path", F.col("old_path").alias("name"), "change_type",
+        F.col("lines_added").alias("n"), F.col("lines_removed").alias("m"),
+    )
+    functions = manifest.function_changes.select(
+        F.lit("function").alias("kind"), "path", "name", "change_type", none.alias("n"), none.alias("m")
+    )
+    dependencies = manifest.dependency_changes.select(
+        F.lit("dependency").alias("kind"), "path", "name", F.col("kind").alias("change_type"), none.alias("n"), none.alias("m")
+    )
+    return files.unionByName(functions).unionByName(dependencies)
+
+
 FILE_TIER = "CASE tier WHEN 1 THEN 'full' WHEN 4 THEN 'bare' ELSE 'functions' END"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeshift import fixtures as fx
@@ -10,7 +12,8 @@ from treeshift.functions import labels as L, paths as P, text as T
 from treeshift.functions.languages import language_table
 from treeshift.operators.file_diff import diff_trees, diff_worktree
 from treeshift.operators.line_churn import with_line_churn
-from treeshift.operators.renames import exact_renames, file_renames
+from treeshift.operators.renames import exact_renames, file_copies, file_renames, scoped_renames
+from treeshift.session import ensure_checkpoint_dir
 from treeshift.sources import commits as C, repo_context as R, trees
 
 NL = "chr(10)"
@@ -57,9 +60,22 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources ------------------------------------------------------------------
 
 
-@query("scan_tree", sql(["doc_tree"], "SELECT path FROM doc_tree WHERE ref = 'head'"))
+@query(
+    "scan_tree",
+    """SELECT 'f' || CAST(p_partkey AS VARCHAR) AS folder, sha256(p_name || chr(10)) AS blob_id,
+      strlen(p_name) + 1 AS size FROM part""",
+)
 def scan_tree(spark, sf):
-    return trees.list_files(fx.view(spark, sf, "doc_tree"), "r0", "head")
+    """A directory of files that is written first: the part names, one to a file."""
+    folder = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}"
+    parts = fx.table(spark, sf, "part")
+    parts.select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("at"), "p_name").write.partitionBy(
+        "at"
+    ).text(folder)
+    found = trees.scan_tree(spark, folder, "r", "head").filter("path LIKE '%.txt'")
+    return found.select(
+        F.regexp_extract("path", "^at=([^/]*)/", 1).alias("folder"), "blob_id", F.octet_length("content").cast("bigint").alias("size")
+    )
 
 
 @query(
@@ -295,13 +311,61 @@ def file_renames_exact(spark, sf):
     return exact_renames(doc_changes(spark, sf)[1]).select("old_path", "path")
 
 
-@query("file_renames")
+# files of the moved tree: unchanged content, one line of ten, most lines, edited in place
+MOVED = """SELECT 'src/q_' || p_partkey || '.txt' AS path, CASE WHEN p_partkey % 5 < 2 THEN 'lib/p_' || p_partkey || '.txt' END AS old_path,
+    CASE WHEN p_partkey % 5 < 2 THEN 'renamed' ELSE 'added' END AS change_type,
+    CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 10 END AS lines_added,
+    CASE p_partkey % 5 WHEN 1 THEN 1 ELSE 0 END AS lines_removed FROM part WHERE p_partkey % 5 < 3
+  UNION ALL SELECT 'lib/p_' || p_partkey || '.txt', NULL, CASE p_partkey % 5 WHEN 2 THEN 'deleted' ELSE 'modified' END,
+    CASE p_partkey % 5 WHEN 2 THEN 0 ELSE 1 END, CASE p_partkey % 5 WHEN 2 THEN 10 ELSE 1 END FROM part WHERE p_partkey % 5 IN (2, 3)"""
+
+
+@query("file_renames", MOVED)
 def q_file_renames(spark, sf):
+    tree = fx.view(spark, sf, "moved_tree")
+    changes = diff_trees(tree, one_range(spark, "r4"))
+    found = with_line_churn(file_renames(changes, tree), tree)
+    return found.select("path", "old_path", "change_type", "lines_added", "lines_removed")
+
+
+@query("file_renames_documents")
+def file_renames_documents(spark, sf):
     tree, changes = doc_changes(spark, sf)
     found = with_line_churn(file_renames(changes, tree), tree)
     return found.select("path", "old_path", "change_type", "lines_added", "lines_removed")
 
 
+# the same files staged: base is HEAD, the head's files are in the index
+@query(
+    "staged_renames",
+    f"SELECT path, old_path, change_type, lines_added, lines_removed, 'staged' AS change_scope FROM ({MOVED}) m",
+)
+def staged_renames(spark, sf):
+    ref = F.when(F.col("ref") == "base", "HEAD").otherwise("INDEX")
+    tree = fx.view(spark, sf, "moved_tree").withColumn("ref", ref)
+    tree = tree.unionByName(tree.filter("ref = 'INDEX'").withColumn("ref", F.lit("WORKTREE")))
+    changes = diff_worktree(tree, one_range(spark, "r4", "HEAD", "WORKTREE"))
+    found = with_line_churn(scoped_renames(changes, tree), tree)
+    return found.select("path", "old_path", "change_type", "lines_added", "lines_removed", "change_scope")
+
+
+# an added copy of every third file that stays, one of it edited
+@query(
+    "file_copies",
+    """SELECT 'copy/c_' || p_partkey || '.txt' AS path, 'lib/p_' || p_partkey || '.txt' AS old_path, 'copied' AS change_type,
+      0 AS lines_added, 0 AS lines_removed FROM part WHERE p_partkey % 5 = 4 AND p_partkey % 3 = 0
+    UNION ALL SELECT 'copy/c_' || p_partkey || '.txt', 'lib/p_' || p_partkey || '.txt', 'copied', 1, 1 FROM part
+      WHERE p_partkey % 5 = 3 AND p_partkey % 3 = 0""",
+)
+def q_file_copies(spark, sf):
+    tree = fx.view(spark, sf, "moved_tree")
+    copies = tree.filter("ref = 'head' AND path LIKE 'lib/%'").withColumn("key", F.regexp_extract("path", "([0-9]+)", 1).cast("long"))
+    copies = copies.filter("key % 3 = 0").withColumn("path", F.concat(F.lit("copy/c_"), F.col("key"), F.lit(".txt"))).drop("key")
+    tree, ranges = tree.unionByName(copies), one_range(spark, "r4")
+    found = with_line_churn(file_copies(file_renames(diff_trees(tree, ranges), tree), tree, ranges), tree)
+    return found.filter("change_type = 'copied'").select("path", "old_path", "change_type", "lines_added", "lines_removed")
+
+
 def _worktree(spark, sf):
     return diff_worktree(
         fx.view(spark, sf, "work_tree"), one_range(spark, "r3", "HEAD", "WORKTREE")

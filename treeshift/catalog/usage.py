@@ -126,9 +126,9 @@ def redact_requests(spark, sf):
 
 @query(
     "response_truncated",
-    sql(["requests"], """SELECT event_id AS range_id, event_id % 4 = 0 OR event_id % 6 = 1 OR event_id % 9 = 0 AS truncated,
-      concat_ws('|', CASE WHEN event_id % 4 = 0 OR event_id % 9 = 0 THEN 'paginated' END,
-        CASE WHEN event_id % 6 = 1 THEN 'token_budget' END) AS reasons FROM requests"""),
+    sql(["requests"], """SELECT event_id AS range_id, event_id % 4 = 0 OR event_id % 6 = 1 OR event_id % 9 = 0
+      OR event_id % 5 = 2 AS truncated, concat_ws('|', CASE WHEN event_id % 4 = 0 OR event_id % 9 = 0 THEN 'paginated' END,
+        CASE WHEN event_id % 6 = 1 THEN 'token_budget' END, CASE WHEN event_id % 5 = 2 THEN 'max_file_size' END) AS reasons FROM requests"""),
 )
 def response_truncated(spark, sf):
     requests = fx.view(spark, sf, "requests")
@@ -137,17 +137,16 @@ def response_truncated(spark, sf):
         key, (F.col("event_id") % 4 == 0).alias("has_next"), (F.col("event_id") % 6 == 1).alias("trimmed")
     )
     contexts = requests.select(key, F.col("has_cursor").alias("has_next"), F.lit(False).alias("trimmed"))
-    found = T.response_truncated(manifests, contexts)
+    snapshots = requests.select(key, (F.col("event_id") % 5 == 2).alias("truncated"))
+    found = T.response_truncated(manifests, contexts, snapshots)
     return found.withColumn("reasons", joined("reasons"))
 
 
 @query(
     "telemetry_stream",
-    # windows that have closed when the watermark is ten minutes behind the last request
     sql(["requests"], f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, tool, status,
       {_buckets(T.DURATION_BUCKETS, 'duration_ms')} AS le, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes
-      FROM requests WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <=
-        (SELECT max(ts) - INTERVAL 10 MINUTE FROM requests) GROUP BY ALL"""),
+      FROM requests GROUP BY ALL"""),
 )
 def telemetry_stream(spark, sf):
     schema = fx.table(spark, sf, "events").schema
@@ -156,9 +155,9 @@ def telemetry_stream(spark, sf):
     requests = spark.sql(fx.VIEWS["requests"](fx.spark_dialect()).replace("@events@", "treeshift_event_stream"))
     requests = requests.withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs an instant
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = S.write_metrics(S.request_rates(requests), f"{folder}/out", f"{folder}/state", available_now=True)
+    stream = S.upsert_metrics(S.request_rates(requests), f"{folder}/out", f"{folder}/state", available_now=True)
     stream.awaitTermination()
-    return text_time(spark.read.parquet(f"{folder}/out"), "window_start")
+    return text_time(S.latest_metrics(spark, f"{folder}/out"), "window_start")
 
 
 # --- command audit ----------------------------------------------------------------------

@@ -111,6 +111,21 @@ def _graph_tree(d) -> str:
     return f"SELECT * FROM ({_code_tree(d)}) c UNION ALL SELECT * FROM ({_call_tree(d)}) t"
 
 
+# one file of ten lines to a part. By p_partkey % 5: 0 moved, 1 moved with one line
+# changed, 2 moved with seven changed, 3 one changed in place, 4 as it was
+def _moved_tree(d) -> str:
+    def text(changed: int) -> str:
+        return " || ".join(f"'{'new ' if i < changed else ''}{c} ' || k || chr(10)" for i, c in enumerate("abcdefghij"))
+
+    return f"""
+SELECT 'r4' AS repo, 'base' AS ref, 'lib/p_' || k || '.txt' AS path, {text(0)} AS content
+FROM (SELECT CAST(p_partkey AS STRING) AS k FROM @part@) b
+UNION ALL
+SELECT 'r4' AS repo, 'head' AS ref, CASE WHEN p_partkey % 5 < 3 THEN 'src/q_' ELSE 'lib/p_' END || k || '.txt' AS path,
+       CASE p_partkey % 5 WHEN 2 THEN {text(7)} WHEN 0 THEN {text(0)} WHEN 4 THEN {text(0)} ELSE {text(1)} END AS content
+FROM (SELECT p_partkey, CAST(p_partkey AS STRING) AS k FROM @part@) h"""
+
+
 # eight linear histories, one per repository
 def _commit_log(d) -> str:
     return f"""
@@ -306,6 +321,7 @@ VIEWS = {
     "doc_tree": _doc_tree,
     "code_tree": _code_tree,
     "code_truth": _code_truth,
+    "moved_tree": _moved_tree,
     "call_rows": _call_rows,
     "call_tree": _call_tree,
     "graph_tree": _graph_tree,

@@ -91,8 +91,9 @@ def is_generated_path(path: Column) -> Column:
     )
 
 
-def is_generated_content(content: Column) -> Column:
-    head = F.lower(F.substring(F.encode(content, "UTF-8"), 1, 1024).cast("string"))
+def is_generated_content(content: Column, head_bytes: int = 1024) -> Column:
+    """Does a marker of generated code stand in the first bytes?"""
+    head = F.lower(F.substring(F.encode(content, "UTF-8"), 1, head_bytes).cast("string"))
     return F.coalesce(head.rlike(_any_of(GENERATED_MARKERS)), F.lit(False))
 
 

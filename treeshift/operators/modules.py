@@ -60,6 +60,35 @@ def _prefixes(name: Column, glue: str) -> Column:
     )
 
 
+def _opened(tree: Column) -> Column:
+    """The paths that a use tree such as ``a::{b, c::{d, e}}`` stands for, braces in braces included."""
+    text = "array<string>"
+    start = F.struct(
+        F.array(F.lit("")).alias("fronts"), F.lit("").alias("part"), F.array().cast(text).alias("paths")
+    )
+
+    def path(s: Column) -> Column:
+        whole = F.array(F.concat(F.element_at(s["fronts"], -1), s["part"]))
+        return F.when(s["part"] != "", F.concat(s["paths"], whole)).otherwise(s["paths"])
+
+    def state(fronts: Column, part: Column, paths: Column) -> Column:
+        return F.struct(fronts.alias("fronts"), part.alias("part"), paths.alias("paths"))
+
+    def step(s: Column, token: Column) -> Column:
+        fronts, none = s["fronts"], F.lit("")
+        deeper = F.concat(fronts, F.array(F.concat(F.element_at(fronts, -1), s["part"])))
+        outer = F.when(F.size(fronts) > 1, F.slice(fronts, F.lit(1), F.size(fronts) - 1)).otherwise(fronts)
+        return (
+            F.when(token == "{", state(deeper, none, s["paths"]))
+            .when(token == "}", state(outer, none, path(s)))
+            .when(token == ",", state(fronts, none, path(s)))
+            .otherwise(state(fronts, strip(token), s["paths"]))
+        )
+
+    tokens = F.regexp_extract_all(tree, F.lit(r"[{},]|[^{},]+"), F.lit(0))
+    return F.aggregate(tokens, start, step, path)
+
+
 def _targets_rust(text: Column, path: Column, crate: Column) -> Column:
     raw = strip(F.regexp_replace(F.regexp_replace(strip(text), "^(?:pub )?use ", ""), ";+$", ""))
     own = module_rust(path)
@@ -72,12 +101,7 @@ def _targets_rust(text: Column, path: Column, crate: Column) -> Column:
         .when(raw.startswith("super::") & (parent != ""), F.concat(parent, F.lit("::"), F.substr(raw, F.lit(8))))
         .when(raw.startswith("self::"), F.concat(own, F.lit("::"), F.substr(raw, F.lit(7))))
     )
-    # one level of `{a, b::c}` is opened up
-    head = F.regexp_extract(absolute, r"^([^{}]*)\{([^{}]*)\}$", 1)
-    items = F.split(F.regexp_extract(absolute, r"^([^{}]*)\{([^{}]*)\}$", 2), r"\s*,\s*")
-    opened = F.when(
-        head != "", F.transform(F.filter(items, lambda i: strip(i) != ""), lambda i: F.concat(head, strip(i)))
-    ).otherwise(F.array(absolute))
+    opened = F.when(absolute.contains("{"), _opened(absolute)).otherwise(F.array(absolute))
     named = F.transform(opened, lambda p: F.regexp_replace(p, r"\s+as\s+\w+$", ""))
     return F.array_distinct(F.flatten(F.transform(named, lambda p: _prefixes(p, "::"))))
 

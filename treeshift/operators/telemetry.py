@@ -67,16 +67,26 @@ def truncated_counts(requests: DataFrame) -> DataFrame:
     )
 
 
-def response_truncated(manifest_pages: DataFrame, context_pages: DataFrame) -> DataFrame:
-    """``(range_id, truncated, reasons)`` from both halves of a review.
+def response_truncated(
+    manifest_pages: DataFrame, context_pages: DataFrame, snapshot_files: DataFrame | None = None
+) -> DataFrame:
+    """``(range_id, truncated, reasons)`` from both halves of a review, and from snapshots.
 
-    Each side is ``(range_id, has_next, trimmed)``: is there a further page, and
-    was a list or an analysis trimmed.
+    Each half is ``(range_id, has_next, trimmed)``: is there a further page, and
+    was a list or an analysis trimmed. ``snapshot_files`` is ``(range_id, truncated)``,
+    a row per file whose content may have been cut at the largest size.
     """
-    both = manifest_pages.unionByName(context_pages)
-    more, trimmed = F.bool_or("has_next"), F.bool_or("trimmed")
-    reasons = F.array_compact(F.array(F.when(more, "paginated"), F.when(trimmed, "token_budget")))
-    return both.groupBy("range_id").agg((more | trimmed).alias("truncated"), reasons.alias("reasons"))
+    both = manifest_pages.unionByName(context_pages).withColumn("cut", F.lit(False))
+    if snapshot_files is not None:
+        none = F.lit(False)
+        both = both.unionByName(
+            snapshot_files.select("range_id", none.alias("has_next"), none.alias("trimmed"), F.col("truncated").alias("cut"))
+        )
+    more, trimmed, shortened = F.bool_or("has_next"), F.bool_or("trimmed"), F.bool_or("cut")
+    reasons = F.array_compact(
+        F.array(F.when(more, "paginated"), F.when(trimmed, "token_budget"), F.when(shortened, "max_file_size"))
+    )
+    return both.groupBy("range_id").agg((more | trimmed | shortened).alias("truncated"), reasons.alias("reasons"))
 
 
 def files_touched(functions: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from treeshift.operators.file_diff import diff_trees, diff_worktree
 from treeshift.operators.function_diff import changed_symbols, function_changes, import_diff
 from treeshift.operators.line_churn import with_line_churn
 from treeshift.operators.paging import FILE_ENTRY, MAX_PAGE, clamp_page_size, manifest_budget, page_files
-from treeshift.operators.renames import SIMILARITY, file_renames
+from treeshift.operators.renames import SIMILARITY, file_copies, file_renames, scoped_renames
 from treeshift.session import cut
 
 FUNCTION_CHANGE = ["name", "old_name", "change_type", "start_line", "end_line", "signature"]
@@ -131,6 +131,7 @@ def change_manifest(
     detect_renames: bool = True,
     exact_churn: bool = True,
     page_size: int = MAX_PAGE,
+    detect_copies: bool = False,
 ) -> Manifest:
     """Everything that changed in every range.
 
@@ -140,6 +141,8 @@ def change_manifest(
     changes = diff_trees(tree, ranges, include, exclude)
     if detect_renames:
         changes = file_renames(changes, tree, renames)
+    if detect_copies:
+        changes = file_copies(changes, tree, ranges, renames)
     return _manifest(tree, with_line_churn(changes, tree, exact_churn), analyse, page_size)
 
 
@@ -150,9 +153,13 @@ def worktree_manifest(
     exclude: list[str] | None = None,
     analyse: bool = True,
     page_size: int = MAX_PAGE,
+    renames: float | None = SIMILARITY,
+    detect_renames: bool = True,
 ) -> Manifest:
-    """Staged and unstaged changes against each range's base."""
+    """Staged and unstaged changes against each range's base, with renames among the staged ones."""
     changes = diff_worktree(tree, ranges, include, exclude)
+    if detect_renames:
+        changes = scoped_renames(changes, tree, renames)
     return _manifest(tree, with_line_churn(changes, tree), analyse, page_size)
 
 

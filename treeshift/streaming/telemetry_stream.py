@@ -67,3 +67,33 @@ def write_metrics(metrics: DataFrame, folder: str, checkpoint: str, available_no
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def upsert_metrics(
+    metrics: DataFrame, folder: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Keep the windows of ``metrics`` up to date, open ones included.
+
+    Every micro-batch writes the rows that it changed to a folder of its own, named
+    by its number, so a batch that is run again after a failure replaces itself.
+    ``latest_metrics`` reads the result.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch:012d}")
+
+    writer = metrics.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest_metrics(spark: SparkSession, folder: str, values: tuple[str, ...] = ("n", "bytes")) -> DataFrame:
+    """The newest row of each window and label that ``upsert_metrics`` has written."""
+    written = spark.read.option("basePath", folder).parquet(folder)
+    keys = [c for c in written.columns if c not in (*values, "batch")]
+    newest = F.max_by(F.struct(*values), "batch").alias("newest")
+    return written.groupBy(*keys).agg(newest).select(*keys, "newest.*")
+
+
+def compact_metrics(spark: SparkSession, folder: str, target: str, values: tuple[str, ...] = ("n", "bytes")) -> None:
+    """One file set for all batches so far; run it while no stream writes to ``folder``."""
+    latest_metrics(spark, folder, values).write.mode("overwrite").parquet(f"{target}/batch={0:012d}")
