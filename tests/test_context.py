@@ -7,6 +7,8 @@ from treeshift.operators import call_graph as K, paging as G
 from treeshift.operators.file_diff import diff_trees
 from treeshift.operators.function_diff import changed_symbols, function_changes
 from treeshift.operators.greedy_pages import greedy_pages
+from treeshift.operators.modules import import_targets
+from treeshift.operators.symbols import extract_symbols
 from treeshift.plans.context import budgeted_context, function_context
 from treeshift.plans.manifest import budgeted_files, change_manifest
 from treeshift.plans.review import review_change, shares
@@ -247,3 +249,69 @@ def test_review_halves(make_tree, one_range):
     assert [r.name for r in review.functions.collect()] == ["a"]
     whole = review_change(tree, one_range, 0, detect_renames=False)
     assert whole.functions.count() == 1
+
+
+def test_nested_use_trees(spark):
+    text = "pub use crate::{a::{b, c as d, self}, e, f::{g::{h, i::*}},\n    j::k};"
+    imports = spark.createDataFrame(
+        [("x", "src/lib.rs", text, None, None), ("y", "src/lib.rs", "use crate::{a::{b", None, None)],
+        "range_id string, path string, import_text string, rust_crate_name string, go_module string",
+    )
+    targets = {}
+    for r in import_targets(imports).collect():
+        targets.setdefault(r.range_id, set()).add(r.target)
+    assert {"crate::a::b", "crate::a::c", "crate::e", "crate::f::g::h", "crate::f::g::i", "crate::j::k"} <= targets["x"]
+    assert "crate::a::h" not in targets["x"] and "crate::g" not in targets["x"]
+
+
+def scoped_by_hand(files, modules, importers, page):
+    """Files that a page of changed modules scans, by definition."""
+    own = [m for m in modules if m[1] == page]
+    if any(not supports for _, _, _, supports in own):
+        return {p for p in files}
+    names = {p.removeprefix("src/").removesuffix(".rs") for _, _, p, _ in own}
+    return {p for p in files if not p.endswith((".rs", ".go"))} | {p for _, _, p, _ in own} | {
+        p for p, uses in importers.items() if names & uses
+    }
+
+
+def test_scope_of_many_pages(spark):
+    """Calls of every page from the files that the page scans, and from no others."""
+    rng = random.Random(6)
+    files = [f"src/m{i}.rs" for i in range(12)] + [f"t{i}.rb" for i in range(3)]
+    importers = {f"src/m{i}.rs": {f"m{rng.randrange(12)}" for _ in range(2)} for i in range(12)}
+    blobs = [
+        (path, "rust" if path.endswith(".rs") else "ruby",
+         "".join(f"use crate::{u}::x;\n" for u in sorted(importers.get(path, ()))) + "fn w() {\n    make();\n    other();\n}\n"
+         if path.endswith(".rs") else "def w\n  make(1)\nend\n")
+        for path in files
+    ]
+    symbols = extract_symbols(spark.createDataFrame(blobs, "blob_id string, language string, content string"))
+    tree = spark.createDataFrame([("x", p, p) for p in files], "range_id string, path string, blob_id string")
+    functions = [("x", page, f"T{k}::make", f"src/m{rng.randrange(12)}.rs") for page in range(6) for k in range(3)]
+    functions += [("x", 6, "make", "t0.rb"), ("x", 7, "nothing", "src/m0.rs")]
+    changed = spark.createDataFrame(functions, "range_id string, page long, name string, file string")
+    context = spark.createDataFrame([("x", None, None)], "range_id string, rust_crate_name string, go_module string")
+    modules = K.changed_modules(changed, context)
+    rows = [(r.range_id, r.page, r.path, r.supports) for r in modules.collect()]
+    scope = K.scan_scope(tree, symbols, modules, context)
+    want = {page: scoped_by_hand(files, rows, importers, page) for page in range(8)}
+    found = {}
+    for r in K.scanned_calls(tree, symbols, changed, scope).collect():
+        found.setdefault(r.page, []).append(r.file)
+    assert {p: sorted(f) for p, f in found.items()} == {p: sorted(want[p]) for p in range(7)}
+    counts = {r.page: r.files_scanned for r in K.scanned_files(tree, symbols, scope).collect()}
+    assert counts == {p: len(f) for p, f in want.items()}
+    assert {r.path for r in K.scan_set(tree, scope).collect()} == set().union(*want.values())
+
+
+def test_hot_leaf_names_are_dealt_out(spark):
+    calls = spark.range(20_000).select(
+        F.lit("x").alias("range_id"), F.when(F.col("id") % 4 < 3, "new").otherwise(F.concat(F.lit("f"), F.col("id") % 50)).alias("leaf"),
+        F.col("id").alias("line"),
+    )
+    facts = spark.createDataFrame([("x", n, i) for i, n in enumerate(["new", "new", "f3", "f7", "gone"])], "range_id string, leaf string, fact int")
+    joined = K.salted_join(calls, facts, ["range_id", "leaf"], ["line"], share=100)
+    assert joined.columns == ["range_id", "leaf", "line", "fact"]
+    plain = calls.join(facts, ["range_id", "leaf"])
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()

@@ -1,15 +1,19 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from treeshift.functions import paths as P
 from treeshift.operators.file_diff import diff_trees, diff_worktree
 from treeshift.operators.line_churn import _common_lines, with_line_churn
 from treeshift.operators.numbering import number_rows
-from treeshift.operators.renames import best_matches, file_renames, similar_pairs
+from treeshift.operators.renames import best_matches, file_copies, file_renames, similar_pairs
+from treeshift.plans.manifest import worktree_manifest
+from treeshift.plans.refresh import facts_of, refresh_ranges
 from treeshift.sources.commits import first_parent_walk
 from treeshift.functions.text import file_content
+from treeshift.sources.stores import ContentStore, SymbolStore
 from treeshift.sources.trees import blobs, read_file_at_ref, scan_tree, write_tree
 
 
@@ -228,3 +232,130 @@ def test_content_is_whole_unless_a_cut_is_asked_for(spark):
     whole, cut = text.select(file_content(F.col("t")), file_content(F.col("t"), 101)).first()
     assert (len(whole.content), whole.truncated) == (200_000, False)
     assert (len(cut.content), cut.truncated, cut.size_bytes) == (50, True, 400_000)
+
+
+def test_walk_from_an_unknown_head_or_to_itself(spark):
+    commits = spark.createDataFrame([("r", "b", "a"), ("r", "c", "b")], "repo string, sha string, parent_sha string")
+    ranges = [(1, "r", "a", "c"), (2, "r", "zz", "c"), (3, "r", "a", "zz"), (4, "r", "c", "c"), (5, "r", "b", "c"), (6, "s", "a", "c")]
+    df = spark.createDataFrame(ranges, "range_id long, repo string, base_sha string, head_sha string")
+    got = sorted(tuple(map(str, r)) for r in first_parent_walk(commits, df).select("range_id", "seq", "sha", "error").collect())
+    lost = "base_not_an_ancestor"  # a base that is only named as a parent is found
+    assert got == [
+        ("1", "0", "b", "None"), ("1", "1", "c", "None"), ("2", "None", "None", lost), ("3", "None", "None", lost),
+        ("5", "0", "c", "None"), ("6", "None", "None", lost),
+    ]
+
+
+def test_copies_of_equal_and_similar_files(make_tree, one_range):
+    body = "".join(f"line {i}\n" for i in range(20))
+    other = "".join(f"other {i}\n" for i in range(20))
+    base = {"a.txt": body, "z/a.txt": body, "m.txt": other, "still.txt": "".join(f"s {i}\n" for i in range(20)), "n": ""}
+    head = base | {
+        "copy.txt": body, "m.txt": other + "more\n", "like.txt": other.replace("other 3", "changed"), "empty": "",
+        "unlike.txt": "".join(f"s {i}\n" for i in range(19)), "new.txt": "new\n",
+    }
+    tree = make_tree(base, head)
+    found = with_line_churn(file_copies(diff_trees(tree, one_range), tree, one_range), tree)
+    rows = {r.path: (r.change_type, r.old_path, r.lines_added, r.lines_removed) for r in found.collect()}
+    assert rows == {
+        "copy.txt": ("copied", "a.txt", 0, 0), "like.txt": ("copied", "m.txt", 1, 1), "m.txt": ("modified", None, 1, 0),
+        "empty": ("added", None, 0, 0), "unlike.txt": ("added", None, 19, 0), "new.txt": ("added", None, 1, 0),
+    }
+    exact = file_copies(diff_trees(tree, one_range), tree, one_range, None)
+    assert {r.path for r in exact.filter("change_type = 'copied'").collect()} == {"copy.txt"}
+
+
+def test_staged_renames(make_tree, spark):
+    body = "".join(f"line {i}\n" for i in range(20))
+    tree = make_tree({"a.txt": body, "b.txt": "b\n"}, {}, INDEX={"moved.txt": body, "b.txt": "b\n"}, WORKTREE={"moved.txt": body + "x\n"})
+    ranges = spark.createDataFrame([("x", "r", "base", "WORKTREE")], "range_id string, repo string, base_ref string, head_ref string")
+    manifest = worktree_manifest(tree, ranges)
+    rows = {(r.path, r.change_scope): (r.change_type, r.old_path, r.lines_added) for r in manifest.files.collect()}
+    assert rows == {
+        ("moved.txt", "staged"): ("renamed", "a.txt", 0), ("moved.txt", "unstaged"): ("modified", None, 1),
+        ("b.txt", "unstaged"): ("deleted", None, 0),
+    }
+    assert manifest.summary.first().files_renamed == 1
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_contents_stay_where_they_are(spark, no_broadcast, tmp_path):
+    store = ContentStore(spark, "contents_test", str(tmp_path / "c"), 8)
+    spark.sql("DROP TABLE IF EXISTS contents_test")
+    rows = [(str(i), f"text {i}") for i in range(200)]
+    store.write_blobs(spark.createDataFrame(rows[:150], "blob_id string, content string"))
+    store.write_blobs(spark.createDataFrame(rows[100:], "blob_id string, content string"))
+    assert sorted((r.blob_id, r.content) for r in store.table().collect()) == sorted(rows)
+    wanted = spark.createDataFrame([("3",), ("180",), ("none",), ("3",)], "blob_id string")
+    found = store.lookup(wanted)
+    assert {(r.blob_id, r.content) for r in found.collect()} == {("3", "text 3"), ("180", "text 180")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # every exchange is below the ids; the scan of the contents has none above it
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "content" in line)
+    above = plan.splitlines()[: plan.splitlines().index(scan)]
+    depth = lambda line: len(line) - len(line.lstrip(" +-:*()0123456789"))
+    chain, limit = [], depth(scan)
+    for line in reversed(above):
+        if depth(line) < limit:
+            chain.append(line)
+            limit = depth(line)
+    assert "SortMergeJoin" in "".join(chain) and "Exchange" not in "".join(chain)
+    compact = store.compact("contents_test_2", str(tmp_path / "c2"))
+    assert compact.table().count() == 200 and compact.files_per_bucket() <= 1 < store.files_per_bucket()
+    spark.sql("DROP TABLE contents_test")
+    spark.sql("DROP TABLE contents_test_2")
+
+
+def test_symbols_are_extracted_once(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS symbols_test")
+    store = SymbolStore(spark, "symbols_test", str(tmp_path / "s"), 4)
+    blobs = spark.createDataFrame(
+        [(str(i), "rust", f"fn f{i}() {{ g() }}\n") for i in range(6)], "blob_id string, language string, content string"
+    )
+    asked = []
+
+    def content_of(ids):
+        asked.append({r.blob_id for r in ids.collect()})
+        return blobs.join(ids, "blob_id")
+
+    assert store.update(blobs.filter("blob_id < 4"), content_of) == 4
+    assert store.update(blobs, content_of) == 2
+    assert store.update(blobs, content_of) == 0
+    assert asked == [{"0", "1", "2", "3"}, {"4", "5"}]
+    names = {r.blob_id: [f.name for f in r.functions] for r in store.lookup(blobs).collect()}
+    assert names == {str(i): [f"f{i}"] for i in range(6)}
+    spark.sql("DROP TABLE symbols_test")
+
+
+def test_only_moved_ranges_are_computed_again(spark, tmp_path):
+    ranges = spark.createDataFrame(
+        [(i, "r", "main", f"b{i}") for i in range(20)], "range_id long, repo string, base_ref string, head_ref string"
+    )
+    computed = []
+
+    def refs(**moved):
+        heads = {"main": "0"} | {f"b{i}": f"s{i}" for i in range(20)} | moved
+        return spark.createDataFrame([("r", k, v) for k, v in heads.items()], "repo string, ref string, sha string")
+
+    def run(these, at):
+        def compute(some):
+            computed.append(sorted(r.range_id for r in some.collect()))
+            shas = at.select("repo", F.col("ref").alias("head_ref"), "sha")
+            return some.join(shas, ["repo", "head_ref"]).select("range_id", F.col("sha").alias("fact"))
+
+        return refresh_ranges(spark, str(tmp_path / "f"), these, at, compute, slots=4).count()
+
+    def facts():
+        return {r.range_id: r.fact for r in facts_of(spark, str(tmp_path / "f")).collect()}
+
+    assert run(ranges.filter("range_id < 18"), refs()) == 18
+    assert run(ranges.filter("range_id < 18"), refs()) == 0
+    assert run(ranges, refs(b3="new", b7="newer")) == 4
+    assert computed == [list(range(18)), [3, 7, 18, 19]]
+    assert facts() == {i: f"s{i}" for i in range(20)} | {3: "new", 7: "newer"}

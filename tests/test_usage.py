@@ -93,3 +93,44 @@ def test_stream_drops_late_rows_and_matches_batch(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out")).groupBy("window_start").agg(F.sum("n").alias("n"))
     got = {int((r.window_start - start).total_seconds() // 60): r.n for r in out.collect()}
     assert got == {0: 2, 5: 1, 30: 3}
+
+
+def test_metrics_of_open_windows_survive_a_restart(spark, tmp_path):
+    schema = "ts timestamp, tool string, status string, duration_ms double, bytes long"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    start = dt.datetime(2024, 1, 1)
+    batches = [
+        [(start + dt.timedelta(minutes=m), "t", "success", 5.0, m) for m in minutes]
+        for minutes in (range(0, 12), range(8, 20), (19, 21))
+    ]
+
+    def run():
+        S.upsert_metrics(S.request_rates(S.read_requests(spark, source, schema, 1)), out, state, available_now=True).awaitTermination()
+
+    def latest():
+        return sorted((str(r.window_start), r.n, r.bytes) for r in S.latest_metrics(spark, out).collect())
+
+    seen = []
+    for rows in batches:  # each run begins where the one before has ended
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        run()
+        seen += rows
+        want = spark.createDataFrame(seen, schema).groupBy(F.window("ts", "5 minutes").alias("w")).agg(
+            F.count("*").alias("n"), F.sum("bytes").alias("bytes")
+        )
+        assert latest() == sorted((str(r.w.start), r.n, r.bytes) for r in want.collect())
+    run()
+    before = latest()
+    S.compact_metrics(spark, out, str(tmp_path / "compact"))
+    assert sorted((str(r.window_start), r.n, r.bytes) for r in S.latest_metrics(spark, str(tmp_path / "compact")).collect()) == before
+
+
+def test_reasons_of_truncation(spark):
+    page = "range_id long, has_next boolean, trimmed boolean"
+    manifests = spark.createDataFrame([(1, True, False), (2, False, False), (3, False, True)], page)
+    contexts = spark.createDataFrame([(1, False, False), (2, False, False), (3, True, True)], page)
+    files = spark.createDataFrame([(1, False), (2, True), (2, False), (4, True)], "range_id long, truncated boolean")
+    got = {r.range_id: (r.truncated, r.reasons) for r in T.response_truncated(manifests, contexts, files).collect()}
+    assert got == {
+        1: (True, ["paginated"]), 2: (True, ["max_file_size"]), 3: (True, ["paginated", "token_budget"]), 4: (True, ["max_file_size"])
+    }
