@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; a chunk ends where its top bits are
-zero, so the cuts follow the content and an insertion only moves the cuts near
-it. Chunks are deduplicated by digest. The first copy, in order of doc_id and
+A gear hash rolls over the bytes of a text; a chunk ends where the hash is larger
+than at all ``AROUND`` places to either side. A cut so depends on the bytes near
+it and on no other cut, and an insertion only moves the cuts next to it. Chunks
+are deduplicated by digest. The first copy, in order of doc_id and
 position, stays; of every other copy the text is to go. Neighbouring repeated
 chunks of a document form one span. It is extended to either side as far as the
 text equals that around the copy that stays (the first copy: around the last one),
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from treeshift.llm.common import chunks, join_unique, staged, text_bytes
 
-#: Chunk lengths in bytes: no cut before LEAST, a forced one at MOST; about LEAST + 2^BITS on average.
-LEAST, MOST, BITS = 16, 256, 4
+#: Bytes to either side of a cut without another; chunks have twice as many on average.
+AROUND = 24
+#: Bytes after which a chunk is cut where the content gives no place.
+MOST = 256
 #: Characters a repeated span must have.
 SPAN = 128
 #: Characters compared in the first round of extending spans; where all are equal, the next round takes eight times as many.
@@ -39,37 +42,50 @@ REACH = 128
 _GEAR = np.random.default_rng(99).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+def _largest(values: np.ndarray, width: int) -> np.ndarray:
+    """The largest of each value and the ``width`` - 1 before it."""
+    out, reach = values.copy(), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        out[step:] = np.maximum(out[step:], out[:-step])
+        reach += step
+    return out
+
+
 def cut_candidates(data: np.ndarray) -> np.ndarray:
-    """Places after which the content allows a cut.
+    """Places after which the content makes a cut.
 
-    The gear hash h = 2 * h + gear[byte] modulo 2^32 depends on the last 32
-    bytes; it is built here for all places at once by doubling the window.
+    The gear hash h = 16 * h + gear[byte] modulo 2^32 depends on the last 8 bytes;
+    it is built here for all places at once by doubling the window.
     """
     hashed = _GEAR[data]
-    for width in (1, 2, 4, 8, 16):
-        hashed[width:] += hashed[:-width] << np.uint32(width)
-    return np.flatnonzero(hashed >> np.uint32(32 - BITS) == 0) + 1
+    for width in (1, 2, 4):
+        hashed[width:] += hashed[:-width] << np.uint32(4 * width)
+    highest = _largest(np.concatenate([hashed, np.zeros(AROUND, np.uint32)]), AROUND)
+    before = np.concatenate([[np.uint32(0)], highest[: len(hashed) - 1]])
+    after = highest[AROUND:]
+    return np.flatnonzero((hashed > before) & (hashed >= after)) + 1
 
 
 def chunk_bounds(text: bytes) -> list[int]:
-    """Byte offsets 0, ..., len(text) of the chunks; no cut falls inside a character."""
+    """Byte offsets 0, ..., len(text) of the chunks; a cut inside a character moves behind it."""
     size = len(text)
     if not size:
         return [0]
     data = np.frombuffer(text, dtype=np.uint8)
     places = cut_candidates(data)
-    places = places[places < size]
-    places = places[(data[places] & 0xC0) != 0x80]
+    for _ in range(3):
+        places = places[places < size]
+        places = places + ((data[places] & 0xC0) == 0x80)
     bounds, last = [0], 0
-    for place in [*places.tolist(), size]:
+    for place in [*places[places < size].tolist(), size]:
         while place - last > MOST:
             last += MOST
             while data[last] & 0xC0 == 0x80:
                 last -= 1
             bounds.append(last)
-        if place - last >= LEAST or place == size:
-            if place > last:
-                bounds.append(place)
+        if place > last:
+            bounds.append(place)
             last = place
     return bounds
 
@@ -79,7 +95,7 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, rows = text_bytes(batch.column("text")), batch.column("row").to_numpy()
         ids = batch.column("doc_id")
         for first, last in chunks(texts):
-            owner, start, length, digest = [], [], [], []
+            owner, start, length, digest = [], [], [], bytearray()
             for i in range(first, last):
                 text, bounds = texts[i], chunk_bounds(texts[i])
                 if len(bounds) < 2:
@@ -89,21 +105,24 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner += [i] * (len(bounds) - 1)
                 start.append(points[:-1])
                 length.append(np.diff(points))
-                digest += [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(bounds, bounds[1:])]
+                for a, b in zip(bounds, bounds[1:]):
+                    digest += hashlib.blake2b(text[a:b], digest_size=12).digest()
             at = np.array(owner, dtype=np.int64)
+            marks = np.frombuffer(bytes(digest), dtype=[("digest", "<i8"), ("check", "<i4")])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows[at]),
                     ids.take(pa.array(at)),
                     pa.array(np.concatenate(start or [at]), pa.int64()),
                     pa.array(np.concatenate(length or [at]), pa.int32()),
-                    pa.array(digest, pa.binary()),
+                    pa.array(np.ascontiguousarray(marks["digest"])),
+                    pa.array(np.ascontiguousarray(marks["check"])),
                 ],
-                ["row", "doc_id", "start", "length", "digest"],
+                ["row", "doc_id", "start", "length", "digest", "check"],
             )
 
 
-CHUNK = "row long, doc_id long, start long, length int, digest binary"
+CHUNK = "row long, doc_id long, start long, length int, digest long, check int"
 
 
 def repeated_chunks(numbered: DataFrame) -> DataFrame:
@@ -112,11 +131,17 @@ def repeated_chunks(numbered: DataFrame) -> DataFrame:
     ``numbered`` has row (unique), doc_id and text.
     """
     cut = staged(numbered.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_chunk, CHUNK), "chunks")
+    # a digest has 96 bits; rows meet by 64 of them, and the rest decides
+    counts = cut.groupBy("digest", "check").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    again = staged(counts.withColumnRenamed("check", "same"), "repeated")
+    rows = staged(join_unique(cut, again, "digest", "copies").filter("check = same").drop("same", "copies"), "repeated-rows")
     place = F.struct("doc_id", "row", "start")
-    found = cut.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("kept"), F.max(place).alias("last"))
-    again = staged(found.filter("copies > 1"), "repeated")
+    ends = rows.groupBy("digest", "check").agg(
+        F.min(place).alias("kept"), F.max(place).alias("last"), F.count(F.lit(1)).alias("copies")
+    )
     first = (F.col("row") == F.col("kept.row")) & (F.col("start") == F.col("kept.start"))
-    return join_unique(cut, again, "digest", "copies").select(
+    placed = join_unique(rows, staged(ends.withColumnRenamed("check", "same"), "repeated-ends"), "digest", "copies")
+    return placed.filter("check = same").select(
         "row",
         "doc_id",
         "start",
