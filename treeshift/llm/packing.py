@@ -39,14 +39,41 @@ WASTE = 0.02
 FAN_IN = 64
 #: Words whose ids a worker remembers, about 200 bytes each; when so many are new,
 #: those that were not used meanwhile are forgotten.
-REMEMBERED = 600_000
-#: The tokenizer's own first split, for text that is all ASCII.
-ASCII_SPLIT = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII
-)
+REMEMBERED = 1_000_000
+
+
+def _split(letters: str, numbers: str, blanks: str) -> re.Pattern[str]:
+    other = f"[^{letters}{numbers}{blanks}]"
+    return re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?{other}+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+    )
+
+
+#: The tokenizer's own first split, for text that is all ASCII and all Latin-1.
+ASCII_SPLIT = _split("A-Za-z", "0-9", r"\t-\r ")
+LATIN_SPLIT = _split("A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0")
 SPECIAL = "<|"
 #: A word that can be a line: nothing but its first character may be a blank.
 LINE = re.compile(r" ?\S+")
+#: White space that is not one space between two words.
+BLANK_BEFORE_SPACE = re.compile(r"\s(?: |\Z)")
+BLANKS_BEFORE_SPACE = [c + " " for c in map(chr, range(128)) if c.isspace()]
+
+
+def plain_spaces(text: str) -> bool:
+    """Does no white space stand before a space or at the end?"""
+    if text.isascii():
+        return not text[-1:].isspace() and not any(b in text for b in BLANKS_BEFORE_SPACE)
+    return not BLANK_BEFORE_SPACE.search(text)
+
+
+def first_split(word: str) -> list[str]:
+    """The parts that the tokenizer merges in for itself, or the word where that is not known here."""
+    if SPECIAL in word:
+        return [word]
+    if word.isascii():
+        return ASCII_SPLIT.findall(word)
+    return LATIN_SPLIT.findall(word) if max(word) <= "ÿ" else [word]
 
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -75,12 +102,11 @@ class Encoder:
 
     @staticmethod
     def units(text: str) -> list[str]:
+        if "\0" not in text and plain_spaces(text):
+            return text.replace(" ", "\0 ").split("\0")[text[:1] == " " :]
         pieces = text.split(" ")
-        first, rest = pieces[0], [" " + p for p in pieces[1:]]
-        if not first[-1:].isspace() and first and not any(map(str.isspace, [p[-1] for p in rest])):
-            return [first, *rest]
         units, held = [], ""
-        for piece in [first, *rest]:
+        for piece in [pieces[0], *(" " + p for p in pieces[1:])]:
             held += piece
             if held and not held[-1].isspace():
                 units.append(held)
@@ -115,17 +141,17 @@ class Encoder:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         split = {}
-        for word in {u for words in units for u in words if u not in known}:
+        for word in set().union(*units).difference(known):
             if word in before:
                 known[word] = before[word]
                 continue
-            split[word] = ASCII_SPLIT.findall(word) if word.isascii() and SPECIAL not in word else [word]
+            split[word] = first_split(word)
         new = {part for parts in split.values() for part in parts if part not in known}
         known.update({part: before[part] for part in new if part in before})
         self.learn([part for part in new if part not in before])
         for word, parts in split.items():
             known[word] = b"".join([known[part] for part in parts])
-        return [b"".join([known[u] for u in words]) for words in units]
+        return [b"".join(map(known.__getitem__, words)) for words in units]
 
 
 @functools.lru_cache(maxsize=2)
