@@ -131,6 +131,23 @@ def test_links(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize(
+    "text", ['{"a": "\\ud800"}', "[" * 100_000, '{"a": NaN}', '{"a": -Infinity}', '{"a": 1e999}', '{"a": ' + "9" * 5000 + "}", '{"a": ' + "[" * 101 + "]" * 101 + "}"]
+)
+def test_arguments_that_are_no_json(spark, text):
+    calls = spark.createDataFrame([(1, 0, "a", "add", text, 0), (1, 1, "b", "add", '{"a": 3}', 0)], CALLS)
+    rows = {r.call_id: r for r in tool_calls.link_calls(calls, spark.createDataFrame([], RESULTS), TOOLS).collect()}
+    assert rows["a"].errors == "$: not JSON" and not rows["a"].valid and rows["b"].valid
+    for row in rows.values():
+        json.loads(row.json)
+
+
+def test_deep_arguments_and_brackets_in_strings():
+    deep = "[" * 100 + "]" * 100
+    assert tool_calls.canonical(tool_calls.parsed(deep)) == deep
+    assert tool_calls.parsed('"' + "[" * 500 + '\\""') == "[" * 500 + '"'
+
+
 def test_conversations(spark):
     messages = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", ""), (2, 0, "system", "s"), (2, 1, "assistant", "t")]
     messages += [(None, 0, "user", "x"), (3, None, "user", None), (3, 2, None, "y")]

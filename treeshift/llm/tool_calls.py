@@ -14,7 +14,9 @@ with the smallest turn counts (then name and arguments), and ``repeats`` tells h
 many there are. A call without a result is ``open``, a result without a call is
 ``orphan``, a call in a cycle of references is ``cyclic``, and all others are
 ``linked``. References to calls that do not exist are errors, but do not hold a
-call back. Null arguments count as absent and unparsable ones are an error. An
+call back. Null arguments count as absent; unparsable ones are an error, and so
+are NaN, infinities, numbers beyond double precision, lone surrogates and more
+than ``DEEPEST`` levels of brackets. An
 unknown tool is an error. Extra columns are not looked at. Empty tables give an
 empty result.
 """
@@ -22,6 +24,7 @@ empty result.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +44,33 @@ TYPES = {
 }
 
 
+#: Levels of nested brackets that arguments may have.
+DEEPEST = 100
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no blanks; a number beyond double precision's range is a ValueError."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def parsed(text: str | None):
+    """The value of a JSON text; ValueError for NaN, infinities, lone surrogates, and nesting beyond ``DEEPEST``."""
+
+    def refuse(name: str):
+        raise ValueError(f"{name} is not JSON")
+
+    if text is None:
+        return None
+    depth = deepest = 0
+    for bracket in re.findall(r'"(?:[^"\\]|\\.)*+"|[\[{]|[\]}]', text, re.DOTALL):
+        if bracket[0] != '"':
+            depth += 1 if bracket in "[{" else -1
+            deepest = max(deepest, depth)
+    if deepest > DEEPEST:
+        raise ValueError("too deep")
+    value = json.loads(text, parse_constant=refuse)
+    canonical(value).encode()  # a lone surrogate has no encoding: UnicodeEncodeError is a ValueError
+    return value
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -95,7 +123,7 @@ def _check(schemas: dict[str, dict]):
             errors, uses, plain = [], [], []
             for name, text in zip(batch.column("name").to_pylist(), batch.column("arguments").to_pylist()):
                 try:
-                    value = None if text is None else json.loads(text)
+                    value = parsed(text)
                 except ValueError:
                     errors.append(["$: not JSON"])
                     uses.append([])
@@ -284,6 +312,8 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages read as tool calls: a user's turn calls ``reply``, the next turn, the assistant's, is its result.
 
     A call refers to the result of the user's turn two before, as its context.
+    Messages of other roles, such as ``system``, are no calls and no results: they
+    take no part.
     """
 
     def call_id(turn):
