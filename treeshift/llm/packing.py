@@ -40,6 +40,8 @@ FAN_IN = 64
 #: Words whose ids a worker remembers, about 200 bytes each; when so many are new,
 #: those that were not used meanwhile are forgotten.
 REMEMBERED = 1_000_000
+#: New parts that are merged as one text.
+LINES = 16
 
 
 def _split(letters: str, numbers: str, blanks: str) -> re.Pattern[str]:
@@ -67,13 +69,14 @@ def plain_spaces(text: str) -> bool:
     return not BLANK_BEFORE_SPACE.search(text)
 
 
-def first_split(word: str) -> list[str]:
-    """The parts that the tokenizer merges in for itself, or the word where that is not known here."""
+def first_split(word: str) -> list[str] | None:
+    """The parts that the tokenizer merges in for itself; None where that is not known here."""
     if SPECIAL in word:
-        return [word]
+        return None
     if word.isascii():
         return ASCII_SPLIT.findall(word)
-    return LATIN_SPLIT.findall(word) if max(word) <= "ÿ" else [word]
+    return LATIN_SPLIT.findall(word) if max(word) <= "ÿ" else None
+
 
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -81,24 +84,38 @@ PIECE = (
 )
 
 
+class New(dict):
+    """Words that are not known yet, each with an empty value to be filled in."""
+
+    def __missing__(self, word: str) -> bytearray:
+        held = self[word] = bytearray()
+        return held
+
+
 class Encoder:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
     Byte-level BPE never merges across a space that follows other text, so ids
     are looked up for each word with its leading space and only new words are
-    given to the tokenizer, a new ASCII word without the punctuation around it. A
-    piece between spaces that is empty or ends in white space stays with what
-    follows it, as white space there is split by what follows.
+    given to the tokenizer, a new Latin word as the parts that are merged in for
+    themselves. A piece between spaces that is empty or ends in white space stays
+    with what follows it, as white space there is split by what follows.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # the same merges for parts that are split already, one a line
+        self.merger = Tokenizer.from_file(path)
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        # plain dictionaries, which the garbage collector does not walk through
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        (self.line_feed,) = self.ids("\n").tolist()
+        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -113,45 +130,66 @@ class Encoder:
                 held = ""
         return [*units, held] if held else units
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words, most of them in one call as lines of one text.
+    def merge(self, new: New, parts: list[str]) -> None:
+        """Ids of new parts, most of them many in one text, a line each.
 
-        A line feed before a word is always a token of its own, so the ids of the
-        lines are what stands between its ids.
+        A line feed is always a token of its own, so the ids of the lines are
+        what stands between its ids.
         """
-        lines = [w for w in words if LINE.fullmatch(w) and SPECIAL not in w]
-        for start in range(0, len(lines), 4096):
-            part = lines[start : start + 4096]
-            ids = self.ids("\n".join(part))
-            edges = np.flatnonzero(ids == self.line_feed)
-            data, bounds = ids.tobytes(), [-1, *edges.tolist(), len(ids)]
-            for word, a, b in zip(part, bounds, bounds[1:]):
-                self.known[word] = data[4 * a + 4 : 4 * b]
-        for word in words:
-            if word not in self.known:
-                self.known[word] = self.ids(word).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, dtype="<u4")
+        lines = [part for part in parts if LINE.fullmatch(part)]
+        groups = [lines[start : start + LINES] for start in range(0, len(lines), LINES)]
+        encoded = self.merger.encode_batch_fast(["\n".join(group) for group in groups], add_special_tokens=False)
+        for group, found in zip(groups, encoded):
+            ids = np.array(found.ids, dtype="<u4")
+            data, bounds = ids.tobytes(), [-1, *np.flatnonzero(ids == self.line_feed).tolist(), len(ids)]
+            for part, a, b in zip(group, bounds, bounds[1:]):
+                new[part] += data[4 * a + 4 : 4 * b]
+        self.learn(new, [part for part in parts if not new[part]])
+
+    def learn(self, new: New, words: list[str]) -> None:
+        """Ids of new words that the tokenizer has to split."""
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            new[word] += np.array(found.ids, dtype="<u4").tobytes()
+
+    def fill(self, new: New) -> None:
+        """Ids of all new words, which are known from then on."""
+        known, before = self.known, self.before
+        whole, unsplit, composed = [], [], []
+        for word, held in list(new.items()):
+            if word in before:
+                held += before[word]
+                continue
+            parts = first_split(word)
+            if parts is None:
+                unsplit.append(word)
+            elif len(parts) == 1:
+                whole.append(word)
+            else:
+                composed.append((held, parts))
+        words = len(new)
+        composed = [(held, [known[part] if part in known else new[part] for part in parts]) for held, parts in composed]
+        for part in list(new)[words:]:
+            if part in before:
+                new[part] += before[part]
+            else:
+                whole.append(part)
+        self.merge(new, whole)
+        self.learn(new, unsplit)
+        for held, parts_held in composed:
+            held += b"".join(parts_held)
+        known.update(zip(new, map(bytes, new.values())))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [self.units(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        split = {}
-        for word in set().union(*units).difference(known):
-            if word in before:
-                known[word] = before[word]
-                continue
-            split[word] = first_split(word)
-        new = {part for parts in split.values() for part in parts if part not in known}
-        known.update({part: before[part] for part in new if part in before})
-        self.learn([part for part in new if part not in before])
-        for word, parts in split.items():
-            known[word] = b"".join([known[part] for part in parts])
-        return [b"".join(map(known.__getitem__, words)) for words in units]
+        found, new = [], New()
+        for words in map(self.units, texts):
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                ids = [new[word] if held is None else held for word, held in zip(words, ids)]
+            found.append(ids)
+        self.fill(new)
+        return [b"".join(ids) for ids in found]
 
 
 @functools.lru_cache(maxsize=2)
