@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from treeshift.session import ensure_checkpoint_dir
+from treeshift.session import scratch
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_folders: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, removed when the driver ends."""
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _folders:
-        atexit.register(_remove)
-    _folders.append((spark, path))
-    return path
-
-
-def _remove() -> None:
-    for spark, path in _folders:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM has gone already; the folder is scratch space
-            return
-
-
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
