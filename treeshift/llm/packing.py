@@ -39,7 +39,7 @@ WASTE = 0.02
 FAN_IN = 64
 #: Words whose ids a worker remembers, about 200 bytes each; when so many are new,
 #: those that were not used meanwhile are forgotten.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: New parts that are merged as one text.
 LINES = 16
 
