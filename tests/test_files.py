@@ -12,7 +12,7 @@ from treeshift.operators.renames import best_matches, file_copies, file_renames,
 from treeshift.plans.manifest import worktree_manifest
 from treeshift.plans.refresh import facts_of, refresh_ranges
 from treeshift.sources.commits import first_parent_walk
-from treeshift.functions.text import file_content
+from treeshift.functions.text import file_content, packed, unpacked
 from treeshift.sources.stores import ContentStore, SymbolStore
 from treeshift.sources.trees import blobs, read_file_at_ref, scan_tree, write_tree
 
@@ -359,3 +359,26 @@ def test_only_moved_ranges_are_computed_again(spark, tmp_path):
     assert run(ranges, refs(b3="new", b7="newer")) == 4
     assert computed == [list(range(18)), [3, 7, 18, 19]]
     assert facts() == {i: f"s{i}" for i in range(20)} | {3: "new", 7: "newer"}
+
+
+def test_diff_reads_both_ends_in_one_scan(spark, make_tree, one_range, tmp_path):
+    tree = make_tree({"same": "1\n", "edit": "1\n2\n", "old": "x", None: "a"}, {"same": "1\n", "edit": "1\n3\n", "new": "y", None: "b"})
+    found = with_line_churn(diff_trees(tree, one_range), tree)
+    assert {(r.path, r.change_type, r.lines_added, r.lines_removed) for r in found.collect()} == {
+        ("edit", "modified", 1, 1), ("old", "deleted", 0, 1), ("new", "added", 1, 0), (None, "deleted", 0, 1), (None, "added", 1, 0)
+    }
+    write_tree(tree, str(tmp_path / "trees"))
+    landed = spark.read.parquet(str(tmp_path / "trees"))
+    changes = diff_trees(landed, one_range)
+    assert sum("FileScan" in line and "blob_id" in line for line in _plan(changes).splitlines()) == 1
+    # the comparison is not repeated for the line counts
+    assert "Window" in _plan(changes) and "Window" not in _plan(with_line_churn(changes, landed))
+
+
+def test_packed_names_come_back(spark):
+    names = ["", "a", "ab", "AB", "abc", "0f" * 32, "0f" * 32 + "0", "main", "é", "\x00", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("p", packed(F.col("name")))
+    rows = df.select("name", "p", unpacked(F.col("p")).alias("back")).collect()
+    assert [r.back for r in rows] == names
+    assert len({bytes(r.p) for r in rows if r.p is not None}) == len(names) - 1
+    assert max(len(r.p) for r in rows if r.name == "0f" * 32) == 33
