@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window, functions as F
 
 from treeshift.llm import quality, spelling, whitening
 
@@ -154,6 +155,37 @@ def test_quality_learns_from_rows_that_are_not_held_out(spark):
     assert scores[0] == scores[1]
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    drawn = F.pmod(F.xxhash64("id", F.lit("quality sample")), F.lit(1 << 30))
+    rows = spark.range(2800).select("id", F.row_number().over(Window.orderBy(drawn, "id")).alias("place"))
+    docs = rows.select(F.col("id").alias("doc_id"), F.concat(F.lit("calm words "), F.col("id").cast("string")).alias("text"), "place")
+    bad = spark.range(5000, 5100).select(F.col("id").alias("doc_id"), F.concat(F.lit("LOUD!! "), F.col("id").cast("string")).alias("text"), F.lit(0).alias("place"))
+    docs = docs.unionByName(bad).repartition(3).cache()
+    known = docs.select("doc_id", (F.col("place") > 0).cast("int").alias("quality"))
+    others = docs.withColumn("text", F.when(F.col("place") > 2000, F.concat("text", F.lit(" of another kind"))).otherwise(F.col("text")))
+    first, again, changed = (quality.train(d.select("doc_id", "text"), known) for d in (docs, docs, others))
+    assert np.array_equal(first.weights, again.weights) and (first.threshold, first.slope) == (again.threshold, again.slope)
+    assert not np.array_equal(first.weights, changed.weights)
+    assert (first.scores([b"calm words 7"]) > 0.5).all() and (first.scores([b"LOUD!! 7"]) < 0.5).all()
+
+
+def test_quality_threshold_is_a_quantile_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BINS", 7)
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 1), rng.randint(-(10**12), 10**12)) for _ in range(500)] + [(1, 5)] * 40
+    weight = {q: 0.5 / sum(r[0] == q for r in rows) for q in (0, 1)}
+    judged = spark.createDataFrame(rows, "quality int, strength bigint").repartition(3)
+    for share in (0.001, 0.3, 0.52, 0.999, 1.0):
+        total, at = 0.0, None
+        for strength in sorted({s for _, s in rows}):
+            total += sum(weight[q] for q, s in rows if s == strength)
+            if total >= share - 1e-12:
+                at = strength
+                break
+        after = min((s for _, s in rows if s > at), default=at)
+        assert quality._threshold(judged, weight, share) == (at + after) / 2 / quality.UNIT
+
+
 @pytest.mark.parametrize("marks, want", [([], 0.5), ([(0, 1), (2, 1), (3, 1)], 1.0)])
 def test_quality_without_pairs(spark, marks, want):
     got = quality.qualities(documents(spark, [(0, "a"), (2, None), (3, "")]), labels(spark, marks)).collect()

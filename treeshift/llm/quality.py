@@ -28,9 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from treeshift.llm.common import chunks, doc_hash, text_bytes
+from treeshift.session import cut
 
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3)
@@ -38,6 +39,10 @@ SHARES = 12
 #: Bytes whose n-grams are counted at a time, and texts whose features are held at a time.
 PIECE = 1 << 20
 ROWS = 64
+#: Weights and strengths are whole numbers of parts while they are added up.
+UNIT = 1 << 32
+#: Rows of the rarer label that a shard has at least, bins of one round, and partitions for shards.
+LEAST, BINS, MOST_PARTS = 64, 4096, 4096
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 control, 1 white space, 2 punctuation, 3 digit, 4 capital, 5 small, 6 beyond ASCII
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
@@ -123,17 +128,6 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.slope * (strength - self.threshold), -30, 30)))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = text_bytes(batch.column("text"))
-        for i in range(0, len(texts), ROWS):
-            rows = [r.tobytes() for r in features(texts[i : i + ROWS])]
-            part = batch.slice(i, ROWS)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("quality"), part.column("rank"), pa.array(rows, pa.binary())], ["quality", "rank", "features"]
-            )
-
-
 def _pairs(good: int, bad: int, rivals: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Each document of either kind against ``rivals`` of the other."""
     left = np.concatenate([np.repeat(np.arange(good), rivals), rng.integers(0, good, bad * rivals)])
@@ -163,32 +157,98 @@ def fit_weights(
     return weights
 
 
-def _calibrated(strength: np.ndarray, answers: np.ndarray, weight: np.ndarray, threshold: float) -> float:
-    """The slope under which the answers are likeliest, about the threshold."""
+def _fitted(rivals: int, epochs: int, rate: float, decay: float, seed: int):
+    """The weights of each shard of rows (shard, quality, text) sorted by shard, as (index, weight) in parts of ``UNIT``."""
+
+    def weights(shard: int, rows: list[np.ndarray], answers: list[int]) -> pa.RecordBatch:
+        table, kinds = np.concatenate(rows), np.array(answers)
+        rng = np.random.default_rng([seed, shard])
+        found = fit_weights(table[kinds == 1], table[kinds == 0], rivals, epochs, rate, decay, rng)
+        whole = np.rint(found * UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole)), pa.int32()), pa.array(whole)], ["index", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, answers = None, [], []
+        for batch in batches:
+            texts, shards, kinds = text_bytes(batch.column("text")), batch.column("shard").to_pylist(), batch.column("quality").to_pylist()
+            start = 0
+            while start < len(texts):
+                end = start + 1
+                while end < len(texts) and end - start < ROWS and shards[end] == shards[start]:
+                    end += 1
+                if shards[start] != at and rows:
+                    yield weights(at, rows, answers)
+                    rows, answers = [], []
+                at = shards[start]
+                rows.append(features(texts[start:end]))
+                answers += kinds[start:end]
+                start = end
+        if rows:
+            yield weights(at, rows, answers)
+
+    return run
+
+
+def _strengths(weights: np.ndarray):
+    """(quality, strength) of rows (quality, text), strengths in parts of ``UNIT``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            for i in range(0, len(texts), ROWS):
+                found = np.rint(features(texts[i : i + ROWS]) @ weights * UNIT).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("quality").slice(i, ROWS), pa.array(found)], ["quality", "strength"])
+
+    return run
+
+
+def _threshold(judged: DataFrame, weight: dict[int, float], share: float) -> float:
+    """Midway from the first strength at which ``share`` of the weight is reached to the next one.
+
+    Counts of all rows in ever finer bins; no round collects more than two counts a bin.
+    """
+    low, high = judged.agg(F.min("strength"), F.max("strength")).first()
+    below = 0.0
+    while low < high:
+        width = -(-(high - low + 1) // BINS)
+        bin_of = F.floor((F.col("strength") - low) / F.lit(width)) if width > 1 else F.col("strength") - low
+        counted = judged.filter(F.col("strength").between(low, high)).groupBy(bin_of.alias("bin"), "quality").count().collect()
+        held = [0.0] * BINS
+        for r in counted:
+            held[r["bin"]] += r["count"] * weight[r["quality"]]
+        last = max(r["bin"] for r in counted)
+        at = 0
+        while at < last and below + held[at] < share - 1e-12:
+            below += held[at]
+            at += 1
+        low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+    after = judged.filter(F.col("strength") > low).agg(F.min("strength")).first()[0]
+    return (low + (low if after is None else after)) / 2 / UNIT
+
+
+def _slope(judged: DataFrame, weight: dict[int, float], threshold: float) -> float:
+    """The slope under which the answers of all rows are likeliest, about the threshold."""
     grid = np.geomspace(0.05, 50, 121)
-    gap = strength - threshold
-    loss = [-(weight * np.log(np.where(answers == 1, p, 1 - p) + 1e-9)).sum() for p in (_logistic(gap * g) for g in grid)]
-    return float(grid[int(np.argmin(loss))])
-
-
-def _sample(known: DataFrame, counts: dict[int, int], per_label: int) -> DataFrame:
-    """At most ``per_label`` labelled ids (doc_id, quality, drawn) of each label, the first by hash."""
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 30))
-    rate_of = F.create_map(*[F.lit(x) for q, n in counts.items() for x in (q, min(1.0, 1.5 * per_label / n))])
-    first = Window.partitionBy("quality").orderBy("drawn", "doc_id")
-    return (
-        known.withColumn("drawn", drawn)
-        .filter(F.col("drawn") < rate_of[F.col("quality")] * (1 << 30))
-        .withColumn("place", F.row_number().over(first))
-        .filter(F.col("place") <= per_label)
-        .select("doc_id", "quality", "drawn")
-    )
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(grid))
+        for batch in batches:
+            answers = batch.column("quality").to_numpy()
+            gap = batch.column("strength").to_numpy() / UNIT - threshold
+            own = np.where(answers == 1, weight[1], weight[0])
+            for i, g in enumerate(grid):
+                p = _logistic(gap * g)
+                total[i] -= (own * np.log(np.where(answers == 1, p, 1 - p) + 1e-9)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid)), pa.int32()), pa.array(total)], ["index", "loss"])
+
+    found = judged.mapInArrow(losses, "index int, loss double").groupBy("index").agg(F.sum("loss").alias("loss")).collect()
+    return float(grid[min(found, key=lambda r: (round(r["loss"], 9), r["index"]))["index"]]) if found else 1.0
 
 
 def train(
     docs: DataFrame,
     known: DataFrame,
-    per_label: int = 2000,
+    shard_rows: int = 1500,
     rivals: int = 8,
     epochs: int = 6,
     rate: float = 0.1,
@@ -197,8 +257,11 @@ def train(
 ) -> Ranking:
     """Fit on documents (doc_id, text) and their distinct labels (doc_id, quality 0 or 1).
 
-    Sees at most ``per_label`` rows of each label, the first by hash of the id.
-    Every fourth of them is kept for the threshold and the slope.
+    All labelled rows take part; equal ones (id, text and label) count once. Three in
+    four are dealt by hash to shards of about ``shard_rows`` rows of the more frequent
+    label; the weights are the mean of the shards' weights. Rows of the rarer label are
+    dealt to several shards where needed, so that each has ``LEAST`` of them or all.
+    The others give the threshold and the slope.
     """
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if not counts:
@@ -206,38 +269,52 @@ def train(
     prior = counts.get(1, 0) / sum(counts.values())
     if len(counts) < 2:
         return Ranking(None, 0.0, 1.0, prior)
-    # the sampled ids are at most 2 * per_label, so the texts stay where they are;
-    # an id may have any number of rows
-    labelled = docs.join(F.broadcast(_sample(known, counts, per_label)), "doc_id")
-    first = Window.partitionBy("quality").orderBy("drawn", "doc_id", "text")
-    sample = (
-        labelled.withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= per_label)
-        .select("quality", "rank", "text")
+    # the same plan at every size; texts move once to their labels, and the labelled ones once to their shard
+    rows = cut(
+        docs.join(known.hint("merge"), "doc_id")
+        .dropDuplicates(["doc_id", "quality", "text"])
+        .select(
+            "quality",
+            "text",
+            (F.pmod(F.xxhash64("doc_id", F.lit("quality held")), F.lit(4)) == 0).alias("held"),
+            F.xxhash64("doc_id", "text", F.lit("quality shard")).alias("drawn"),
+        )
     )
-    # bounded: 2 * per_label rows of a fixed width
-    rows = sample.repartition(16).mapInArrow(_rows, "quality int, rank int, features binary").collect()
-    rows.sort(key=lambda r: (r["rank"], r["quality"]))
-    if len({r["quality"] for r in rows}) < 2:
+    found = {(r["quality"], r["held"]): r["count"] for r in rows.groupBy("quality", "held").count().collect()}
+    if len({q for q, _ in found}) < 2:
         return Ranking(None, 0.0, 1.0, prior)
-    table = np.stack([np.frombuffer(r["features"], dtype=np.float32) for r in rows])
-    answers = np.array([r["quality"] for r in rows])
-    held = np.array([r["rank"] % 4 == 0 for r in rows])
-    if min((answers[held] == q).sum() for q in (0, 1)) == 0:
-        held = np.zeros(len(rows), dtype=bool)
-    fit = ~held
-    weights = fit_weights(
-        table[fit & (answers == 1)], table[fit & (answers == 0)], rivals, epochs, rate, decay, np.random.default_rng(seed)
+    apart = len(found) == 4  # else all rows are for both
+    fit, judged = (rows.filter("NOT held"), rows.filter("held")) if apart else (rows, rows)
+    sizes = {q: found[q, False] if apart else found.get((q, False), 0) + found.get((q, True), 0) for q in (0, 1)}
+    shards = -(-max(sizes.values()) // shard_rows)
+    copies = {q: min(shards, -(-LEAST * shards // n)) for q, n in sizes.items()}
+    dealt = F.when(F.col("quality") == 1, F.lit(copies[1])).otherwise(copies[0])
+    first = F.pmod("drawn", F.lit(shards))
+    shard = F.transform(
+        F.sequence(F.lit(0), dealt - 1), lambda k: F.pmod(first + k * F.floor(F.lit(shards) / dealt), F.lit(shards)).cast("int")
+    )
+    sharded = (
+        fit.select(F.explode(shard).alias("shard"), "quality", "drawn", "text")
+        .repartition(min(shards, MOST_PARTS), "shard")
+        .sortWithinPartitions("shard", "drawn", "quality", "text")
+        .select("shard", "quality", "text")
+    )
+    # a row for each feature; whole numbers, so that sums do not depend on their order
+    sums = (
+        sharded.mapInArrow(_fitted(rivals, epochs, rate, decay, seed), "index int, weight bigint")
+        .groupBy("index")
+        .agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+        .collect()
     )
-    judged = held if held.any() else fit
-    strength, answers = (table[judged] @ weights), answers[judged]
-    # the sample is balanced; weights bring back the shares of the labels
-    weight = np.where(answers == 1, prior / (answers == 1).sum(), (1 - prior) / (answers == 0).sum())
-    order = np.argsort(strength, kind="stable")
-    below = np.cumsum(weight[order])
-    cut = min(int(np.searchsorted(below, 1 - prior)), len(order) - 1)
-    threshold = float((strength[order[cut]] + strength[order[min(cut + 1, len(order) - 1)]]) / 2)
-    return Ranking(weights, threshold, _calibrated(strength, answers, weight, threshold), prior)
+    weights = np.zeros(BUCKETS + SHARES)
+    for r in sums:
+        weights[r["index"]] = r["weight"] / r["n"] / UNIT
+    judged = cut(judged.select("quality", "text").mapInArrow(_strengths(weights), "quality int, strength bigint"))
+    each = {q: found[q, True] if apart else sizes[q] for q in (0, 1)}
+    # the shares of the labels are those of the table
+    weight = {1: prior / each[1], 0: (1 - prior) / each[0]}
+    threshold = _threshold(judged, weight, 1 - prior)
+    return Ranking(weights, threshold, _slope(judged, weight, threshold), prior)
 
 
 def score(docs: DataFrame, model: Ranking) -> DataFrame:
