@@ -382,3 +382,29 @@ def test_packed_names_come_back(spark):
     assert [r.back for r in rows] == names
     assert len({bytes(r.p) for r in rows if r.p is not None}) == len(names) - 1
     assert max(len(r.p) for r in rows if r.name == "0f" * 32) == 33
+
+
+def test_files_per_history_counts_no_lines(spark, monkeypatch):
+    from treeshift.operators import line_churn
+    from treeshift.plans import history, manifest
+
+    log = spark.createDataFrame(
+        [("r", f"s{i}", f"s{i - 1}" if i else None, "m", "a", "2024-01-01") for i in range(4)],
+        "repo string, sha string, parent_sha string, message string, author string, authored_at string",
+    )
+    tree = spark.createDataFrame(
+        [("r", f"s{i}", path, f"fn f() {{\n    {i // step}\n}}\n") for i in range(4) for path, step in [("a.rs", 1), ("b.rs", 2)]],
+        "repo string, ref string, path string, content string",
+    )
+    ranges = spark.createDataFrame([("x", "r", "s0", "s3")], "range_id string, repo string, base_sha string, head_sha string")
+    counts = []
+    real = line_churn.line_churn
+    monkeypatch.setattr(line_churn, "line_churn", lambda *a: counts.append(1) or real(*a))
+    found = history.commit_history(tree, log, ranges)
+    assert [(r.range_id, r.files) for r in history.files_per_history(found).collect()] == [("x", 4)]
+    assert found.manifest.function_changes.count() == 4 and counts == []
+    assert {(r.range_id, r.total_files_changed, r.total_lines_added) for r in found.manifest.summary.collect()} == {
+        ("x@s1", 1, 1), ("x@s2", 2, 2), ("x@s3", 1, 1),
+    }
+    assert counts == [1]
+    assert isinstance(found.manifest, manifest.Manifest)
