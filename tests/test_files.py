@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeshift.functions import paths as P
+from treeshift.operators import line_churn
 from treeshift.operators.file_diff import diff_trees, diff_worktree
-from treeshift.operators.line_churn import _common_lines, with_line_churn
+from treeshift.operators.line_churn import _common_lines, _trimmed, _trimmed_short, with_line_churn
 from treeshift.operators.numbering import number_rows
 from treeshift.operators.renames import best_matches, file_copies, file_renames, similar_pairs
+from treeshift.plans import history
 from treeshift.plans.manifest import worktree_manifest
 from treeshift.plans.refresh import facts_of, refresh_ranges
 from treeshift.sources.commits import first_parent_walk
@@ -385,9 +387,6 @@ def test_packed_names_come_back(spark):
 
 
 def test_files_per_history_counts_no_lines(spark, monkeypatch):
-    from treeshift.operators import line_churn
-    from treeshift.plans import history, manifest
-
     log = spark.createDataFrame(
         [("r", f"s{i}", f"s{i - 1}" if i else None, "m", "a", "2024-01-01") for i in range(4)],
         "repo string, sha string, parent_sha string, message string, author string, authored_at string",
@@ -407,4 +406,23 @@ def test_files_per_history_counts_no_lines(spark, monkeypatch):
         ("x@s1", 1, 1), ("x@s2", 2, 2), ("x@s3", 1, 1),
     }
     assert counts == [1]
-    assert isinstance(found.manifest, manifest.Manifest)
+
+
+def test_lists_and_arrays_trim_alike():
+    draw = random.Random(3)
+    for _ in range(500):
+        base, head = ([draw.randrange(5) for _ in range(draw.randrange(9))] for _ in range(2))
+        base, head = ([1, 2] * draw.randrange(2) + side + [3] * draw.randrange(3) for side in (base, head))
+        assert _trimmed(np.array(base, dtype="int64"), np.array(head, dtype="int64")) == _trimmed_short(base, head)
+
+
+def test_lines_of_one_side_make_no_candidates(make_tree, spark, one_range):
+    """Files are told apart by range, and rows of lines hold numbers of files, not ranges and paths."""
+    base = {"a.txt": "k 1\nk 2\nk 3\nonly base\n", "b.txt": "z\n" * 4 + "y\n"}
+    head = {"c.txt": "k 1\nk 2\nk 3\nonly head\n", "d.txt": "z\n" * 4 + "x\n"}
+    tree = make_tree(base, head)
+    ranges = one_range.unionByName(one_range.withColumn("range_id", F.lit("x2")))
+    pairs = similar_pairs(diff_trees(tree, ranges), tree)
+    found = sorted((r.range_id, r.old_path, r.path) for r in pairs.collect())
+    assert found == [(r, a, b) for r in ("x", "x2") for a, b in (("a.txt", "c.txt"), ("b.txt", "d.txt"))]
+    assert "hashpartitioning(range_id" not in pairs._jdf.queryExecution().executedPlan().toString()
