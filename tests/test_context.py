@@ -7,7 +7,7 @@ from treeshift.operators import call_graph as K, paging as G
 from treeshift.operators.file_diff import diff_trees
 from treeshift.operators.function_diff import changed_symbols, function_changes
 from treeshift.operators.greedy_pages import greedy_pages
-from treeshift.operators.modules import import_targets
+from treeshift.operators.modules import import_targets, module_keys, references
 from treeshift.operators.symbols import extract_symbols
 from treeshift.plans.context import budgeted_context, function_context
 from treeshift.plans.manifest import budgeted_files, change_manifest
@@ -315,3 +315,19 @@ def test_hot_leaf_names_are_dealt_out(spark):
     assert joined.columns == ["range_id", "leaf", "line", "fact"]
     plain = calls.join(facts, ["range_id", "leaf"])
     assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+
+
+def test_references_hold_neither_side_in_memory(spark):
+    """Estimates from the one narrow column would broadcast all names; the join is a merge."""
+    parts = spark.range(1000).withColumn("name", F.concat(F.lit("lib/m_"), F.col("id").cast("string")))
+    none = F.lit(None).cast("string")
+    imports = parts.select(
+        F.col("id").alias("range_id"), F.lit("cmd/main.go").alias("path"), F.col("name").alias("import_text"),
+        none.alias("rust_crate_name"), none.alias("go_module"),
+    )
+    modules = parts.select(F.col("id").alias("range_id"), F.lit(0).alias("page"), F.lit("").alias("path"), F.col("name").alias("module"))
+    found = references(import_targets(imports), module_keys(modules))
+    assert found.select("range_id").distinct().count() == 1000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "REPARTITION_BY_NUM" in plan

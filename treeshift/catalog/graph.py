@@ -375,7 +375,7 @@ def _refers(name: str) -> None:
             "FROM (SELECT p_partkey, CAST(p_partkey AS STRING) AS p FROM @part@) q",
         )
         keys = Mo.module_keys(targets)
-        found = Mo.import_targets(imports).join(keys, ["range_id", "kind", "target"])
+        found = Mo.references(Mo.import_targets(imports), keys)
         return found.select(F.col("range_id").alias("k")).distinct()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from treeshift.functions import paths as P
 from treeshift.functions.text import leaf_name
 from treeshift.operators.function_diff import symbol_key
-from treeshift.operators.modules import import_targets, module_keys, module_path
+from treeshift.operators.modules import import_targets, module_keys, module_path, references
 from treeshift.operators.symbols import calls_of, functions_of, imports_of
 from treeshift.session import cut
 from treeshift.sources.trees import with_blob_id
@@ -55,7 +55,7 @@ def import_scope(files: DataFrame, symbols: DataFrame, modules: DataFrame, repo_
         .join(repo_ctx, "range_id", "left")
     )
     targets = import_targets(imports)
-    return targets.join(module_keys(modules), ["range_id", "kind", "target"]).select(*PAGE, "path").distinct()
+    return references(targets, module_keys(modules)).select(*PAGE, "path").distinct()
 
 
 def same_package(files: DataFrame, modules: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _narrow(places: DataFrame, scope: Scope) -> DataFrame:
     at = [*PAGE, "path"]
     in_folder = places.filter(_is_go(F.col("path"))).withColumn("folder", P.parent_dir(F.col("path")))
     importers = places.join(scope.imports, ["range_id", "path"]).join(
-        scope.modules, [*PAGE, "kind", "target"], "left_semi"
+        scope.modules.hint("merge"), [*PAGE, "kind", "target"], "left_semi"
     )
     return (
         places.join(scope.changed, at, "left_semi")
@@ -147,7 +147,7 @@ def scanned_files(files: DataFrame, symbols: DataFrame, scope: Scope) -> DataFra
     go = held.filter(_is_go(path)).withColumn("folder", P.parent_dir(path))
     reached = (
         scope.changed.unionByName(go.join(scope.folders, ["range_id", "folder"]).select(*PAGE, "path"))
-        .unionByName(scope.imports.join(scope.modules, ["range_id", "kind", "target"]).select(*PAGE, "path"))
+        .unionByName(references(scope.imports, scope.modules).select(*PAGE, "path"))
         .filter(P.supports_scoping(path))
         .join(narrow, PAGE, "left_semi")
         .distinct()

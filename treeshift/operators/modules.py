@@ -165,6 +165,12 @@ def _targets_ts(text: Column, path: Column) -> Column:
     return F.when(spec.startswith("."), F.array(F.array_join(resolved, "/")))
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by key before lists of names grow out of them; such small rows would
+    otherwise share a few tasks, by the size of files or of compressed shuffles."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def import_targets(imports: DataFrame) -> DataFrame:
     """``imports(range_id, path, import_text, rust_crate_name, go_module)`` gives
     ``(range_id, path, kind, target)``: kind ``is`` for the module itself, ``under``
@@ -186,9 +192,10 @@ def import_targets(imports: DataFrame) -> DataFrame:
             lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("target")),
         )
 
-    # a file whose imports name one module a thousand times is one row
+    # a file whose imports name one module a thousand times is one row; a file is in one
+    # task before its targets are listed, so no task lists those of a whole scan split
     return (
-        imports.select("range_id", "path", F.explode(F.concat(tagged(equal, "is"), tagged(under, "under"))).alias("t"))
+        _spread(imports, "range_id", "path").select("range_id", "path", F.explode(F.concat(tagged(equal, "is"), tagged(under, "under"))).alias("t"))
         .select("range_id", "path", "t.*")
         .filter("target IS NOT NULL")
         .distinct()
@@ -204,6 +211,14 @@ def module_keys(modules: DataFrame) -> DataFrame:
         F.transform(parents, lambda p: F.struct(F.lit("under").alias("kind"), p.alias("target"))),
     )
     others = [c for c in modules.columns if c not in ("path", "module")]
-    return modules.filter("module IS NOT NULL").select(*others, F.explode(keys).alias("k")).select(
-        *others, "k.*"
-    ).distinct()
+    named = _spread(modules.filter("module IS NOT NULL"), *others, "module")
+    return named.select(*others, F.explode(keys).alias("k")).select(*others, "k.*").distinct()
+
+
+def references(targets: DataFrame, keys: DataFrame) -> DataFrame:
+    """Import targets with the modules they refer to.
+
+    Merged, as neither side is of proven size: names are made from narrow columns, so
+    that sizes estimated from files are far too small, and a broadcast would hold them all.
+    """
+    return targets.join(keys.hint("merge"), ["range_id", "kind", "target"])
