@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from treeshift import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -41,3 +42,8 @@ def test_query(name, spark, duck):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_commit_log_broadcasts_no_orders(spark):
+    log = fx.view(spark, SF, "commit_log")
+    assert "Broadcast" not in log._jdf.queryExecution().executedPlan().toString()
