@@ -426,3 +426,19 @@ def test_lines_of_one_side_make_no_candidates(make_tree, spark, one_range):
     found = sorted((r.range_id, r.old_path, r.path) for r in pairs.collect())
     assert found == [(r, a, b) for r in ("x", "x2") for a, b in (("a.txt", "c.txt"), ("b.txt", "d.txt"))]
     assert "hashpartitioning(range_id" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_working_trees_are_read_once(make_tree, one_range, monkeypatch):
+    """Staged and unstaged changes come from one comparison."""
+    from treeshift.operators import file_diff
+
+    tree = make_tree({"a": "1\n", "b": "1\n"}, {}, INDEX={"a": "2\n", "c": "1\n"}, WORKTREE={"a": "3\n", "d": "1\n"})
+    reads = []
+    real = file_diff.file_index
+    monkeypatch.setattr(file_diff, "file_index", lambda t: reads.append(t) or real(t))
+    found = diff_worktree(tree, one_range)
+    assert {(r.path, r.change_scope, r.change_type) for r in found.collect()} == {
+        ("a", "staged", "modified"), ("b", "staged", "deleted"), ("c", "staged", "added"),
+        ("a", "unstaged", "modified"), ("c", "unstaged", "deleted"),
+    }
+    assert len(reads) == 1
