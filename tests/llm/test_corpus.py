@@ -289,6 +289,30 @@ def test_units_join_to_the_text_and_its_ids():
         assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == want, repr(text)
 
 
+def test_texts_of_all_kinds_are_encoded_together():
+    """Even and uneven, Latin and other texts, zeros and special tokens in one slice and after forgetting."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    codec = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    parts = [" ", " ", "\n", " \n", "\t", "a", "Bob's", "12", "é", "ÿ", "Ā", "“x”", "\0", "\x85", "\xa0", "　", "<|", "!?", "…", "日本"]
+    for most in (3, 6, 12, 200):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, most))) for _ in range(400)]
+        for _ in range(2):
+            found = [np.frombuffer(ids, "<u4").tolist() for ids in codec.encode(texts)]
+            assert found == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_each_part_is_merged_once(monkeypatch):
+    codec = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    merged = []
+    monkeypatch.setattr(codec.parts, "work", lambda parts: merged.extend(parts) or codec.merge(parts))
+    words = [a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES]
+    texts = [" ".join(w + end for w in words) for end in ("", ".", ",", "!\nThe", "?", " (1)", ".", "")]
+    for first in range(0, len(texts), 2):
+        codec.encode(texts[first : first + 2])
+    assert len(merged) == len(set(merged)) < len(words) + 20
+
+
 def test_language_accuracy_and_rejection(docs, odd, rows):
     found = language_id.languages(odd, per_language=100).collect()
     assert len(found) == len(rows)

@@ -20,14 +20,17 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,45 +40,22 @@ CAPACITY = 2048
 END = 1
 WASTE = 0.02
 FAN_IN = 64
-#: Words whose ids a worker remembers, about 200 bytes each; when so many are new,
-#: those that were not used meanwhile are forgotten.
+#: Parts of words whose ids a worker remembers, about 200 bytes each; when so many are
+#: new, those that were not used meanwhile are forgotten.
 REMEMBERED = 250_000
-#: New parts that are merged as one text.
-LINES = 16
-
-
-def _split(letters: str, numbers: str, blanks: str) -> re.Pattern[str]:
-    other = f"[^{letters}{numbers}{blanks}]"
-    return re.compile(
-        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?{other}+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
-    )
-
-
-#: The tokenizer's own first split, for text that is all ASCII and all Latin-1.
-ASCII_SPLIT = _split("A-Za-z", "0-9", r"\t-\r ")
-LATIN_SPLIT = _split("A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0")
-SPECIAL = "<|"
-#: A word that can be a line: nothing but its first character may be a blank.
-LINE = re.compile(r" ?\S+")
-#: White space that is not one space between two words.
-BLANK_BEFORE_SPACE = re.compile(r"\s(?: |\Z)")
-BLANKS_BEFORE_SPACE = [c + " " for c in map(chr, range(128)) if c.isspace()]
-
-
-def plain_spaces(text: str) -> bool:
-    """Does no white space stand before a space or at the end?"""
-    if text.isascii():
-        return not text[-1:].isspace() and not any(b in text for b in BLANKS_BEFORE_SPACE)
-    return not BLANK_BEFORE_SPACE.search(text)
-
-
-def first_split(word: str) -> list[str] | None:
-    """The parts that the tokenizer merges in for itself; None where that is not known here."""
-    if SPECIAL in word:
-        return None
-    if word.isascii():
-        return ASCII_SPLIT.findall(word)
-    return LATIN_SPLIT.findall(word) if max(word) <= "ÿ" else None
+#: Bytes of text that are encoded together, or one text.
+SLICE = 4 << 20
+
+LETTERS, NUMBERS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+#: The tokenizer's own first split, for text that is all Latin-1, with a zero after each word.
+LATIN_SPLIT = re.compile(
+    f"\0|'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{LETTERS}{NUMBERS}{BLANKS}\0]+"
+    f"|[{BLANKS}]+(?![^{BLANKS}\0])|[{BLANKS}]+"
+)
+#: Words that only the tokenizer can split, as patterns of Arrow: beyond Latin-1, zeros, special tokens.
+UNSPLIT = r"[^\x01-\x{ff}]|<\|"
+#: Texts whose words do not begin at each space: white space before a space, zeros.
+UNEVEN = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace()) + r"] |\x00"
 
 
 PIECE = (
@@ -84,22 +64,38 @@ PIECE = (
 )
 
 
-class New(dict):
-    """Words that are not known yet, each with an empty value to be filled in."""
+class Memory:
+    """Ids of texts by ``work``, of which the last used are remembered."""
 
-    def __missing__(self, word: str) -> bytearray:
-        held = self[word] = bytearray()
-        return held
+    def __init__(self, work: Callable[[list[str]], list[bytes]]):
+        self.work = work
+        # plain dictionaries, which the garbage collector does not walk through
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        found = list(map(self.known.get, texts))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        for at in missing:
+            found[at] = self.before.get(texts[at])
+        new = [at for at in missing if found[at] is None]
+        for at, ids in zip(new, self.work([texts[at] for at in new])):
+            found[at] = ids
+        self.known.update((texts[at], found[at]) for at in missing)
+        return found
 
 
 class Encoder:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    Byte-level BPE never merges across a space that follows other text, so ids
-    are looked up for each word with its leading space and only new words are
-    given to the tokenizer, a new Latin word as the parts that are merged in for
-    themselves. A piece between spaces that is empty or ends in white space stays
-    with what follows it, as white space there is split by what follows.
+    Byte-level BPE never merges across a space that follows other text, so texts
+    are cut in words with their leading spaces. Each distinct word of a slice is
+    split once, a Latin one into the parts that are merged for themselves, and
+    the tokenizer's model merges each part that is not remembered. A piece
+    between spaces that is empty or ends in white space stays with what follows
+    it, as white space there is split by what follows.
     """
 
     def __init__(self, path: str):
@@ -107,20 +103,17 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        # the same merges for parts that are split already, one a line
-        self.merger = Tokenizer.from_file(path)
-        self.merger.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        # plain dictionaries, which the garbage collector does not walk through
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        # the letters that the model has for the bytes of Latin-1 characters, zero for the separator
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = np.zeros(256, "<u4")
+        for character in map(chr, range(1, 256)):
+            ((mapped, _),) = level.pre_tokenize_str(character)
+            self.letters[list(character.encode())] = list(map(ord, mapped))
+        self.parts, self.words = Memory(self.merge), Memory(self.learn)
 
     @staticmethod
     def units(text: str) -> list[str]:
-        if "\0" not in text and plain_spaces(text):
-            return text.replace(" ", "\0 ").split("\0")[text[:1] == " " :]
         pieces = text.split(" ")
         units, held = [], ""
         for piece in [pieces[0], *(" " + p for p in pieces[1:])]:
@@ -130,66 +123,67 @@ class Encoder:
                 held = ""
         return [*units, held] if held else units
 
-    def merge(self, new: New, parts: list[str]) -> None:
-        """Ids of new parts, most of them many in one text, a line each.
-
-        A line feed is always a token of its own, so the ids of the lines are
-        what stands between its ids.
-        """
-        lines = [part for part in parts if LINE.fullmatch(part)]
-        groups = [lines[start : start + LINES] for start in range(0, len(lines), LINES)]
-        encoded = self.merger.encode_batch_fast(["\n".join(group) for group in groups], add_special_tokens=False)
-        for group, found in zip(groups, encoded):
-            ids = np.array(found.ids, dtype="<u4")
-            data, bounds = ids.tobytes(), [-1, *np.flatnonzero(ids == self.line_feed).tolist(), len(ids)]
-            for part, a, b in zip(group, bounds, bounds[1:]):
-                new[part] += data[4 * a + 4 : 4 * b]
-        self.learn(new, [part for part in parts if not new[part]])
-
-    def learn(self, new: New, words: list[str]) -> None:
-        """Ids of new words that the tokenizer has to split."""
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            new[word] += np.array(found.ids, dtype="<u4").tobytes()
-
-    def fill(self, new: New) -> None:
-        """Ids of all new words, which are known from then on."""
-        known, before = self.known, self.before
-        whole, unsplit, composed = [], [], []
-        for word, held in list(new.items()):
-            if word in before:
-                held += before[word]
-                continue
-            parts = first_split(word)
-            if parts is None:
-                unsplit.append(word)
-            elif len(parts) == 1:
-                whole.append(word)
-            else:
-                composed.append((held, parts))
-        words = len(new)
-        composed = [(held, [known[part] if part in known else new[part] for part in parts]) for held, parts in composed]
-        for part in list(new)[words:]:
-            if part in before:
-                new[part] += before[part]
-            else:
-                whole.append(part)
-        self.merge(new, whole)
-        self.learn(new, unsplit)
-        for held, parts_held in composed:
-            held += b"".join(parts_held)
-        known.update(zip(new, map(bytes, new.values())))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        found, new = [], New()
-        for words in map(self.units, texts):
-            ids = list(map(self.known.get, words))
-            if None in ids:
-                ids = [new[word] if held is None else held for word, held in zip(words, ids)]
-            found.append(ids)
-        self.fill(new)
-        return [b"".join(ids) for ids in found]
+    def merge(self, parts: list[str]) -> list[bytes]:
+        """Ids of Latin parts, as the tokenizer's model merges them."""
+        mapped = self.letters[np.frombuffer("\0".join(parts).encode(), "u1")].tobytes().decode("utf-32-le")
+        bounds, tokenize, token_id = [0], self.model.tokenize, operator.attrgetter("id")
+
+        def ids() -> Iterator[int]:
+            for part in mapped.split("\0"):
+                tokens = tokenize(part)
+                bounds.append(bounds[-1] + 4 * len(tokens))
+                yield from map(token_id, tokens)
+
+        data = np.fromiter(ids(), "<u4").tobytes()
+        return [data[a:b] for a, b in itertools.pairwise(bounds)]
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the tokenizer has to split."""
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(found.ids, dtype="<u4").tobytes() for found in encoded]
+
+    def word_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of each of some words, at least one."""
+        unsplit = pc.match_substring_regex(words, UNSPLIT)
+        latin = pc.if_else(unsplit, "", words)
+        _, ends, data = pc.binary_join_element_wise(latin, *pa.array(["", "\0"], latin.type)).buffers()
+        joined = str(memoryview(data)[: np.frombuffer(ends, "<i8")[len(latin)]], "utf-8")
+        parts = pa.array(LATIN_SPLIT.findall(joined), pa.large_string()).dictionary_encode()
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        separator = distinct.index("\0")
+        distinct[separator] = ""
+        ids = pa.array(self.parts.ids(distinct), pa.large_binary()).take(parts.indices)
+        ends = np.flatnonzero(parts.indices.to_numpy() == separator)
+        bounds = np.append(0, np.frombuffer(ids.buffers()[1], "<i8")[ends + 1])
+        found = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), ids.buffers()[2]])
+        if not pc.any(unsplit).as_py():
+            return found
+        learnt = self.words.ids(words.filter(unsplit).to_pylist())
+        return pc.replace_with_mask(found, unsplit, pa.array(learnt, pa.large_binary()))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        even = texts.filter(pc.invert(uneven))
+        units = [self.units(text) for text in texts.filter(uneven).to_pylist()]
+        lists = pa.concat_arrays(
+            [
+                pc.split_pattern(pc.replace_substring(even, " ", "\0 "), "\0"),
+                pa.array(units, pa.list_(pa.large_string())),
+            ]
+        )
+        words = lists.flatten().dictionary_encode()
+        ids = self.word_ids(words.dictionary).take(words.indices)
+        data = memoryview(ids.buffers()[2] or b"")
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        bounds = np.frombuffer(ids.buffers()[1], "<i8")[ends].tolist()
+        order = np.argsort(uneven.to_numpy(zero_copy_only=False), kind="stable").tolist()
+        found = [b""] * len(texts)
+        for at, a, b in zip(order, bounds, bounds[1:]):
+            found[at] = bytes(data[a:b])
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -264,11 +258,12 @@ def _cut_and_fill(path: str, end: int):
         worker = TaskContext.get().partitionId()
         filler, codec = Filler(worker * BLOCK), encoder(path)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for first in range(0, len(texts), 256):
-                part = [t or "" for t in texts[first : first + 256]]
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+            slices = np.cumsum(pc.binary_length(texts).to_numpy(), dtype="i8") // SLICE
+            edges = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(ids)]
+            for first, last in itertools.pairwise(edges):
                 pieces, kinds = [], []
-                for doc_id, data in zip(ids[first : first + 256], codec.encode(part)):
+                for doc_id, data in zip(ids[first:last], codec.encode(texts[first:last])):
                     data += tail
                     total, start = len(data) // 4, 0
                     lengths = [CAPACITY] * (total // CAPACITY) + list(cuts(total % CAPACITY))
