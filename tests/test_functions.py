@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from treeshift.operators import symbols as symbols_module
 from treeshift.operators.call_graph import callees
 from treeshift.operators.dependencies import dependency_diff, nested_dependency_changes
 from treeshift.operators.file_diff import diff_trees
@@ -266,3 +267,15 @@ def test_signature_and_lines(spark):
     f = extract_symbols(blobs, ["java"]).select(F.col("functions")[0].alias("f")).first().f
     assert (f.start_line, f.end_line) == (3, 7)
     assert f.signature == "@Override\n  public int m(\n      int a)"
+
+
+def test_only_languages_of_the_blobs_are_planned(spark):
+    schema = "blob_id string, language string, content string"
+    texts = ['fn a() { b("}"); }\n', "fn a\x01() {}\n\x02fn c() { d() }\n", "fn e() {}", "plain prose\n"]
+    blobs = spark.createDataFrame([(str(i), "rust", t) for i, t in enumerate(texts)], schema)
+    assert symbols_module._work(blobs, sorted(symbols_module.RULES))[1] == ["rust"]
+    rows = extract_symbols(blobs).orderBy("blob_id").collect()
+    assert rows == extract_symbols(blobs, ["rust"]).orderBy("blob_id").collect()
+    assert [[f.name for f in r.functions] for r in rows] == [["a"], ["a", "c"], ["e"], []]
+    assert extract_symbols(blobs.limit(0)).count() == 0
+    assert extract_symbols(blobs, ["go"]).count() == 0
