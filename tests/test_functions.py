@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from treeshift.catalog import changes
 from treeshift.operators import symbols as symbols_module
 from treeshift.operators.call_graph import callees
 from treeshift.operators.dependencies import dependency_diff, nested_dependency_changes
@@ -279,3 +280,9 @@ def test_only_languages_of_the_blobs_are_planned(spark):
     assert [[f.name for f in r.functions] for r in rows] == [["a"], ["a", "c"], ["e"], []]
     assert extract_symbols(blobs.limit(0)).count() == 0
     assert extract_symbols(blobs, ["go"]).count() == 0
+
+
+def test_the_crate_and_its_changes_are_written_once(spark):
+    first, again = (changes.code_changes(spark, "/root/testdata/sf0.001") for _ in range(2))
+    assert first[0] is again[0] and first[1] is again[1]
+    assert {"size", "binary", "lines"} <= set(first[0].columns)
