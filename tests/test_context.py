@@ -331,3 +331,26 @@ def test_references_hold_neither_side_in_memory(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_places_are_listed_by_the_shorter_list(spark):
+    """Many pages of few modules and files of many imports make no product, and a wide page is none either."""
+    n = 40
+    paths = [f"f{i}" for i in range(n)]
+    imports = [("x", p, "exact", f"m{j}") for i, p in enumerate(paths) for j in range(i, i + 300)] + [("x", "one", "exact", "m7")]
+    modules = [("x", page, "exact", f"m{page}") for page in range(n)] + [("x", n, "exact", f"m{j}") for j in range(500)]
+    places = [("x", page, p) for page in range(n + 1) for p in [*paths, "one", "none"]]
+    page = "range_id string, page long, "
+    scope = K.Scope(
+        pages=None, changed=None, folders=None,
+        modules=spark.createDataFrame(modules, page + "kind string, target string"),
+        imports=spark.createDataFrame(imports, "range_id string, path string, kind string, target string"),
+    )
+    at = spark.createDataFrame(places, page + "path string")
+    names = {}
+    for _, p, _, target in imports:
+        names.setdefault(p, set()).add(target)
+    wanted = {(pg, p) for _, pg, p in places if any(m in names.get(p, ()) for _, q, _, m in modules if q == pg)}
+    got = [(r.page, r.path) for r in K._importers(at, scope).distinct().collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    assert sum(df.count() for df in K._listed(at, scope)) < n * n + n * 300 + 100  # 492,000 if all imports were listed

@@ -3,12 +3,13 @@ from pyspark.sql import functions as F
 
 from treeshift.catalog import changes
 from treeshift.operators import symbols as symbols_module
-from treeshift.operators.call_graph import callees
+from treeshift.operators.call_graph import call_symbols, callees
 from treeshift.operators.dependencies import dependency_diff, nested_dependency_changes
 from treeshift.operators.file_diff import diff_trees
 from treeshift.operators.function_diff import changed_symbols, function_changes
 from treeshift.operators.symbols import extract_symbols
 from treeshift.plans.manifest import change_manifest
+from treeshift.session import cut
 
 
 @pytest.fixture(scope="session")
@@ -286,3 +287,20 @@ def test_the_crate_and_its_changes_are_written_once(spark):
     first, again = (changes.code_changes(spark, "/root/testdata/sf0.001") for _ in range(2))
     assert first[0] is again[0] and first[1] is again[1]
     assert {"size", "binary", "lines"} <= set(first[0].columns)
+
+
+def test_calls_and_functions_meet_in_their_blob(spark):
+    """Of functions with the same name the first is looked into, a call is in all functions around it, and rows move once."""
+    text = "fn a() { x(); }\nfn out() {\n    fn a() { y(); }\n    z();\n}\nfn b() { a(); a(); }\nv();\n"
+    blobs = spark.createDataFrame([("1", "rust", text), ("2", "rust", "fn a() { w(); }\n")], "blob_id string, language string, content string")
+    symbols = cut(call_symbols(extract_symbols(blobs, ["rust"])))
+    files = cut(spark.createDataFrame([("r", "f.rs", "1"), ("r", "g.rs", "2"), ("r", "h.rs", "1")], "range_id string, path string, blob_id string"))
+    wanted = cut(spark.createDataFrame(
+        [("r", 0, n, f) for f, n in [("f.rs", "a"), ("f.rs", "out"), ("f.rs", "b"), ("g.rs", "a"), ("h.rs", "none")]],
+        "range_id string, page long, name string, file string",
+    ))
+    found = callees(wanted, files, symbols)
+    got = sorted((r.file, r.name, r.callee, r.line) for r in found.collect())
+    assert got == [("f.rs", "a", "x", 1), ("f.rs", "b", "a", 6), ("f.rs", "b", "a", 6), ("f.rs", "out", "y", 3), ("f.rs", "out", "z", 4), ("g.rs", "a", "w", 1)]
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Window" not in plan and plan.count("Exchange") <= 4

@@ -1,10 +1,13 @@
 """Steps that have to stay small or spread as their input grows."""
 
 import random
+import re
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from treeshift import session
 from treeshift.operators.numbering import number_rows
 from treeshift.operators.symbols import extract_symbols
 from treeshift.session import cut, ensure_checkpoint_dir
@@ -77,3 +80,28 @@ def test_parts_of_the_extraction_grow_with_the_text(spark, monkeypatch):
     assert S._partitions(blobs) > 8
     found = extract_symbols(blobs, ["rust"])
     assert found.select(F.sum(F.size("functions")), F.sum(F.size("calls"))).first() == (300, 300)
+
+
+def test_a_cut_takes_its_shuffles_with_it(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles() -> set[str]:
+        return set(re.findall(r"shuffle_\d+", disk.getAllFiles().mkString(" ")))
+
+    before = shuffles()
+    assert cut(spark.range(1000).repartition(7).groupBy((F.col("id") % 5).alias("g")).count()).count() == 5
+    own = shuffles() - before
+    until = time.time() + 20
+    while time.time() < until and len(own & shuffles()) > 1:  # the count beside it has a shuffle of its own
+        time.sleep(0.2)
+    assert len(own & shuffles()) <= 1
+    assert all(spark.conf.get(key) != value for key, value in session.CUTTING.items())
+
+
+def test_small_files_of_large_tables_are_not_broadcast(spark):
+    """Text that compresses a thousandfold is not sent to all executors because its file is small."""
+    held = cut(spark.range(500_000).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("a"), 1000).alias("text")))
+    with session._settings(spark, session.CUTTING):
+        joined = held.join(held.withColumnRenamed("text", "other"), "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
