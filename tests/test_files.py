@@ -442,3 +442,10 @@ def test_working_trees_are_read_once(make_tree, one_range, monkeypatch):
         ("a", "unstaged", "modified"), ("c", "unstaged", "deleted"),
     }
     assert len(reads) == 1
+
+
+def test_counts_of_lines_are_not_broadcast(spark, make_tree, one_range):
+    tree = make_tree({"a.txt": "1\n2\n", "b.txt": "x\n"}, {"a.txt": "1\n3\n4\n", "b.txt": "y\n"})
+    found = with_line_churn(diff_trees(tree, one_range), tree)
+    assert {(r.path, r.lines_added, r.lines_removed) for r in found.collect()} == {("a.txt", 2, 1), ("b.txt", 1, 1)}
+    assert "BroadcastExchange" not in found._jdf.queryExecution().toString()

@@ -105,3 +105,19 @@ def test_small_files_of_large_tables_are_not_broadcast(spark):
         joined = held.join(held.withColumnRenamed("text", "other"), "k")
         plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_what_was_cut_on_the_way_is_removed(spark):
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("cut-*"))
+    inner = []
+
+    def build():
+        inner.append(session.settled(lambda: cut(spark.range(10))))
+        return cut(inner[0]).join(cut(spark.range(5)), "id")
+
+    kept = cut(spark.range(3))
+    out = session.settled(build)
+    left = set(folder.glob("cut-*")) - before
+    assert len(left) == 2 and sorted(r.id for r in out.collect()) == [0, 1, 2, 3, 4] and kept.count() == 3
+    assert not any(Path(f.removeprefix("file:")).exists() for f in inner[0].inputFiles())
