@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeshift.functions import paths as P
+from treeshift.catalog.files import write_folders
 from treeshift.operators import line_churn
 from treeshift.operators.file_diff import diff_trees, diff_worktree
 from treeshift.operators.line_churn import _common_lines, _trimmed, _trimmed_short, with_line_churn
@@ -449,3 +450,17 @@ def test_counts_of_lines_are_not_broadcast(spark, make_tree, one_range):
     found = with_line_churn(diff_trees(tree, one_range), tree)
     assert {(r.path, r.lines_added, r.lines_removed) for r in found.collect()} == {("a.txt", 2, 1), ("b.txt", 1, 1)}
     assert "BroadcastExchange" not in found._jdf.queryExecution().toString()
+
+
+def test_folders_of_small_files_are_plain_files(spark, tmp_path):
+    """A file for each value with the lines of its rows, without a process or checksum file for each."""
+    rows = [("f1", "a"), ("f2", None), ("f1", "a"), (None, "ä"), ("f3", "")]
+    df = spark.createDataFrame(rows, "at string, line string").repartition(3, "at")
+    for folder in (f"{tmp_path}/x", f"file:{tmp_path}/y"):
+        write_folders(df, folder)
+        write_folders(df, folder)  # another attempt
+        found = scan_tree(spark, folder, "r", "head")
+        got = {(r.path.split("/")[0], r.content) for r in found.collect()}
+        assert got == {("at=f1", "a\na\n"), ("at=f2", "\n"), ("at=f3", "\n"), ("at=__HIVE_DEFAULT_PARTITION__", "ä\n")}
+        assert found.count() == 4
+    assert len([f for f in tmp_path.rglob("*") if f.is_file()]) == 8
